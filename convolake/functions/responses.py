@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import variants as V
-from .text import strip, strip_ansi
 
 # Caps on the stored text of single response parts.
 OUTPUT_CHARS = 500
@@ -15,106 +14,89 @@ THINKING_LIMIT = 500
 RESPONSE_CHARS = 5000
 
 
-def _present(*parts: Column) -> Column:
-    return F.filter(F.array(*parts), lambda p: p.isNotNull())
+def _present(*parts: str) -> str:
+    return V.keep(f"array({', '.join(parts)})", lambda p: f"{p} is not null")
 
 
-def _terminal(item: Column) -> Column:
-    def lines(data: Column) -> Column:
-        command = V.truthy_text_at(data, "$.commandLine.original")
+def _terminal(item: str) -> str:
+    def lines(data: str) -> str:
+        code = V.as_text(V.child(data, "$.terminalCommandState.exitCode"))
+        shown = f"coalesce(concat(' exit=', nullif({code}, '')), '')"
         output = V.truthy_text_at(data, "$.terminalCommandOutput.text")
-        code = F.nullif(V.as_text(V.child(data, "$.terminalCommandState.exitCode")), F.lit(""))
-        shown = F.coalesce(F.concat(F.lit(" exit="), code), F.lit(""))
+        plain = rf"replace(regexp_replace({output}, r'\x1b\[[0-9;]*m', ''), chr(13), '')"
         return _present(
-            F.concat(F.lit("[cmd] "), command),
-            F.concat(F.lit("[output"), shown, F.lit("] "),
-                     F.substring(strip(strip_ansi(output)), 1, OUTPUT_CHARS)),
-        )
+            f"concat('[cmd] ', {V.truthy_text_at(data, '$.commandLine.original')})",
+            f"concat('[output', {shown}, '] ', substring({V.stripped(plain)}, 1, {OUTPUT_CHARS}))")
 
     return V.bind(V.child(item, "$.toolSpecificData"), lines)
 
 
-def _tool_output(text: Column) -> Column:
-    return F.concat(F.lit("[tool-output] "), F.substring(strip(text), 1, TOOL_OUTPUT_CHARS))
+def _tool_output(text: str) -> str:
+    return f"concat('[tool-output] ', substring({V.stripped(text)}, 1, {TOOL_OUTPUT_CHARS}))"
 
 
-def _details(item: Column) -> Column:
-    tool = V.truthy_text_at(item, "$.toolId")
-    given = V.truthy_text_at(item, "$.resultDetails.input")
-    head = F.concat(
-        F.lit("[tool:"), tool, F.lit("]"),
-        F.coalesce(F.concat(F.lit(" input: "), given), F.lit("")),
-    )
-    listed = F.transform(
-        V.items_of(item, "$.resultDetails.output"),
-        lambda e: F.when(V.kind_of(e) == "object", _tool_output(V.truthy_text_at(e, "$.value"))),
-    )
-    single = _tool_output(F.nullif(V.string_at(item, "$.resultDetails.output"), F.lit("")))
-    body = F.coalesce(listed, F.array(single))
-    return F.filter(F.concat(F.array(head), body), lambda p: p.isNotNull())
+def _details(item: str) -> str:
+    given = f"coalesce(concat(' input: ', {V.truthy_text_at(item, '$.resultDetails.input')}), '')"
+    head = f"concat('[tool:', {V.truthy_text_at(item, '$.toolId')}, ']', {given})"
+    listed = V.each(V.items_of(item, "$.resultDetails.output"), lambda e: (
+        f"case when {V.is_kind(e, 'object')} then {_tool_output(V.truthy_text_at(e, '$.value'))} end"))
+    single = _tool_output(f"nullif({V.string_at(item, '$.resultDetails.output')}, '')")
+    return V.keep(f"concat(array({head}), coalesce({listed}, array({single})))", lambda p: f"{p} is not null")
 
 
-def _message(item: Column) -> Column:
+def _message(item: str) -> str:
     past = V.truthy_text_at(item, "$.pastTenseMessage.value")
     running = V.truthy_text_at(item, "$.invocationMessage")
-    return _present(F.concat(F.lit("[tool] "), F.coalesce(past, running)))
+    return _present(f"concat('[tool] ', coalesce({past}, {running}))")
 
 
-def tool_result(item: Column) -> Column:
+def _tool_result(item: str) -> str:
     """Lines for one tool call: terminal data, else result details, else its message."""
-    terminal = F.coalesce(V.string_at(item, "$.toolSpecificData.kind") == "terminal", F.lit(False))
-    detailed = V.is_kind(V.child(item, "$.resultDetails"), "object")
-    details = F.when(detailed, _details(item)).otherwise(F.array().cast("array<string>"))
-    other = V.bind(details, lambda d: F.when(F.size(d) > 0, d).otherwise(_message(item)))
-    return F.when(terminal, _terminal(item)).otherwise(other)
+    details = f"case when {V.is_kind(V.child(item, '$.resultDetails'), 'object')} then {_details(item)} else {V.NO_STRINGS} end"
+    other = V.bind(details, lambda d: f"case when size({d}) > 0 then {d} else {_message(item)} end")
+    terminal = V.string_at(item, "$.toolSpecificData.kind")
+    return f"case when coalesce({terminal} = 'terminal', false) then {_terminal(item)} else {other} end"
 
 
-def _markdown(item: Column) -> Column:
-    nested = V.string_at(item, "$.content.value")
-    direct = F.nullif(V.string_at(item, "$.value"), F.lit(""))
-    return _present(F.nullif(F.coalesce(direct, nested), F.lit("")))
+def _markdown(item: str) -> str:
+    direct = f"nullif({V.string_at(item, '$.value')}, '')"
+    return _present(f"coalesce({direct}, nullif({V.string_at(item, '$.content.value')}, ''))")
 
 
-def _thinking(item: Column) -> Column:
-    def line(text: Column) -> Column:
-        keep = (F.length(text) > 0) & (F.length(text) < THINKING_LIMIT)
-        return _present(F.when(keep, F.concat(F.lit("[thinking] "), text)))
+def _thinking(item: str) -> str:
+    return V.bind(V.stripped(V.truthy_text_at(item, "$.value")), lambda text: _present(
+        f"case when length({text}) > 0 and length({text}) < {THINKING_LIMIT} then concat('[thinking] ', {text}) end"))
 
-    return V.bind(strip(V.truthy_text_at(item, "$.value")), line)
 
-
-def _edit(item: Column) -> Column:
-    def line(place: Column) -> Column:
-        count = F.concat(place["edits"].cast("string"), F.lit(" change(s)"))
-        named = F.concat(F.lit("[edit] "), place["file"], F.lit(" ("), count, F.lit(")"))
+def _edit(item: str) -> str:
+    def lines(place: str) -> str:
+        count = f"concat(cast({place}.edits as string), ' change(s)')"
         return _present(
-            F.when(place["file"].isNotNull(), named)
-            .when(place["edits"] > 0, F.concat(F.lit("[edit] "), count)))
+            f"case when {place}.file is not null then concat('[edit] ', {place}.file, ' (', {count}, ')')"
+            f" when {place}.edits > 0 then concat('[edit] ', {count}) end")
 
-    edits = F.coalesce(F.array_size(V.items_of(item, "$.edits")), F.lit(0))
-    return V.bind(F.struct(V.truthy_text_at(item, "$.uri.path").alias("file"), edits.alias("edits")), line)
+    file = V.truthy_text_at(item, "$.uri.path")
+    edits = f"coalesce(array_size({V.items_of(item, '$.edits')}), 0)"
+    return V.bind(f"named_struct('file', {file}, 'edits', {edits})", lines)
 
 
-def response_item(item: Column) -> Column:
+def _response_item(item: str) -> str:
     """Lines for one response item; other kinds and non-objects give none."""
     return V.bind(V.string_at(item, "$.kind"), lambda kind: (
-        F.when(kind == "markdownContent", _markdown(item))
-        .when(kind == "thinking", _thinking(item))
-        .when(kind == "toolInvocationSerialized", tool_result(item))
-        .when(kind == "textEditGroup", _edit(item))
-        .otherwise(F.array().cast("array<string>"))
-    ))
+        f"case {kind} when 'markdownContent' then {_markdown(item)} when 'thinking' then {_thinking(item)}"
+        f" when 'toolInvocationSerialized' then {_tool_result(item)} when 'textEditGroup' then {_edit(item)}"
+        f" else {V.NO_STRINGS} end"))
 
 
-def response_text(items: Column) -> Column:
-    """All parts of a response in order, one per line; NULL when there are none."""
-    parts = F.flatten(F.transform(items, response_item))
-    return V.bind(F.array_join(parts, "\n"), lambda text: F.when(text != "", text))
+def response_text(request: str) -> Column:
+    """All parts of a request's response in order, one per line; NULL when there are none."""
+    parts = V.each(V.items_of(request, "$.response"), _response_item)
+    return F.expr(V.bind(f"array_join(flatten({parts}), chr(10))", lambda text: f"nullif({text}, '')"))
 
 
-def user_text(request: Column) -> Column:
+def user_text(request: str) -> Column:
     """``message.text`` of an object, a scalar as text; NULL for anything absent."""
-    return V.bind(V.child(request, "$.message"), lambda message: V.bind(
+    return F.expr(V.bind(V.child(request, "$.message"), lambda message: V.bind(
         V.kind_of(message), lambda kind: (
-            F.when(kind == "object", V.truthy_text_at(message, "$.text"))
-            .when(kind.isin("string", "number", "boolean", "array"), V.as_text(message)))))
+            f"case when {kind} = 'object' then {V.truthy_text_at(message, '$.text')}"
+            f" when {kind} <> 'null' then {V.as_text(message)} end"))))

@@ -9,9 +9,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
 _FOLD = str.maketrans(_UPPER, _LOWER)
 
-# The patterns that define a path, a terminal colour code and a code fence.
+# The pattern of a path and the mark of a code fence.
 PATH_PATTERN = r"(?U)(?:/[\w._-]+){2,}"
-ANSI_PATTERN = "\x1b\\[[0-9;]*m"
 FENCE = "```"
 
 
@@ -56,10 +55,6 @@ def has_code(*columns: Column) -> Column:
     return found
 
 
-def strip_ansi(c: Column) -> Column:
-    return F.replace(F.regexp_replace(c, ANSI_PATTERN, ""), F.lit("\r"), F.lit(""))
-
-
 def preview(c: Column, n: int) -> Column:
     return F.substring(c, 1, n)
 

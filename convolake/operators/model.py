@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
-from ..functions.answers import answer_items, skill_fields
+from ..functions.answers import answer_items, answer_objects, rule_text, skill_fields
 
 _SCHEMA = "project_path string, batch_no long, raw string, error string"
 
@@ -55,30 +55,29 @@ def parse_items(answers: DataFrame) -> DataFrame:
     """One row per object in an answer: (project_path, batch_no, item_no, item)."""
     return (
         answers.where(F.col("error").isNull())
-        .select("project_path", "batch_no", F.posexplode(answer_items(F.col("raw"))).alias("item_no", "item"))
-        .where(V.kind_of(F.col("item")) == "object")
+        .select("project_path", "batch_no", F.posexplode(answer_items("raw")).alias("item_no", "item"))
+        .where(V.is_kind("item", "object"))
     )
 
 
 def answer_status(answers: DataFrame) -> DataFrame:
     """(project_path, batch_no, n_items, failed): a batch without any item has failed."""
-    objects = F.filter(answer_items(F.col("raw")), lambda v: V.kind_of(v) == "object")
-    n = F.when(F.col("error").isNull(), F.size(objects)).otherwise(F.lit(0))
-    return answers.select("project_path", "batch_no", n.alias("n_items"), (n == 0).alias("failed"))
+    n = F.when(F.col("error").isNull(), F.size(answer_objects("raw"))).otherwise(F.lit(0))
+    counted = answers.select("project_path", "batch_no", n.alias("n_items"))
+    return counted.withColumn("failed", F.col("n_items") == 0)
 
 
 def normalize_skills(items: DataFrame) -> DataFrame:
     """Items as skill rows; items without a title are left out."""
     rows = items.select(
         "project_path", "batch_no", F.col("item_no").cast("long").alias("item_no"),
-        *skill_fields(F.col("item")))
+        *skill_fields("item"))
     return rows.where(F.col("title") != "")
 
 
 def rule_items(items: DataFrame) -> DataFrame:
     """Items as rules: those with a non-empty string under ``rule``."""
-    text = V.string_at(F.col("item"), "$.rule")
     return items.select(
-        "project_path", text.alias("rule_text"),
+        "project_path", rule_text("item").alias("rule_text"),
         (F.col("batch_no") * F.lit(1 << 32) + F.col("item_no")).alias("rule_seq"),
-    ).where(F.col("rule_text") != "")
+    ).where(F.col("rule_text").isNotNull())

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
+from ..session import pin, write_down
 from .ranking import first_n
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -73,7 +74,7 @@ def _idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
-def _ranked(scored: DataFrame) -> list[Column]:
+def _ranked() -> list[Column]:
     """Best first; equal scores keep corpus order: skills, then messages, by id.
 
     Scores are compared to nine places: sums of the same weights in another order
@@ -82,24 +83,21 @@ def _ranked(scored: DataFrame) -> list[Column]:
     return [F.desc(F.round("score", 9)), F.desc("type"), F.asc("id")]
 
 
-@dataclass
-class SearchIndex:
-    """Postings (type, id, term, tf), term statistics (term, total, df) and corpus size."""
-
-    postings: DataFrame
-    terms: DataFrame
-    size: Column
-    stop_words: Sequence[str]
-    max_features: int
+def _term_counts(corpus: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """(type, id, term, tf): a document's words meet in the task that reads it."""
+    found = corpus.select("type", "id", F.explode(tokens(F.col("text"), stop_words)).alias("term"))
+    return found.groupBy("type", "id", "term").agg(F.count("*").alias("tf"))
 
 
-def build_index(corpus: DataFrame, max_features: int = MAX_FEATURES,
-                stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> SearchIndex:
-    """Token counts of a corpus.  Write ``postings`` and ``terms`` down to use them again."""
-    found = corpus.select("type", "id", F.explode(tokens(F.col("text"), stop_words)).alias("term"))
-    postings = found.groupBy("type", "id", "term").agg(F.count("*").alias("tf"))
+def _frequent(postings: DataFrame, max_features: int) -> DataFrame:
+    """The ``max_features`` most frequent terms (term, total, df), written down."""
     terms = postings.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    return SearchIndex(postings, terms, corpus.agg(F.count("*").alias("n")).scalar(), stop_words, max_features)
+    return pin(terms.orderBy(F.desc("total"), F.asc("term")).limit(max_features))
+
+
+def _query_words(queries: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    words = queries.select("query_id", F.explode(tokens(F.col("query"), stop_words)).alias("term"))
+    return words.groupBy("query_id", "term").agg(F.count("*").alias("n"))
 
 
 def search(corpus: DataFrame, query: str, project: str | None = None, limit: int = 10,
@@ -107,49 +105,58 @@ def search(corpus: DataFrame, query: str, project: str | None = None, limit: int
            stop_words: Sequence[str] = ENGLISH_STOP_WORDS, digits: int = 3) -> DataFrame:
     """Rows of ``corpus`` most similar to ``query``: the query is one more document.
 
-    The project filter comes before all statistics.  The vocabulary is the
-    ``max_features`` most frequent terms, so it, the idf table and the query are
-    small whatever the corpus; only document norms need every posting.
+    The project filter comes before all statistics.  Two passes over the corpus:
+    one finds the ``max_features`` most frequent terms, which are few whatever the
+    corpus; the other weighs documents by them, dropping all other terms at once.
     """
     if project:
         corpus = corpus.where(F.col("project").contains(project))
-    spark = corpus.sparkSession
-    asked = spark.range(1).select(
+    asked = corpus.sparkSession.range(1).select(
         F.lit("").alias("type"), F.lit(None).cast("string").alias("id"), F.lit(query).alias("text"))
-    index = build_index(corpus.select("type", "id", "text").unionByName(asked), max_features, stop_words)
-    vocabulary = _vocabulary(index.terms, index.size, max_features)
-    # at most `max_features` rows
-    weighed = index.postings.join(F.broadcast(vocabulary), "term").withColumn(
-        "w", F.col("tf") * F.col("idf"))
-    query_terms = _query_terms(query, vocabulary, stop_words)
-    query_norm = query_terms.agg(F.sqrt(F.sum(F.col("q") * F.col("q")))).scalar()
-    # no more rows than the query has words
+    documents = corpus.select("type", "id", "text")
+    terms = _frequent(_term_counts(documents.unionByName(asked), stop_words), max_features)
+    size = corpus.agg((F.count("*") + 1).alias("n")).scalar()
+    words = _query_words(asked.select(F.lit(0).alias("query_id"), F.col("text").alias("query")), stop_words)
+    vocabulary = terms.select("term", _idf(size, F.col("df")).alias("idf")).join(
+        words.select("term", "n"), "term", "left")
+    found = documents.select("type", "id", F.explode(tokens(F.col("text"), stop_words)).alias("term"))
+    weighed = (
+        found.join(F.broadcast(vocabulary), "term")  # at most `max_features` rows
+        .groupBy("type", "id", "term").agg(
+            (F.count("*") * F.first("idf")).alias("w"), (F.first("n") * F.first("idf")).alias("q"))
+    )
+    query_norm = vocabulary.agg(F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), 2))).alias("q")).scalar()
     scored = (
-        weighed.where(F.col("type") != "").join(F.broadcast(query_terms), "term", "left")
-        .groupBy("type", "id")
+        weighed.groupBy("type", "id")
         .agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("norm2"))
         .where(F.col("dot") > 0)
         .select("type", "id", (F.col("dot") / (F.sqrt("norm2") * query_norm)).alias("score"))
         .where(F.col("score") >= threshold)
     )
-    best = scored.orderBy(*_ranked(scored)).limit(limit)
+    best = scored.orderBy(*_ranked()).limit(limit)
     return (
         corpus.join(F.broadcast(best), ["type", "id"])  # `limit` rows
-        .orderBy(*_ranked(scored))
+        .orderBy(*_ranked())
         .select("type", "id", "title", "description", "project", F.round("score", digits).alias("score"))
     )
 
 
-def _vocabulary(terms: DataFrame, size: Column, max_features: int) -> DataFrame:
-    top = terms.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-    return top.select("term", "df", _idf(size, F.col("df")).alias("idf"))
+@dataclass
+class SearchIndex:
+    """Postings (type, id, term, tf), the vocabulary (term, total, df) and the corpus size."""
+
+    postings: DataFrame
+    terms: DataFrame
+    size: Column
+    stop_words: Sequence[str]
 
 
-def _query_terms(query: str, vocabulary: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    spark = vocabulary.sparkSession
-    words = spark.range(1).select(F.explode(tokens(F.lit(query), stop_words)).alias("term"))
-    counted = words.groupBy("term").agg(F.count("*").alias("n"))
-    return vocabulary.join(counted, "term").select("term", (F.col("n") * F.col("idf")).alias("q"))
+def build_index(corpus: DataFrame, max_features: int = MAX_FEATURES,
+                stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> SearchIndex:
+    """Tokenise a corpus once; the postings are written down for all later searches."""
+    postings = write_down(_term_counts(corpus, stop_words))
+    size = corpus.agg(F.count("*").alias("n")).scalar()
+    return SearchIndex(postings, _frequent(postings, max_features), size, stop_words)
 
 
 def search_batch(corpus: DataFrame, index: SearchIndex, queries: DataFrame, limit: int = 10,
@@ -161,15 +168,13 @@ def search_batch(corpus: DataFrame, index: SearchIndex, queries: DataFrame, limi
     terms need an adjusted weight.  Exact as long as a query does not change which
     terms are among the ``max_features`` most frequent ones.
     """
-    n = index.size
-    top = index.terms.orderBy(F.desc("total"), F.asc("term")).limit(index.max_features)
-    vocabulary = top.select("term", "df", _idf(n + 1, F.col("df")).alias("b"),
-                            _idf(n + 1, F.col("df") + 1).alias("bq"))
+    size = index.size + 1
+    vocabulary = index.terms.select("term", _idf(size, F.col("df")).alias("b"),
+                                    _idf(size, F.col("df") + 1).alias("bq"))
     weighed = index.postings.join(F.broadcast(vocabulary), "term")  # at most max_features rows
     norms = weighed.groupBy("type", "id").agg(
         F.sum(F.pow(F.col("tf") * F.col("b"), 2)).alias("norm2"))
-    words = queries.select("query_id", F.explode(tokens(F.col("query"), index.stop_words)).alias("term"))
-    asked = words.groupBy("query_id", "term").agg(F.count("*").alias("n")).join(
+    asked = _query_words(queries, index.stop_words).join(
         F.broadcast(vocabulary.select("term", "bq")), "term"
     ).select("query_id", "term", (F.col("n") * F.col("bq")).alias("q"))
     query_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
@@ -185,7 +190,7 @@ def search_batch(corpus: DataFrame, index: SearchIndex, queries: DataFrame, limi
                 (F.col("dot") / (F.sqrt(F.col("norm2") + F.col("shift")) * F.col("q_norm"))).alias("score"))
         .where(F.col("score") >= threshold)
     )
-    best = first_n(scored, "query_id", limit, *_ranked(scored))
+    best = first_n(scored, "query_id", limit, *_ranked())
     shown = corpus.select("type", "id", "title", "project")
     return best.join(shown, ["type", "id"]).select(
         "query_id", "rank", "type", "id", "title", "project", F.round("score", digits).alias("score"))

@@ -36,8 +36,8 @@ def _parsed(raw: DataFrame) -> DataFrame:
     stem = F.regexp_extract("file_path", r"([^/]*?)(?:\.json)?$", 1)
     parsed = raw.withColumn("log", F.try_parse_json("body")).select(
         "file_path", "workspace_id", "project_path", "log",
-        V.items_of(F.col("log"), "$.requests").alias("requests"),
-        F.coalesce(V.as_text(V.child(F.col("log"), "$.sessionId")), stem).alias("session_id"),
+        F.expr(V.items_of("log", "$.requests")).alias("requests"),
+        F.coalesce(F.expr(V.as_text(V.child("log", "$.sessionId"))), stem).alias("session_id"),
     ).where(F.size("requests") > 0)
     names = parsed.select("session_id", "file_path")
     repeated = (
@@ -61,8 +61,8 @@ def normalize_sessions(raw: DataFrame, as_of: Column | None = None) -> tuple[Dat
     requests = parsed.select("session_id", F.posexplode("requests").alias("msg_seq", "request"))
     texts = requests.select(
         "session_id", F.col("msg_seq").cast("long").alias("msg_seq"),
-        R.user_text(F.col("request")).alias("user_text"),
-        R.response_text(V.items_of(F.col("request"), "$.response")).alias("response"),
+        R.user_text("request").alias("user_text"),
+        R.response_text("request").alias("response"),
         F.try_variant_get("request", "$.timestamp", "long").alias("ts"),
     ).where(~is_blank(F.col("user_text")))
     messages = texts.select(

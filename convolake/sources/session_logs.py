@@ -37,7 +37,7 @@ def resolve_projects(workspaces: DataFrame) -> DataFrame:
 
     A leading ``file://`` goes, the rest of the address is kept as it is written.
     """
-    folder = V.string_at(F.try_parse_json("body"), "$.folder")
+    folder = F.expr(V.string_at("try_parse_json(body)", "$.folder"))
     path = F.nullif(F.regexp_replace(folder, "^file://", ""), F.lit(""))
     return workspaces.select("workspace_id", path.alias("project_path"))
 
