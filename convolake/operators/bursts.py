@@ -1,4 +1,4 @@
-"""Bursts of change events: runs without a pause of ``gap`` or more."""
+"""Bursts of change events: runs without a pause longer than ``gap``."""
 
 from __future__ import annotations
 
@@ -37,7 +37,7 @@ def change_bursts(events: DataFrame, gap: str = "30 seconds", key: str | None =
     cells = per_file.groupBy("key", "cell").agg(
         F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     by_time = Window.partitionBy("key").orderBy("cell")
-    starts = F.col("low") - F.lag("high").over(by_time) >= width
+    starts = F.col("low") - F.lag("high").over(by_time) > width
     numbered = cells.withColumn("_new", F.coalesce(starts, F.lit(True)).cast("int")).withColumn(
         "burst", F.sum("_new").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
     sizes = numbered.groupBy("key", "burst").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
@@ -143,20 +143,59 @@ def search(corpus: DataFrame, query: str, project: str | None = None, limit: int
 
 @dataclass
 class SearchIndex:
-    """Postings (type, id, term, tf), the vocabulary (term, total, df) and the corpus size."""
+    """Postings (type, id, term, tf), term statistics (term, total, df), the most
+    frequent terms of these, and the corpus size."""
 
     postings: DataFrame
     terms: DataFrame
+    vocabulary: DataFrame
     size: Column
+    max_features: int
     stop_words: Sequence[str]
 
 
 def build_index(corpus: DataFrame, max_features: int = MAX_FEATURES,
                 stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> SearchIndex:
-    """Tokenise a corpus once; the postings are written down for all later searches."""
+    """Tokenise a corpus once; the counts are written down for all later searches."""
     postings = write_down(_term_counts(corpus, stop_words))
+    terms = write_down(
+        postings.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")))
+    vocabulary = pin(terms.orderBy(F.desc("total"), F.asc("term")).limit(max_features))
     size = corpus.agg(F.count("*").alias("n")).scalar()
-    return SearchIndex(postings, _frequent(postings, max_features), size, stop_words)
+    return SearchIndex(postings, terms, vocabulary, size, max_features, stop_words)
+
+
+def _vocabulary_moves(index: SearchIndex, words: DataFrame) -> DataFrame:
+    """(query_id, term, enters): terms a query's own words bring into the vocabulary,
+    and those they push out of it.
+
+    ``words`` has (query_id, term, n, total, df, known).  Only words that overtake
+    the last vocabulary term can enter, so usually there is nothing to do; the terms
+    at risk are as many as the most words that enter for one query.
+    """
+    filled = index.vocabulary.agg(F.count("*").alias("n")).first()["n"]
+    room = index.max_features - filled
+    last = index.vocabulary.orderBy("total", F.desc("term")).limit(1).first()
+    reached = F.col("total") + F.col("n")
+    overtakes = F.lit(room > 0)
+    if last is not None:
+        overtakes = overtakes | (reached > last["total"]) | (
+            (reached == last["total"]) & (F.col("term") < last["term"]))
+    knocking = words.where(~F.col("known") & overtakes).select("query_id", "term", reached.alias("total"))
+    per_query = knocking.groupBy("query_id").agg(F.count("*").alias("n"))
+    most = per_query.agg(F.max("n").alias("n")).first()["n"] or 0
+    tail = index.vocabulary.orderBy("total", F.desc("term")).limit(most)
+    at_risk = tail.agg(F.collect_list(F.struct("term", "total")).alias("t")).scalar()
+    own = words.where("known").select("query_id", "term", F.col("n").alias("_own"))
+    staying = per_query.select("query_id", F.explode(at_risk).alias("t")).select(
+        "query_id", F.col("t.term").alias("term"), F.col("t.total").alias("total")
+    ).join(own, ["query_id", "term"], "left").select(
+        "query_id", "term", (F.col("total") + F.coalesce("_own", F.lit(0))).alias("total"),
+        F.lit(False).alias("enters"))
+    rivals = knocking.withColumn("enters", F.lit(True)).unionByName(staying)
+    by_rank = Window.partitionBy("query_id").orderBy(F.desc("total"), F.asc("term"))
+    within = F.row_number().over(by_rank) <= min(most, filled) + room
+    return rivals.withColumn("_in", within).where(F.col("_in") == F.col("enters")).drop("_in", "total")
 
 
 def search_batch(corpus: DataFrame, index: SearchIndex, queries: DataFrame, limit: int = 10,
@@ -164,30 +203,43 @@ def search_batch(corpus: DataFrame, index: SearchIndex, queries: DataFrame, limi
     """Top rows for every query (query_id, query) from one index in one job.
 
     Each query counts as one more document of its own search: the corpus size grows
-    by one and the frequency of the query's terms too, so only postings of query
-    terms need an adjusted weight.  Exact as long as a query does not change which
-    terms are among the ``max_features`` most frequent ones.
+    by one, so do the frequencies of its words, and a word used often enough takes
+    the place of the last vocabulary term.  Document norms are computed once; only
+    postings of terms a query changes adjust them.
     """
     size = index.size + 1
-    vocabulary = index.terms.select("term", _idf(size, F.col("df")).alias("b"),
-                                    _idf(size, F.col("df") + 1).alias("bq"))
-    weighed = index.postings.join(F.broadcast(vocabulary), "term")  # at most max_features rows
-    norms = weighed.groupBy("type", "id").agg(
-        F.sum(F.pow(F.col("tf") * F.col("b"), 2)).alias("norm2"))
-    asked = _query_words(queries, index.stop_words).join(
-        F.broadcast(vocabulary.select("term", "bq")), "term"
-    ).select("query_id", "term", (F.col("n") * F.col("bq")).alias("q"))
+    b, bq = _idf(size, F.col("df")), _idf(size, F.col("df") + 1)
+    # the vocabulary has at most `max_features` rows
+    known = F.broadcast(index.vocabulary.select("term", F.lit(True).alias("known")))
+    words = pin(
+        _query_words(queries, index.stop_words).join(index.terms, "term", "left").join(known, "term", "left")
+        .select("query_id", "term", "n", F.coalesce("total", F.lit(0)).alias("total"),
+                F.coalesce("df", F.lit(0)).alias("df"), F.coalesce("known", F.lit(False)).alias("known")))
+    moves = pin(_vocabulary_moves(index, words))
+    asked = words.join(moves, ["query_id", "term"], "left").where(
+        F.coalesce("enters", F.col("known"))  # an own word that was pushed out is not asked for
+    ).select("query_id", "term", (F.col("n") * bq).alias("q"), bq.alias("bq"),
+             F.when(F.col("known"), F.pow(bq, 2) - F.pow(b, 2)).otherwise(F.pow(bq, 2)).alias("shift"))
     query_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    shift = F.col("tf") * F.col("tf") * (F.pow("bq", 2) - F.pow("b", 2))
+    pushed = moves.where(~F.col("enters")).join(F.broadcast(index.vocabulary), "term").select(
+        "query_id", "term", F.lit(0.0).alias("dot"), (-F.pow(b, 2)).alias("shift"))
+    changes = asked.select("query_id", "term", (F.col("bq") * F.col("q")).alias("dot"), "shift").unionByName(pushed)
+
+    weights = F.broadcast(index.vocabulary.select("term", b.alias("b")))
+    norms = index.postings.join(weights, "term").groupBy("type", "id").agg(
+        F.sum(F.pow(F.col("tf") * F.col("b"), 2)).alias("norm2"))
+    tf = F.col("tf")
     hits = (
-        weighed.join(asked, "term")
+        index.postings.join(changes, "term")
         .groupBy("query_id", "type", "id")
-        .agg(F.sum(F.col("tf") * F.col("bq") * F.col("q")).alias("dot"), F.sum(shift).alias("shift"))
+        .agg(F.sum(tf * F.col("dot")).alias("dot"), F.sum(tf * tf * F.col("shift")).alias("shift"))
+        .where(F.col("dot") > 0)
     )
+    # a document may hold nothing but words that entered, so it may have no norm yet
+    norm = F.sqrt(F.coalesce("norm2", F.lit(0.0)) + F.col("shift"))
     scored = (
-        hits.join(norms, ["type", "id"]).join(query_norms, "query_id")
-        .select("query_id", "type", "id",
-                (F.col("dot") / (F.sqrt(F.col("norm2") + F.col("shift")) * F.col("q_norm"))).alias("score"))
+        hits.join(norms, ["type", "id"], "left").join(query_norms, "query_id")
+        .select("query_id", "type", "id", (F.col("dot") / (norm * F.col("q_norm"))).alias("score"))
         .where(F.col("score") >= threshold)
     )
     best = first_n(scored, "query_id", limit, *_ranked())

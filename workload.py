@@ -585,19 +585,23 @@ def search_project(t):
     return search.search(corpus, SEARCH_TEXT, project="proj_3", digits=6)
 
 
+# a full refit for every query: its words count in the vocabulary and in the idf
 @query(f"""
 with corpus as ({_CORPUS['all']}),
 po as (select type, id, term, count(*) tf from (select type, id, unnest({_TOKENS.format(c='text')}) term from corpus) group by all),
 sz as (select count(*) n from corpus),
-vo as (select term, ln((n + 2) / (df + 1)) + 1 b, ln((n + 2) / (df + 2)) + 1 bq
-  from (select term, sum(tf) total, count(*) df from po group by term order by total desc, term limit 5000), sz),
-w as (select type, id, term, tf, b, bq from po join vo using (term)),
-nm as (select type, id, sum(pow(tf * b, 2)) norm2 from w group by all),
-q as (select query_id, term, count(*) * any_value(bq) q from (select item_id query_id, unnest({_TOKENS.format(c='text')}) term from benchmark)
-  join vo using (term) group by query_id, term),
+te as (select term, sum(tf) total, count(*) df from po group by term),
+wd as (select query_id, term, count(*) n from (select item_id query_id, unnest({_TOKENS.format(c='text')}) term from benchmark) group by all),
+al as (select b.item_id query_id, term, total, df from te, benchmark b
+  union all select query_id, term, n, 1 from wd),
+st as (select query_id, term, sum(total) total, sum(df) df from al group by all),
+vo as (select query_id, term, ln(((select n from sz) + 2) / (df + 1)) + 1 idf,
+    row_number() over (partition by query_id order by total desc, term) r from st qualify r <= 5000),
+q as (select query_id, term, wd.n * idf q from wd join vo using (query_id, term)),
 qn as (select query_id, sqrt(sum(q * q)) q_norm from q group by query_id),
-sc as (select query_id, type, id, sum(tf * bq * q) dot, sum(tf * tf * (pow(bq, 2) - pow(b, 2))) shift from w join q using (term) group by all),
-r as (select query_id, type, id, dot / (sqrt(norm2 + shift) * q_norm) score from sc join nm using (type, id) join qn using (query_id)),
+sc as (select vo.query_id, type, id, sum(tf * idf * q) dot, sum(tf * idf * tf * idf) norm2
+  from po join vo using (term) left join q on q.query_id = vo.query_id and q.term = vo.term group by all),
+r as (select query_id, type, id, dot / (sqrt(norm2) * q_norm) score from sc join qn using (query_id)),
 k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, type desc, id) "rank" from r where score >= 0.05)
 select query_id, cast("rank" as integer) "rank", type, id, title, project, round(score, 6) score
 from k join corpus using (type, id) where "rank" <= 10""", _SEARCH_NEEDS)
@@ -704,7 +708,7 @@ def skill_documents(t):
 # -- change events ------------------------------------------------------------
 
 @query("""
-with e as (select user_id, ts, event_type, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end nb from events),
+with e as (select user_id, ts, event_type, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minute then 0 else 1 end nb from events),
 g as (select *, sum(nb) over (partition by user_id order by ts rows unbounded preceding) burst from e)
 select user_id "key", min(ts) burst_start, max(ts) last_change, count(*) n_changes, count(distinct event_type) n_files
 from g group by user_id, burst""")
