@@ -11,26 +11,47 @@ from ..session import pin
 from .filters import like_filter
 
 NEAR_CHARS = 50  # a rule whose first characters occur inside another one repeats it
+_GRAM = 8
+_STRETCH = 1000
 
 
-def _pieces(text: Column, size: Column) -> Column:
-    """All substrings of ``text`` of length ``size``."""
-    starts = F.when(
-        F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)
-    ).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda at: F.substr(text, at, size)))
+def _grams(rules: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Every gram of the sizes in use, with the text that follows it: (…, gram, rest).
+
+    Long texts are cut into overlapping stretches first, so that taking a gram
+    never scans a long text from its start.
+    """
+    step = _STRETCH
+    starts = F.sequence(F.lit(1), F.greatest(F.length("folded"), F.lit(1)), F.lit(step))
+    cut = F.transform(starts, lambda at: F.substr("folded", at, F.lit(step + NEAR_CHARS - 1)))
+    stretches = rules.withColumn("stretch", F.explode(cut)).drop("folded").join(sizes, "project_path")
+    places = F.sequence(F.lit(1), F.least(F.length("stretch"), F.lit(step)))
+    rests = F.array_distinct(F.transform(places, lambda at: F.substr("stretch", at, F.lit(NEAR_CHARS))))
+    return (
+        stretches.withColumn("rest", F.explode(rests)).drop("stretch")
+        .where(F.length("rest") >= F.col("size"))
+        .withColumn("gram", F.substr("rest", F.lit(1), F.col("size"))).drop("size")
+    )
 
 
 def _containing(rules: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``rules`` (with ``folded``) for each wanted start they contain.
+    """Rows of ``rules`` (with ``folded``) once for each wanted ``start`` they contain.
 
-    Rules are cut into pieces as long as the starts wanted in their project and
-    joined on equality: the work grows with the text, never with pairs of rules.
+    Texts are cut into grams; where one equals the first characters of wanted
+    starts, pieces as long as those starts are compared by an equality join.  The
+    work grows with the text, never with pairs of rules.
     """
-    sizes = wanted.select("project_path", F.length("start").alias("size")).distinct()
-    pieces = rules.join(sizes, "project_path").withColumn(
-        "start", F.explode(_pieces(F.col("folded"), F.col("size")))).drop("size", "folded")
-    return pieces.join(wanted, ["project_path", "start"], "left_semi")
+    keyed = wanted.withColumn("gram", F.substring("start", 1, _GRAM))
+    sizes = keyed.select("project_path", F.length("gram").alias("size")).distinct()
+    lengths = keyed.groupBy("project_path", "gram").agg(  # at most 50 different lengths
+        F.collect_set(F.length("start")).alias("lengths"))
+    pieces = (
+        _grams(rules, sizes).join(lengths, ["project_path", "gram"])
+        .withColumn("n", F.explode("lengths")).where(F.length("rest") >= F.col("n"))
+        .withColumn("start", F.substr("rest", F.lit(1), F.col("n")))
+        .drop("gram", "rest", "lengths", "n")
+    )
+    return pieces.join(wanted, ["project_path", "start"], "left_semi").distinct()
 
 
 def dedup_rules(rules: DataFrame, new: DataFrame) -> DataFrame:

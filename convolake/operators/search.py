@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
-from ..session import pin, write_down
+from ..session import pin, spread, write_down
 from .ranking import first_n
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -65,9 +65,11 @@ def build_corpus(skills: DataFrame, messages: DataFrame, sessions: DataFrame,
     return out
 
 
-def tokens(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(list(stop_words))) if stop_words else found
+def explode_terms(df: DataFrame, text: str, stop_words: Sequence[str], *keep: str) -> DataFrame:
+    """One row per word of ``text`` that is no stop word: the ``keep`` columns and ``term``."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+    found = df.select(*keep, F.explode(words).alias("term"))
+    return found.where(~F.col("term").isin(list(stop_words))) if stop_words else found
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -85,18 +87,22 @@ def _ranked() -> list[Column]:
 
 def _term_counts(corpus: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """(type, id, term, tf): a document's words meet in the task that reads it."""
-    found = corpus.select("type", "id", F.explode(tokens(F.col("text"), stop_words)).alias("term"))
+    found = explode_terms(corpus, "text", stop_words, "type", "id")
     return found.groupBy("type", "id", "term").agg(F.count("*").alias("tf"))
 
 
-def _frequent(postings: DataFrame, max_features: int) -> DataFrame:
-    """The ``max_features`` most frequent terms (term, total, df), written down."""
-    terms = postings.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+def _statistics(postings: DataFrame) -> DataFrame:
+    """(term, total, df) over all documents."""
+    return postings.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+
+
+def _frequent(terms: DataFrame, max_features: int) -> DataFrame:
+    """The ``max_features`` most frequent terms, written down."""
     return pin(terms.orderBy(F.desc("total"), F.asc("term")).limit(max_features))
 
 
 def _query_words(queries: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    words = queries.select("query_id", F.explode(tokens(F.col("query"), stop_words)).alias("term"))
+    words = explode_terms(queries, "query", stop_words, "query_id")
     return words.groupBy("query_id", "term").agg(F.count("*").alias("n"))
 
 
@@ -105,26 +111,26 @@ def search(corpus: DataFrame, query: str, project: str | None = None, limit: int
            stop_words: Sequence[str] = ENGLISH_STOP_WORDS, digits: int = 3) -> DataFrame:
     """Rows of ``corpus`` most similar to ``query``: the query is one more document.
 
-    The project filter comes before all statistics.  Two passes over the corpus:
-    one finds the ``max_features`` most frequent terms, which are few whatever the
-    corpus; the other weighs documents by them, dropping all other terms at once.
+    The project filter comes before all statistics.  The corpus is read once and
+    its word counts are written down; the vocabulary is the ``max_features`` most
+    frequent terms, which are few whatever the corpus.
     """
     if project:
         corpus = corpus.where(F.col("project").contains(project))
-    asked = corpus.sparkSession.range(1).select(
-        F.lit("").alias("type"), F.lit(None).cast("string").alias("id"), F.lit(query).alias("text"))
-    documents = corpus.select("type", "id", "text")
-    terms = _frequent(_term_counts(documents.unionByName(asked), stop_words), max_features)
+    documents = spread(corpus.select("type", "id", "text"), "type", "id")
+    postings = write_down(_term_counts(documents, stop_words))
+    asked = corpus.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
+    words = _query_words(asked, stop_words)
+    with_query = _statistics(postings).unionByName(
+        words.select("term", F.col("n").alias("total"), F.lit(1).alias("df")))
+    terms = _frequent(
+        with_query.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")), max_features)
     size = corpus.agg((F.count("*") + 1).alias("n")).scalar()
-    words = _query_words(asked.select(F.lit(0).alias("query_id"), F.col("text").alias("query")), stop_words)
-    vocabulary = terms.select("term", _idf(size, F.col("df")).alias("idf")).join(
-        words.select("term", "n"), "term", "left")
-    found = documents.select("type", "id", F.explode(tokens(F.col("text"), stop_words)).alias("term"))
-    weighed = (
-        found.join(F.broadcast(vocabulary), "term")  # at most `max_features` rows
-        .groupBy("type", "id", "term").agg(
-            (F.count("*") * F.first("idf")).alias("w"), (F.first("n") * F.first("idf")).alias("q"))
-    )
+    vocabulary = terms.select("term", "df").join(F.broadcast(words), "term", "left").select(
+        "term", "n", _idf(size, F.col("df")).alias("idf"))
+    # at most `max_features` rows
+    weighed = postings.join(F.broadcast(vocabulary), "term").select(
+        "type", "id", (F.col("tf") * F.col("idf")).alias("w"), (F.col("n") * F.col("idf")).alias("q"))
     query_norm = vocabulary.agg(F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), 2))).alias("q")).scalar()
     scored = (
         weighed.groupBy("type", "id")
@@ -157,10 +163,10 @@ class SearchIndex:
 def build_index(corpus: DataFrame, max_features: int = MAX_FEATURES,
                 stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> SearchIndex:
     """Tokenise a corpus once; the counts are written down for all later searches."""
-    postings = write_down(_term_counts(corpus, stop_words))
-    terms = write_down(
-        postings.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")))
-    vocabulary = pin(terms.orderBy(F.desc("total"), F.asc("term")).limit(max_features))
+    documents = spread(corpus.select("type", "id", "text"), "type", "id")
+    postings = write_down(_term_counts(documents, stop_words))
+    terms = write_down(_statistics(postings))
+    vocabulary = _frequent(terms, max_features)
     size = corpus.agg(F.count("*").alias("n")).scalar()
     return SearchIndex(postings, terms, vocabulary, size, max_features, stop_words)
 

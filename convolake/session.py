@@ -55,3 +55,13 @@ def write_down(df: DataFrame) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/convolake-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores where the input has fewer files than there are cores.
+
+    For steps that do much work per byte of a small input.  Input with enough files
+    is left as it is: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if 0 < len(df.inputFiles()) < cores else df
