@@ -89,15 +89,15 @@ TABLES = {
           concat('Update ', description) description, concat('Then: ', steps) steps, tags, obs_type
         from f_skills""",
     "f_rules": """
-        select concat('proj_', item_id % 3) project_path, text rule_text, 'review' source,
+        select concat('/home/dev/projects/proj_', item_id % 3) project_path, text rule_text, 'review' source,
           item_id rule_seq, item_id % 5 created_min from benchmark""",
     "f_new_rules": """
-        select concat('proj_', item_id % 3) project_path, item_id * 10 + v rule_seq,
+        select concat('/home/dev/projects/proj_', item_id % 3) project_path, item_id * 10 + v rule_seq,
           case v when 0 then concat('  ', translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ')
             when 1 then concat(text, ' and more') else concat('Fresh rule ', item_id % 4) end rule_text
         from benchmark cross join (select * from (values (0), (1), (2)) a(v)) a
         union all
-        select concat('proj_', conv_id % 3) project_path, 100000000 + conv_id * 1000 + turn rule_seq, text rule_text
+        select concat('/home/dev/projects/proj_', conv_id % 3) project_path, 100000000 + conv_id * 1000 + turn rule_seq, text rule_text
         from conversations where role <> 'assistant'""",
 }
 

@@ -280,6 +280,21 @@ def path_resolve(t):
     return paths.resolve_paths(named, ["3", "second", "SET_1", "part_2", "missing", "99999"])
 
 
+@query(f"""
+with {_PATH_TABLE}, given as (select path, max(alias) alias, max(project) project, count(*) n from (
+    select path, null alias, null project from pt where path_id % 2 = 0
+    union all select concat('/new', path), concat('alias ', path_id), '/home/dev' from pt) group by path)
+select cast(coalesce(path_id, (select max(path_id) from pt) + row_number() over (partition by path_id is null order by given.path)) as bigint) path_id,
+  coalesce(pt.path, given.path) path, given.alias, case when path_id is null then project else project_path end project_path,
+  cast(coalesce(use_count, 0) + coalesce(n, 0) as bigint) use_count
+from pt full join given on given.path = pt.path""", "f_messages f_sessions f_progress")
+def paths_added(t):
+    stored = _path_table(t)
+    again = stored.where("path_id % 2 = 0").selectExpr("path", "cast(null as string) alias", "cast(null as string) project_path")
+    new = stored.selectExpr("concat('/new', path) path", "concat('alias ', path_id) alias", "'/home/dev' project_path")
+    return paths.add_paths(stored, again.unionByName(new)).drop("last_used")
+
+
 # -- watermarks and batches ---------------------------------------------------
 
 _FRESH = """fresh as (
@@ -359,11 +374,60 @@ def truncate_responses(t):
     return kept.select("session_id", "msg_seq", truncate_salient(F.col("response_summary")).alias("response"))
 
 
-@query()
+_NL = "chr(10)"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _session_texts(source: str, name: str) -> str:
+    """SQL for the prompt text of each session of ``source``."""
+    short = _SALIENT.format(c="substr(response_summary, 1, 2000)")
+    return f"""{name}_lines as (
+  select project_path, session_id, ts, msg_seq, row_number() over (partition by project_path, session_id order by ts nulls first, msg_seq) rn,
+    concat('USER: ', substr(user_text, 1, 200),
+      case when substr(coalesce(response_summary, ''), 1, 2000) <> '' then concat({_NL}, 'RESPONSE: ', {short}) else '' end) line
+  from {source}),
+{name} as (select project_path, session_id,
+  concat('--- Session ', substr(session_id, 1, 8), ' ---', {_NL}, string_agg(line, {_NL} order by rn)) session_text
+  from {name}_lines where rn <= 30 group by project_path, session_id)"""
+
+
+_FILE_MAPS = f"""fm as (select skill_id, concat('{{', string_agg(concat('"', file, '":["', replace(symbols, ',', '","'), '"]'), ',' order by n), '}}') file_map
+  from (select skill_id, n, file, string_agg(symbol, ',' order by pos) symbols from f_skill_files group by skill_id, n, file) group by skill_id)"""
+_SKILL_LINES = f"""{_FILE_MAPS},
+sl as (select f.project_path, f.created_min, f.skill_id, concat('[skill_id=', f.skill_id, '] ', title, ' (type=', obs_type, '): ', f.description,
+    {_NL}, '  Steps: ', substr(steps, 1, 200), {_NL}, '  Tags: ', tags,
+    case when len(facts) > 0 then concat({_NL}, '  Facts: ', substr(concat('["', array_to_string(facts, '","'), '"]'), 1, 200)) else '' end,
+    {_NL}, '  Concepts: ', substr(concat('["', array_to_string(concepts, '","'), '"]'), 1, 150),
+    case when file_map is not null then concat({_NL}, '  FileMap: ', substr(file_map, 1, 300)) else '' end,
+    case when template is not null then concat({_NL}, '  Commands: ', substr(concat('[{{"name":"', name, '","template":"', template,
+      '","description":"', ft.description, '"}}]'), 1, 300)) else '' end) line
+  from f_skills f left join fm on fm.skill_id = f.skill_id left join f_skill_templates ft on ft.skill_id = f.skill_id),
+sk as (select project_path, concat({_literal(B.SKILLS_HEADER)}, string_agg(line, chr(10) || chr(10) order by created_min, skill_id)) text,
+  sum(length(line) + 2) chars from sl group by project_path),
+ru as (select project_path, concat({_literal(B.RULES_HEADER)}, string_agg(concat('  ', rn, '. ', rule_text), {_NL} order by rn)) text,
+  sum(length(rule_text) + 1) chars
+  from (select *, row_number() over (partition by project_path order by created_min, rule_seq) rn from f_rules) group by project_path)"""
+_PROMPT_NEEDS = f"{_NEEDS} f_skills f_skill_files f_skill_templates f_rules"
+
+
+@query(f"""
+with {_ASSIGNED}, {_session_texts("fresh", "tx")}, {_SKILL_LINES},
+ba as (select a.project_path, floor(pos / 5) batch_no, count(*) n_sessions, sum(n_messages) n_messages,
+    string_agg(a.session_id, ',' order by pos) session_ids, string_agg(session_text, {_NL} || {_NL} order by pos) conversations
+  from asg a join tx on tx.project_path = a.project_path and tx.session_id = a.session_id group by a.project_path, floor(pos / 5))
+select ba.project_path, cast(batch_no as bigint) batch_no, cast(n_sessions as integer) n_sessions, cast(n_messages as bigint) n_messages, session_ids,
+  concat('Project ', ba.project_path, {_NL}, {_NL}, conversations, coalesce(sk.text, ''), coalesce(ru.text, ''),
+    {_NL}, {_NL}, 'Answer with a JSON array.') prompt,
+  cast({len(TEMPLATE)} + length(conversations) + coalesce(sk.chars, 0) + coalesce(ru.chars, 0) as bigint) prompt_chars
+from ba left join sk on sk.project_path = ba.project_path left join ru on ru.project_path = ba.project_path
+""", _PROMPT_NEEDS)
 def distill_prompts(t):
     state = t.state()
     prompts = B.build_prompts(plan_batches(state).rows, state.skills, state.rules, TEMPLATE)
-    return prompts.withColumn("session_ids", F.array_join("session_ids", ","))
+    return prompts.withColumn("session_ids", F.array_join("session_ids", ",")).drop("error")
 
 
 @query(f"""
@@ -381,9 +445,19 @@ def review_sample(t):
     return sample.select("project_path", "session_id", "created_at", "first_ts", F.col("position").cast("long").alias("position"))
 
 
-@query()
-def review_prompt_sizes(t):
-    return review_prompts(t.state(), REVIEW_TEMPLATE).drop("session_ids", "prompt")
+@query(f"""
+with al as (select m.*, s.project_path, s.created_at from f_messages m join f_sessions s on s.session_id = m.session_id
+  where s.project_path in (select project_path from f_skills) and m.user_text is not null),
+f as (select project_path, session_id, created_at, min(ts) first_ts, count(*) n from al group by all),
+r as (select *, row_number() over (partition by project_path order by created_at desc nulls last, first_ts desc nulls last, session_id desc) d from f),
+{_session_texts("al", "tx")}, {_SKILL_LINES},
+ba as (select r.project_path, count(*) n_sessions, sum(n) n_messages, string_agg(session_text, {_NL} || {_NL} order by d desc) conversations
+  from r join tx on tx.project_path = r.project_path and tx.session_id = r.session_id where d <= 20 group by r.project_path)
+select sk.project_path, cast(coalesce(n_sessions, 0) as integer) n_sessions, cast(coalesce(n_messages, 0) as bigint) n_messages,
+  concat('Review ', sk.project_path, {_NL}, {_NL}, coalesce(conversations, ''), sk.text) prompt
+from sk left join ba on ba.project_path = sk.project_path""", _PROMPT_NEEDS)
+def review_prompts_built(t):
+    return review_prompts(t.state(), REVIEW_TEMPLATE).select("project_path", "n_sessions", "n_messages", "prompt")
 
 
 # -- rules --------------------------------------------------------------------
@@ -416,6 +490,22 @@ def rules_list(t):
     return reports.list_rules(t.rules, "proj").drop("created_at")
 
 
+@query("""
+select project_path, rule_text, source, rule_seq from f_rules
+union all
+select project_path, 'Check twice', 'manual',
+  1 + coalesce((select max(rule_seq) from f_rules r where r.project_path = p.project_path), 0)
+from (select min(project_path) project_path from f_sessions where lower(project_path) like '%proj_%') p
+""", "f_sessions f_rules")
+def rules_added(t):
+    return rules.add_rule(t.rules, t.sessions, "PROJ_", "Check twice").drop("created_at")
+
+
+@query("select project_path, rule_text, source, rule_seq from f_rules where project_path not like '%/proj_1%'", "f_rules")
+def rules_cleared(t):
+    return rules.clear_rules(t.rules, "/PROJ_1").drop("created_at")
+
+
 # -- skills -------------------------------------------------------------------
 
 @query("select project_path, title, substr(sha256(concat(project_path, ':', title, ':', steps)), 1, 16) new_id from f_incoming", "f_incoming")
@@ -511,22 +601,58 @@ def normalize_skills(t):
                        F.array_join("files_read", ",").alias("files"))
 
 
+def _stub():
+    """A model stand-in: one skill named after the first session of a prompt, one shared by all."""
+    def answer(prompts):
+        import json
+        import re
+        out = []
+        for prompt in prompts:
+            sessions = re.findall(r"^--- Session (\S+) ---$", prompt, re.M)
+            out.append(json.dumps([{"title": f"From {sessions[0]}", "steps": ["first", sessions[0]]},
+                                   {"title": "Shared", "steps": sessions[-1], "tags": ["stub"], "type": "bugfix"}]))
+        return out
+    return answer
+
+
+_DISTILLED = f"""{_ASSIGNED}, b as (
+  select project_path, floor(pos / 5) bn, sum(n_messages) n, arg_min(session_id, pos) s0, arg_max(session_id, pos) s1 from asg group by all)"""
+
+
 @query(f"""
-with {_ASSIGNED}, b as (select project_path, floor(pos / 5) bn, sum(n_messages) n from asg group by all),
+with {_DISTILLED},
 tot as (select count(*) n from f_messages m join f_sessions s on s.session_id = m.session_id where s.project_path is not null)
 select 'projects' stat, count(distinct project_path) n from f_sessions where project_path is not null
 union all select 'batches', count(*) from b
 union all select 'batches_failed', 0
+union all select 'skills_created', count(*) + count(distinct project_path) from b
+union all select 'skills_updated', count(*) - count(distinct project_path) from b
 union all select 'messages_processed', cast(sum(n) as bigint) from b
 union all select 'messages_skipped', cast((select n from tot) - sum(n) as bigint) from b""", _NEEDS)
-def distill_run(t):
-    def answer(prompts):
-        import json
-        return [json.dumps([{"title": f"Length {len(p)}", "steps": [p]},
-                            {"title": "Shared", "steps": [p], "tags": ["stub"]}]) for p in prompts]
+def distill_stats(t):
+    return distill(t.state(), _stub(), TEMPLATE).stats
 
-    stats = distill(t.state(), answer, TEMPLATE).stats
-    return stats.where(~F.col("stat").startswith("skills_"))
+
+_DISTILLED_SKILLS = f"""
+with {_DISTILLED}, k as (
+  select project_path, concat('From ', substr(s0, 1, 8)) title, concat('first', {_NL}, substr(s0, 1, 8)) steps,
+    concat('first', {_NL}, substr(s0, 1, 8)) made_from, '' tags, 'workflow' obs_type from b
+  union all
+  select project_path, 'Shared', arg_max(substr(s1, 1, 8), bn), arg_min(substr(s1, 1, 8), bn), 'stub', 'bugfix' from b group by project_path)
+select substr(sha256(concat(project_path, ':', title, ':', made_from)), 1, 16) skill_id, project_path, title, steps, tags, obs_type from k
+union all select skill_id, project_path, title, steps, tags, obs_type from f_skills"""
+
+
+@query(_DISTILLED_SKILLS, f"{_NEEDS} f_skills")
+def distill_snapshot(t):
+    return distill(t.state(), _stub(), TEMPLATE).skills.select(
+        "skill_id", "project_path", "title", "steps", "tags", "obs_type")
+
+
+@query(_DISTILLED_SKILLS, f"{_NEEDS} f_skills")
+def distill_sequential(t):
+    return distill(t.state(), _stub(), TEMPLATE, mode="sequential").skills.select(
+        "skill_id", "project_path", "title", "steps", "tags", "obs_type")
 
 
 # -- search -------------------------------------------------------------------
@@ -639,7 +765,6 @@ def command_templates(t):
     return render.command_templates(t.skills).drop("created_at", "pos")
 
 
-_NL = "chr(10)"
 _BLOCKS = f"""{_MAPPED}, {_KEY_FILES},
 cl as (select f.*, ft.template, ft.name tname, case when lower(title) like '%constant%' or lower(title) like '%quick reference%' then 1
   when lower(title) like '%file map%' or (obs_type = 'discovery' and pidx < 4 and doc_id % 3 > 0) then 0
