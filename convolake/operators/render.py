@@ -15,7 +15,7 @@ from ..functions.text import bullets, project_slug, title_slug
 from .ranking import first_n, group_index
 
 SYMBOLS_PER_FILE = 8
-BLOCKS_PER_PART = 2000
+BLOCKS_PER_PART = 1000
 
 HEADER = (
     "<!-- Generated file, do not edit by hand.\n     Project: {project_name}\n"

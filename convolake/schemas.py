@@ -57,12 +57,14 @@ _DEFAULTS = {
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the columns of ``schema``, adding absent ones with their default."""
-    have = set(df.columns)
-    columns = []
+    """Select the columns of ``schema``; absent columns and gaps get their default."""
+    have, columns = set(df.columns), []
     for field in schema.fields:
-        source = F.col(field.name) if field.name in have else F.expr(_DEFAULTS.get(field.name, "null"))
-        columns.append(source.cast(field.dataType).alias(field.name))
+        source = F.col(field.name) if field.name in have else F.lit(None)
+        source = source.cast(field.dataType)
+        if field.name in _DEFAULTS:
+            source = F.coalesce(source, F.expr(_DEFAULTS[field.name]).cast(field.dataType))
+        columns.append(source.alias(field.name))
     return df.select(*columns)
 
 

@@ -58,10 +58,15 @@ def write_down(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores where the input has fewer files than there are cores.
+    """Use all cores where the input is too small for Spark to split it that far.
 
-    For steps that do much work per byte of a small input.  Input with enough files
-    is left as it is: no shuffle is added.
+    For steps that do much work per byte.  Files are split down to
+    ``openCostInBytes`` a task, so larger inputs already give every core a task and
+    are left as they are: no shuffle is added.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if 0 < len(df.inputFiles()) < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    smallest = int(spark.conf.get("spark.sql.files.openCostInBytes", "4194304").rstrip("bB"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores, *keys) if size < cores * smallest else df

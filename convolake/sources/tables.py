@@ -36,11 +36,15 @@ def write_table(df: DataFrame, root: str, name: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
 
 
-def _all_batches(spark: SparkSession, root: str, name: str, before: int | None) -> DataFrame | None:
+def _all_batches(spark: SparkSession, root: str, name: str, schema: T.StructType,
+                 before: int | None) -> DataFrame | None:
+    """All batches of a table read with its schema: no footer is opened to learn it,
+    and columns an older file lacks come back empty."""
+    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     try:
-        stored = spark.read.option("mergeSchema", True).parquet(f"{root}/{name}")
+        stored = spark.read.schema(with_batch).parquet(f"{root}/{name}")
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+        if "PATH_NOT_FOUND" in str(error):
             return None
         raise
     return stored if before is None else stored.where(F.col("batch") < before)
@@ -48,14 +52,14 @@ def _all_batches(spark: SparkSession, root: str, name: str, before: int | None)
 
 def read_appended(spark: SparkSession, root: str, name: str, schema: T.StructType,
                   before: int | None = None) -> DataFrame:
-    stored = _all_batches(spark, root, name, before)
+    stored = _all_batches(spark, root, name, schema, before)
     return empty(spark, schema) if stored is None else conform(stored, schema)
 
 
 def read_latest(spark: SparkSession, root: str, name: str, schema: T.StructType,
                 before: int | None = None) -> DataFrame:
     """The newest version of a replaced table; only its own files are read."""
-    stored = _all_batches(spark, root, name, before)
+    stored = _all_batches(spark, root, name, schema, before)
     latest = None if stored is None else stored.agg(F.max("batch")).first()[0]
     if latest is None:
         return empty(spark, schema)

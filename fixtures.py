@@ -42,9 +42,9 @@ TABLES = {
                when nrole = 'assistant' then ntext end response_summary,
           1700000000000 + conv_id * 3600000 + turn * 60000 ts,
           conv_id, nrole, ntext
-        from (select *, lead(role) over (partition by conv_id order by turn) nrole,
-                     lead(text) over (partition by conv_id order by turn) ntext from conversations) z
-        where role = 'user'""",
+        from (select c.conv_id, c.turn, c.text, n.role nrole, n.text ntext
+          from conversations c left join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1
+          where c.role = 'user') z""",
     # sessions of five turns or more were distilled before, half of them to the end
     "f_progress": """
         select session_id, project_path,
@@ -135,7 +135,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if f" {source}" in text.replace("\n", " "):
             sources[source] = (
                 table(spark, sf_dir, source) if source in TABLES else driver_table(spark, sf_dir, source))
-            text = text.replace(f"from {source}", f"from {{{source}}}")
+            text = text.replace(f"from {source}", f"from {{{source}}}").replace(f"join {source}", f"join {{{source}}}")
     return spark.sql(text, **sources)
 
 

@@ -13,7 +13,7 @@ def skills(spark, *rows):
     return conform(spark.createDataFrame(full, COLUMNS), SKILLS)
 
 
-def document(spark, *rows, per_part=2000):
+def document(spark, *rows, per_part=1000):
     parts = R.render_instructions(skills(spark, *rows), "NOW", per_part).orderBy("part_no").collect()
     text = "".join(p.content for p in parts)
     head = R.HEADER.format(project_name="app", timestamp="NOW")

@@ -705,10 +705,10 @@ def search_messages(t):
     return search.search(corpus, SEARCH_TEXT, digits=6)
 
 
-@query(_search_sql("all", SEARCH_TEXT, "where contains(project, 'proj_3')"), _SEARCH_NEEDS)
+@query(_search_sql("all", SEARCH_TEXT, "where contains(project, 'proj_1')"), _SEARCH_NEEDS)
 def search_project(t):
     corpus = search.build_corpus(t.skills, t.messages, t.sessions)
-    return search.search(corpus, SEARCH_TEXT, project="proj_3", digits=6)
+    return search.search(corpus, SEARCH_TEXT, project="proj_1", digits=6)
 
 
 # a full refit for every query: its words count in the vocabulary and in the idf
@@ -811,7 +811,7 @@ placed as (select project_path, block, row_number() over (partition by project_p
 
 @query(f"""
 with {_BLOCKS}
-select project_path, cast(floor(place / 2000) as bigint) part_no, string_agg(block, '' order by place) content
+select project_path, cast(floor(place / 1000) as bigint) part_no, string_agg(block, '' order by place) content
 from placed group by all""", "f_skills f_skill_files f_skill_templates")
 def render_instructions(t):
     return render.render_instructions(t.skills, AS_OF)
