@@ -63,6 +63,18 @@ def upsert_paths(paths: DataFrame, counts: DataFrame, as_of: Column | None = Non
     return known.unionByName(numbered)
 
 
+def recount_paths(paths: DataFrame, counts: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Set use counts from a full count of the messages, for a reload of everything.
+
+    Ids, aliases and first projects stay; a path no message mentions was added by
+    hand and keeps its count.
+    """
+    fresh = counts.select("path", F.col("use_count").alias("_n"))
+    kept = paths.join(fresh, "path", "left").withColumn(
+        "use_count", F.coalesce("_n", "use_count")).select(*paths.columns)
+    return upsert_paths(kept, counts.join(paths.select("path"), "path", "left_anti"), as_of)
+
+
 def add_paths(paths: DataFrame, new: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Add paths by hand: (path, alias, project_path); a given alias replaces the old one.
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.paths import path_counts, path_references, upsert_paths
+from ..operators.paths import path_counts, path_references, recount_paths, upsert_paths
 from ..operators.progress import stale_projects
 from ..operators.render import render_instructions, skill_documents
 from ..session import pin
 from ..sources.ingest import ingest
+from ..schemas import PROGRESS, empty
 from ..sources.tables import (
-    REPLACED, SESSIONS, MESSAGES, load_state, read_appended, write_documents,
+    MESSAGES, REPLACED, SESSIONS, load_state, read_appended, write_documents,
     write_skill_documents, write_table,
 )
 from .distill import ModelFn, distill
@@ -52,3 +53,22 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
         write_documents(render_instructions(state.skills, stamp), f"{target}/instructions")
         write_skill_documents(skill_documents(state.skills), f"{target}/skills")
     return True
+
+
+def reload_pipeline(spark: SparkSession, root: str, raw: DataFrame, new_root: str) -> None:
+    """Ingest everything again: tables under ``new_root`` as batch 0.
+
+    Skills, rules and aliases are taken over from ``root``, paths are counted anew,
+    and no message counts as distilled.
+    """
+    state = load_state(spark, root)
+    taken = ingest(raw, state.sessions, state.messages, force=True)
+    write_table(taken.new_messages, new_root, "messages", 0)
+    write_table(taken.new_sessions, new_root, "sessions", 0)
+    state.sessions = read_appended(spark, new_root, "sessions", SESSIONS)
+    state.messages = read_appended(spark, new_root, "messages", MESSAGES)
+    counts = path_counts(path_references(state.messages), state.sessions)
+    state.paths = recount_paths(state.paths, counts)
+    state.progress = empty(spark, PROGRESS)
+    for name in REPLACED:
+        write_table(getattr(state, name), new_root, name, 0)

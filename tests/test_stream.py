@@ -1,7 +1,7 @@
 import datetime as dt
 
 from convolake.operators.bursts import burst_windows, change_bursts
-from convolake.plans.pipeline import run_pipeline
+from convolake.plans.pipeline import reload_pipeline, run_pipeline
 from convolake.sources.session_logs import read_session_logs, stream_session_logs
 from convolake.sources.tables import load_state
 from convolake.streaming.pipeline import start_pipeline
@@ -63,6 +63,18 @@ def test_running_a_batch_again_changes_nothing(spark, tmp_path):
     assert load_state(spark, store).skills.count() == 1
 
 
+def test_reload_keeps_skills_and_counts_paths_anew(spark, tmp_path):
+    source, store, again = tmp_path / "logs", str(tmp_path / "store"), str(tmp_path / "again")
+    fill(source)
+    run_pipeline(spark, store, read_session_logs(spark, str(source)), 0, answer_fn(), TEMPLATE, render=False)
+    logs.write(source, "w1", "a", logs.session("a", 3))
+    reload_pipeline(spark, store, read_session_logs(spark, str(source)), again)
+    state = load_state(spark, again)
+    assert state.messages.count() == 3 and state.skills.count() == 1 and state.progress.count() == 0
+    assert {r.path: (r.path_id, r.use_count) for r in state.paths.collect()} == {
+        "/data/x/0.csv": (1, 1), "/data/x/1.csv": (2, 1), "/data/x/2.csv": (3, 1)}
+
+
 def test_failed_runs_can_be_reported(spark, tmp_path):
     source = tmp_path / "logs"
     fill(source)

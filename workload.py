@@ -280,6 +280,14 @@ def path_resolve(t):
     return paths.resolve_paths(named, ["3", "second", "SET_1", "part_2", "missing", "99999"])
 
 
+@query(f"with {_PATH_TABLE} select path_id, path, project_path, use_count from pt", "f_messages f_sessions f_progress")
+def paths_recounted(t):
+    """A reload must not count twice: counted again on top, then set right."""
+    counts = paths.path_counts(paths.path_references(t.messages), t.sessions)
+    doubled = paths.upsert_paths(_path_table(t), counts)
+    return paths.recount_paths(doubled, counts).select("path_id", "path", "project_path", "use_count")
+
+
 @query(f"""
 with {_PATH_TABLE}, given as (select path, max(alias) alias, max(project) project, count(*) n from (
     select path, null alias, null project from pt where path_id % 2 = 0
