@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import fixtures as X
+from convolake.functions.answers import json_list, json_map
 from convolake.functions.text import content_id, truncate_salient
 from convolake.operators import batches as B
 from convolake.operators import bursts, merge, model, paths, progress, render, reports, rules, search
@@ -745,6 +746,23 @@ def search_batch(t):
     return search.search_batch(corpus, search.build_index(corpus), asked, digits=6)
 
 
+# -- JSON text in cells -------------------------------------------------------
+
+@query("""
+select event_id, replace(props, ' ', '') as wrapped, '' as emptied, 1 as n_keys,
+  concat(replace(props, ' ', ''), '|', event_type, '|True|None') as listed, event_type as invalid
+from events""")
+def json_cells(t):
+    """JSON text columns read leniently: objects, lists and text that is no JSON."""
+    cells = t.events.withColumn("list_text", F.expr("concat('[', props, ',\"', event_type, '\", true, null]')"))
+    return cells.select(
+        "event_id", F.array_join(json_list("props"), "|").alias("wrapped"),
+        F.array_join(json_list("props", on_scalar="empty"), "|").alias("emptied"),
+        F.size(json_map("props")).alias("n_keys"),
+        F.array_join(json_list("list_text"), "|").alias("listed"),
+        F.array_join(json_list("event_type", on_invalid="text"), "|").alias("invalid"))
+
+
 # -- rendering ----------------------------------------------------------------
 
 _MAPPED = """seen as (select project_path, file, symbol, min((created_min, skill_id, pos)) s from f_skill_files group by all),
