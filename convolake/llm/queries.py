@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import ngram_join, substring_dedup
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(read(spark, sf_dir, "documents"), ngram_join.Rule(n=3, percent=90))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a repeated window of 35 words, removed."""
+    return substring_dedup.removal_digests(read(spark, sf_dir, "documents"), window=35, start=18)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op5_ngram_jaccard_join,
+    op5_ngram_jaccard_join, op6_substring_dedup,
 )}
 SQL: dict[str, str] = {}
