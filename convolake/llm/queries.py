@@ -4,14 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join, substring_dedup
+from . import bpe, mixing, ngram_join, substring_dedup, token_counts
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+TOKENS_AT_MOST = 512
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every text, there and back."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip_digests(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts through a digest cache."""
+    counted = token_counts.count_tokens_once(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKENS_AT_MOST)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of one and a half times all words, its sources weighted 5, 2, 1, repeating."""
+    return mixing.mix_report(read(spark, sf_dir, "documents"), mixing.repeating_weights(5, 2, 1), share=1.5, most=2.0)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of Jaccard 0.9 or more on three-word shingles, as components."""
     return ngram_join.jaccard_groups(read(spark, sf_dir, "documents"), ngram_join.Rule(n=3, percent=90))
@@ -23,6 +45,6 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op5_ngram_jaccard_join, op6_substring_dedup,
+    op2_byte_bpe, op5_ngram_jaccard_join, op6_substring_dedup, op7_token_counts, op10_mixing,
 )}
 SQL: dict[str, str] = {}
