@@ -9,6 +9,8 @@ bounds keep the product small:
 - only each row's first ``n - ceil(t n) + k`` columns in one common order enter the
   product; linked rows share at least ``k`` of them, so a pair with a smaller
   accumulated count is discarded unseen (``k`` grows with the size);
+- of two sets, the bits in which their parity bitmaps differ are no more than the n-grams
+  in which they differ, so a pair with too many such bits is discarded as well;
 - the common order puts frequent columns last.  Frequencies come from a table of counters
   of fixed size over all documents; being only an order, its errors cost time, not links.
 
@@ -34,6 +36,7 @@ from .scratch import Scratch
 
 COUNTERS = 1 << 20  # of n-gram frequencies, for the order of the columns
 SLICES = 64
+PARITY = [f"s{i}" for i in range(8)]  # 512 bits for each set: how many of its n-grams fall on a bit, modulo 2
 MEMBERS = 512  # rows compared with one leader in one block
 
 
@@ -72,10 +75,6 @@ def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield row + i, h[:0]
 
 
-def _level(counts: np.ndarray) -> np.ndarray:
-    return np.frexp(counts.astype(np.float64))[1].astype(np.uint64)
-
-
 def _bucket(grams: np.ndarray, n_counters: int) -> np.ndarray:
     return (grams % np.uint64(n_counters)).astype(np.int64)
 
@@ -98,36 +97,37 @@ def gram_counters(docs: DataFrame, rule: Rule, n_counters: int = COUNTERS) -> np
                 total += np.bincount(_bucket(np.concatenate(held), n_counters), minlength=n_counters)
         parts = total.reshape(SLICES, width)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "counts"]
+            [pa.array(range(SLICES), pa.int32()), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary())], ["slice", "counts"]
         )
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[i] = sums.get(i, 0) + np.frombuffer(raw.as_buffer(), np.int64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(raw.as_buffer(), np.uint32).astype(np.uint64)
+        most = np.uint64(2**32 - 1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([_level(s).astype(np.uint8).tobytes() for s in sums.values()], pa.binary())],
-            ["slice", "levels"],
+            [pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, most).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())],
+            ["slice", "counts"],
         )
 
     slices = (
         docs.select("text").mapInArrow(count, "slice int, counts binary")
-        .repartition("slice").mapInArrow(add, "slice int, levels binary")
+        .repartition("slice").mapInArrow(add, "slice int, counts binary")
     )
-    levels = np.zeros((SLICES, width), np.uint8)
-    for i, raw in slices.collect():  # SLICES rows, n_counters bytes in all
-        levels[i] = np.frombuffer(raw, np.uint8)
-    return levels.reshape(-1)
+    counts = np.zeros((SLICES, width), np.uint32)
+    for i, raw in slices.collect():  # SLICES rows, 4 bytes for each counter
+        counts[i] = np.frombuffer(raw, np.uint32)
+    return counts.reshape(-1)
 
 
-def signatures(docs: DataFrame, rule: Rule, levels: np.ndarray) -> DataFrame:
-    """``doc_id, text_key, n_shingles, node, check, prefix`` of every row.
+def signatures(docs: DataFrame, rule: Rule, counters: np.ndarray) -> DataFrame:
+    """``doc_id, text_key, n_shingles, node, check, prefix`` and ``PARITY`` of every row.
 
     ``node`` and ``check`` are a 128-bit fingerprint of the set, null for an empty one;
     ``prefix`` holds the columns that enter the product.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
+    shared = docs.sparkSession.sparkContext.broadcast(counters)  # 4 bytes for each counter
 
     def sign(batches):
         order = shared.value
@@ -135,55 +135,69 @@ def signatures(docs: DataFrame, rule: Rule, levels: np.ndarray) -> DataFrame:
             n = batch.num_rows
             sizes, node, check = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             prefix: list[bytes] = [b""] * n
+            parity = np.zeros((n, 64), np.uint8)
             for row, grams in gram_sets(batch.column(2), rule.n):
                 size = sizes[row] = len(grams)
                 if not size:
                     continue
                 node[row] = np.add.reduce(W.mix(grams))
                 check[row] = np.bitwise_xor.reduce(W.mix(grams * W._BASE))
-                level = order[_bucket(grams, len(order))].astype(np.uint64)
-                rank = (level << np.uint64(56)) | (grams >> np.uint64(8))
+                parity[row] = np.packbits(np.bincount((W.mix(grams + W._LEFT) >> np.uint64(55)).astype(np.int64), minlength=512) & 1)
+                # rare first; equal counts in the order of the hashes
+                rank = (order[_bucket(grams, len(order))].astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32))
                 prefix[row] = grams[np.argsort(rank, kind="stable")[: rule.prefix(size)]].tobytes()
             none = sizes == 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes),
                  pa.array(node.view(np.int64), mask=none), pa.array(check.view(np.int64), mask=none),
-                 pa.array(prefix, pa.binary())],
-                ["doc_id", "text_key", "n_shingles", "node", "check", "prefix"],
+                 pa.array(prefix, pa.binary()), *map(pa.array, np.ascontiguousarray(parity.view(np.int64).T))],
+                ["doc_id", "text_key", "n_shingles", "node", "check", "prefix", *PARITY],
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        sign, "doc_id long, text_key long, n_shingles long, node long, check long, prefix binary"
+        sign, "doc_id long, text_key long, n_shingles long, node long, check long, prefix binary, " + ", ".join(f"{s} long" for s in PARITY)
     )
 
 
 def _columns(classes: DataFrame) -> DataFrame:
-    """One row for each column of each row's prefix: ``gram, node, size``."""
+    """One row for each column of each row's prefix: ``gram, node, size, pos`` in the common order."""
     def split(batches):
         for batch in batches:
             raw = [x.as_buffer() for x in batch.column(2)]
             lengths = np.array([x.size // 8 for x in raw], np.int64)
             grams = np.concatenate([np.frombuffer(x, np.int64) for x in raw]) if raw else np.zeros(0, np.int64)
+            node, size = (np.repeat(batch.column(i).to_numpy(), lengths) for i in (0, 1))
+            pos = (np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
             for at in range(0, len(grams), 1 << 16):  # many rows come of one
                 part = slice(at, at + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[part]),
-                     pa.array(np.repeat(batch.column(0).to_numpy(), lengths)[part]),
-                     pa.array(np.repeat(batch.column(1).to_numpy(), lengths)[part])],
-                    ["gram", "node", "size"],
+                    [pa.array(grams[part]), pa.array(node[part]), pa.array(size[part]), pa.array(pos[part])],
+                    ["gram", "node", "size", "pos"],
                 )
 
     return classes.select("node", F.col("size").cast("int").alias("size"), "prefix").mapInArrow(
-        split, "gram long, node long, size int"
+        split, "gram long, node long, size int, pos int"
     )
 
 
-def _sizes_allow(a: Column, b: Column, rule: Rule) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * rule.percent
+def _shared(a: Column, b: Column) -> Column:
+    return F.floor(F.least(a, b) / 40) + 1
+
 
+def _can_link(rule: Rule) -> Column:
+    """Whether an entry of two rows counts: sizes ``a_size, b_size``, places ``a_pos, b_pos``.
 
-def _enough(count: Column, a: Column, b: Column) -> Column:
-    return count >= F.floor(F.least(a, b) / 40) + 1
+    Linked rows overlap in at least ``need`` columns, so of the first ``k`` shared ones none
+    has more than ``size - need`` unshared columns before it.
+    """
+    a, b = F.col("a_size"), F.col("b_size")
+    need = F.ceil((a + b) * rule.percent / (100 + rule.percent))
+    k = _shared(a, b)
+    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in PARITY), F.lit(0))
+    return (
+        (F.least(a, b) * 100 >= F.greatest(a, b) * rule.percent)
+        & (F.col("a_pos") < a - need + k) & (F.col("b_pos") < b - need + k) & (differ <= a + b - 2 * need)
+    )
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -225,42 +239,37 @@ def _open_columns(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Rows of the columns that hold more than one component, with each row's component."""
     rows = index if labels is None else index.join(labels, "node", "left")
     rows = rows.withColumn("component", F.col("node") if labels is None else F.coalesce("component", "node"))
-    columns = rows.groupBy("gram").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
-        F.min(F.struct("size", "node")).alias("smallest"), F.max(F.struct("size", "node")).alias("largest"),
-    ).where("low <> high")
-    return rows.join(columns, "gram")
+    columns = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return rows.join(columns.select("gram"), "gram")
 
 
-def _product_entries(rows: DataFrame) -> int:
-    """Entries of the product between different components of ``_open_columns``."""
-    each = rows.groupBy("gram", "component").agg(F.count("*").alias("n"))
-    squares = each.groupBy("gram").agg(F.pow(F.sum("n"), 2).alias("all"), F.sum(F.pow("n", F.lit(2))).alias("own"))
-    return int(squares.agg(F.coalesce(F.sum(F.col("all") - F.col("own")), F.lit(0.0)) / 2).head()[0])
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("gram", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "pos", "component", *PARITY)))
 
 
-def _against_leader(rows: DataFrame, leader: str) -> DataFrame:
-    """Entries of each column's rows with the column's leader."""
-    marked = rows.select("gram", "node", "size", "component", F.col(leader)["node"].alias("leader"))
-    heads = marked.where("node = leader").select(
-        "gram", F.col("size").alias("a_size"), F.col("component").alias("a_component"))
-    return marked.join(heads, "gram").select(
-        F.col("leader").alias("a"), F.col("node").alias("b"), "a_size", F.col("size").alias("b_size"),
-        "a_component", F.col("component").alias("b_component"))
+def _entries(rows: DataFrame, rule: Rule, turn: int | None) -> DataFrame:
+    """Entries of the product between rows of different components.
 
-
-def _all_entries(rows: DataFrame) -> DataFrame:
-    """Entries of the product above its diagonal."""
-    x = rows.select("gram", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("component").alias("a_component"))
-    y = rows.select("gram", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("component").alias("b_component"))
-    return x.join(y, "gram").where("a < b")
+    In a numbered turn only those with one leader of each column, another one each turn;
+    else all above the diagonal.
+    """
+    a, b = _side(rows, "a"), _side(rows, "b")
+    if turn is None:
+        met = a.join(b, (a["gram"] == b["gram"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & _can_link(rule))
+    else:
+        leaders = rows.groupBy(F.col("gram").alias("at")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("a_node"))
+        heads = a.join(leaders, (a["gram"] == F.col("at")) & (a["a_node"] == leaders["a_node"])).select(a["*"])
+        met = heads.join(b, (heads["gram"] == b["gram"]) & (F.col("a_component") != F.col("b_component")) & _can_link(rule))
+    return (
+        met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_size", "b_size").agg(F.count("*").alias("overlap"))
+        .where(F.col("overlap") >= _shared(F.col("a_size"), F.col("b_size"))).select("a", "b")
+    )
 
 
-def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, max_turns: int = 6) -> tuple[DataFrame, DataFrame]:
+def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, leader_turns: int = 1) -> tuple[DataFrame, DataFrame]:
     """(signature rows of all documents, ``node, component`` of the nodes that have links).
 
-    Rows without ``doc_id`` take no part in links.  Leaders' turns go on until the
-    product between components is no larger than twice the index, or they find nothing.
+    Rows without ``doc_id`` take no part in links.
     """
     signed = scratch.table(signatures(docs, rule, gram_counters(docs, rule)))
     classes = (
@@ -273,8 +282,9 @@ def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, max_turns: in
     # a row that shares too few columns with all others together links with none
     able = met.groupBy("node", "size").agg(F.count("*").alias("n")).where(
         F.col("n") >= F.floor(F.col("size") * rule.percent / 4000) + 1).select("node")
-    able = scratch.table(able)
-    index = scratch.table(met.join(able, "node", "left_semi"))
+    own = signed.where("node is not null and doc_id is not null").dropDuplicates(["node"]).select("node", *PARITY)
+    able = scratch.table(own.join(able, "node"))
+    index = scratch.table(met.join(able, "node"))
     scratch.drop(met)
     reps = signed.where("node is not null and doc_id is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "text_key")).alias("rep")).join(able, "node", "left_semi")
@@ -284,30 +294,18 @@ def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, max_turns: in
         .select("node", "text").dropDuplicates(["node"])
     )
 
-    bound, turn, last = 2 * index.count(), 0, False
     labels = tested = None
     edges = scratch.table(index.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    while not last:
-        rows = _open_columns(index, labels)
-        last = last or turn == max_turns or _product_entries(rows) <= bound
-        entries = _all_entries(rows) if last else _against_leader(rows, ("largest", "smallest")[turn % 2])
-        pairs = (
-            entries.where("a <> b and a_component <> b_component")
-            .where(_sizes_allow(F.col("a_size"), F.col("b_size"), rule))
-            .groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("overlap"))
-            .where(_enough(F.col("overlap"), F.col("a_size"), F.col("b_size"))).select("a", "b")
-        )
+    for turn in [*range(leader_turns), None]:
+        pairs = _entries(_open_columns(index, labels), rule, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs)
-        found = scratch.table(_verify(pairs, texts, rule, scratch))
+        edges = edges.unionByName(scratch.table(_verify(pairs, texts, rule, scratch)))
         both_ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = both_ways if tested is None else tested.unionByName(both_ways)
-        edges = edges.unionByName(found)
-        if not last:
-            labels = scratch.table(components(edges, scratch))
-            turn = turn + 1 if not found.isEmpty() else max_turns
-    return signed, components(edges, scratch)
+        labels = scratch.table(components(edges, scratch))
+    return signed, labels
 
 
 def jaccard_groups(docs: DataFrame, rule: Rule) -> DataFrame:
