@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-KNOWN_PIECES = 150_000  # encoded pieces a worker remembers
+KNOWN_PIECES = 400_000  # encoded pieces a worker remembers
 _NEVER = 1 << 62
 _TAIL = 3  # pieces at the end of a text that appended text can change
 
@@ -104,7 +104,7 @@ class PrefixEncoder:
                     if when < used_x and when <= used_y:
                         valid = False
         if below is None:
-            if len(self._pairs) >= 2 * KNOWN_PIECES:
+            if len(self._pairs) >= KNOWN_PIECES:
                 self._pairs.clear()
             self._pairs[left, right] = valid
         return valid
