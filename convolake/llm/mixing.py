@@ -169,14 +169,15 @@ def mix(docs: DataFrame, weights: Column, share: float = 1.5, most: float = 2.0)
     """The rows of the mix: those of ``docs``, each as often as it was taken."""
     with Scratch(docs.sparkSession) as scratch:
         drawn = scratch.table(draw_copies(docs, weights, share, most, scratch=scratch))
-        key = [F.coalesce("doc_id", "tag").alias("_key"), F.col("tag").alias("_tag")]
-        totals = drawn.groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-        marked = docs.withColumns({"_tag": F.xxhash64("text"), "_key": F.coalesce("doc_id", F.xxhash64("text"))})
-        met = marked.join(totals.where("_copies > 0"), ["_key", "_tag"])
-        single = met.where("_rows = 1")
+        totals = drawn.groupBy(F.coalesce("doc_id", "tag").alias("key"), "tag").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+        marked = docs.select(
+            F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.xxhash64("text").alias("tag"),
+            F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        met = marked.join(totals.where("copies > 0"), ["key", "tag"])
         # equal rows share their copies out among themselves
-        order = F.row_number().over(Window.partitionBy("_key", "_tag").orderBy(F.lit(1))) - 1
-        several = met.where("_rows > 1").withColumn("_n", order).withColumn(
-            "_copies", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_n") < F.col("_copies") % F.col("_rows")).cast("int")).drop("_n")
-        taken = single.unionByName(several).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
-        return scratch.result(taken.select(docs.columns))
+        order = F.row_number().over(Window.partitionBy("key", "tag").orderBy(F.lit(1))) - 1
+        own = (F.floor(F.col("copies") / F.col("rows")) + (F.col("n") < F.col("copies") % F.col("rows")).cast("int")).alias("copies")
+        single = met.where("rows = 1").select("row", "copies")
+        several = met.where("rows > 1").withColumn("n", order).select("row", own)
+        taken = single.unionByName(several).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+        return scratch.result(taken.select("row.*"))

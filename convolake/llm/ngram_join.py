@@ -316,15 +316,19 @@ def jaccard_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     repeat a ``doc_id`` are documents of their own.  A row without ``doc_id`` has no
     component.  An empty table gives an empty result.
     """
+    return _grouped(docs, rule).drop("text_key")
+
+
+def _grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
         signed, reached = link_components(docs, rule, scratch)
         own = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         named = own.join(reached, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
         groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
         by_node = named.join(groups, "component").select("node", "component_id")
-        rows = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
+        rows = signed.select("doc_id", "text_key", "n_shingles", "node").join(by_node, "node", "left")
         return scratch.result(rows.select(
-            "doc_id", "n_shingles",
+            "doc_id", "text_key", "n_shingles",
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
 
 
@@ -333,5 +337,7 @@ def keep_one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
 
     Of rows that repeat the kept ``doc_id`` all stay; rows without ``doc_id`` stay.
     """
-    dropped = jaccard_groups(docs, rule).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = _grouped(docs, rule).where("component_id <> doc_id").select(
+        F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_key")).distinct()
+    same = (docs["doc_id"] == dropped["dropped_id"]) & (F.xxhash64(docs["text"]) == dropped["dropped_key"])
+    return docs.join(dropped, same, "left_anti")

@@ -151,8 +151,13 @@ def _repeated(level: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds a key of every row; rows equal in ``doc_id`` and text share it and are cut alike."""
-    return docs.withColumns({"doc": F.coalesce("doc_id", F.xxhash64("text")), "tag": F.hash("text")})
+    """``doc, tag``, a key of every row, ``text``, and all other columns as ``row``.
+
+    Rows equal in ``doc_id`` and text share the key and are cut alike.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(
+        F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), F.hash("text").alias("tag"), "text", F.struct(*others).alias("row"))
 
 
 def _removed(raw: bytes, at, window: int) -> np.ndarray:
@@ -177,14 +182,14 @@ def cut_words(raw: bytes, removed: np.ndarray) -> bytes:
     return b"".join([*kept, raw[done:]])
 
 
-def repeated_windows(docs: DataFrame, window: int, start: int, scratch: Scratch, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, window: int, start: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(documents without candidates, candidate documents with ``at``).
 
-    Both have the columns ``keep`` and the text; ``at`` are the positions of windows that
+    Both have ``text`` and, as ``row``, the other columns; ``at`` are the positions of windows that
     also occur in another row.  Texts are moved once.
     """
     rows, chain = _keyed(docs), lengths(window, start)
-    columns = list(dict.fromkeys([*_KEY, *keep, "text"]))
+    columns = [*_KEY, "text", "row"]
     found = _repeated(_level(rows, chain[0], window, None))
     if len(chain) == 1:
         return rows.limit(0).select(columns), rows.join(found, _KEY, "left").select(*columns, "at")
@@ -218,7 +223,7 @@ def _digest(rows: DataFrame, window: int | None) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    columns = ["doc_id", "text"] + (["at"] if window else [])
+    columns = ["row.doc_id", "text"] + (["at"] if window else [])
     return rows.select(*columns).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -230,7 +235,7 @@ def removal_digests(docs: DataFrame, window: int = 50, start: int = 18) -> DataF
     words; texts shorter than a window keep all; repeated rows repeat each other's windows.
     """
     with Scratch(docs.sparkSession) as scratch:
-        quiet, loud = repeated_windows(docs, window, start, scratch, ["doc_id"])
+        quiet, loud = repeated_windows(docs.select("doc_id", "text"), window, start, scratch)
         return scratch.result(_digest(quiet, None).unionByName(_digest(loud, window)))
 
 
@@ -239,30 +244,31 @@ def remove_repeats(docs: DataFrame, window: int = 50, start: int = 18) -> DataFr
 
     Layout around the cuts is kept; ``n_chars``, where there is one, follows the new text.
     """
-    names = docs.columns
-
     def cut(batches):
         for batch in batches:
-            column = batch.schema.get_field_index("text")
-            texts, lists = batch.column(column), batch.column(batch.num_columns - 1).to_pylist()
             out = []
-            for text, at in zip(texts, lists):
+            for text, at in zip(batch.column(0), batch.column(2).to_pylist()):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else None
                 removed = _removed(raw, at, window) if raw else np.zeros(0, bool)
                 out.append(cut_words(raw, removed).decode() if removed.any() else text.as_py())
-            arrays = [pa.array(out, texts.type) if i == column else a for i, a in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], ["text", "row"])
 
     with Scratch(docs.sparkSession) as scratch:
-        quiet, loud = repeated_windows(docs, window, start, scratch, names)
-        cleaned = loud.select(*names, "at").mapInArrow(cut, docs.schema)
-        if "n_chars" in names:
-            cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-        return scratch.result(quiet.select(names).unionByName(cleaned.select(names)))
+        quiet, loud = repeated_windows(docs, window, start, scratch)
+        row = quiet.schema["row"].dataType.simpleString()
+        cleaned = loud.select("text", "row", "at").mapInArrow(cut, f"text string, row {row}")
+
+        def flat(rows: DataFrame, changed: bool) -> DataFrame:
+            length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+            return rows.select(*(
+                F.col("text") if c == "text" else length.alias(c) if changed and c == "n_chars" else F.col("row").getField(c).alias(c)
+                for c in docs.columns))
+
+        return scratch.result(flat(quiet, False).unionByName(flat(cleaned, True)))
 
 
 def longest_repeats(docs: DataFrame, window: int = 50, start: int = 18) -> DataFrame:
-    """``doc_id, longest``: the longest of window, 2 window, 4 window ... that repeats in a row's text.
+    """``doc_id, longest`` of ``docs (doc_id, text, ...)``: the longest of window, 2 window, 4 window ... that repeats in a row's text.
 
     Rows without a repeated window are left out.
     """
@@ -285,9 +291,9 @@ def longest_repeats(docs: DataFrame, window: int = 50, start: int = 18) -> DataF
             level = level.join(later, [*_KEY, "pos"]).select(F.xxhash64("h", "next").alias("h"), *_KEY, "pos")
             n *= 2
         if reached is None:
-            return rows.select("doc_id", F.lit(0).alias("longest")).limit(0)
+            return rows.select("row.doc_id", F.lit(0).alias("longest")).limit(0)
         most = reached.groupBy(*_KEY).agg(F.max("longest").alias("longest"))
-        return scratch.result(rows.select("doc_id", *_KEY).join(most, _KEY).select("doc_id", "longest"))
+        return scratch.result(rows.select("row.doc_id", *_KEY).join(most, _KEY).select("doc_id", "longest"))
 
 
 class _Plain:

@@ -59,7 +59,7 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
             long = np.flatnonzero(ends - starts > i)
             packed[long] = (packed[long] << np.uint64(8)) | data[starts[long] + i].astype(np.uint64)
             if i + 1 in PREFIXES:
-                every.append(W.mix(packed[long] + W._RIGHT * np.uint64(i)))
+                every.append(W.mix(packed[long] + np.uint64(0x9E37_79B9 * (i + 1))))
                 rows.append(text[long])
         yield row, end, np.concatenate(rows), (np.concatenate(every) >> np.uint64(44)).astype(np.int64)
 
@@ -169,8 +169,10 @@ def _maximise(grade, row, index, value, kept, highest: int, steps: int, ridge: f
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``severity`` (expected grade) and ``any_severity`` (probability of a grade above 0).
 
-    Null, empty and word-less texts are scored as texts without features.
+    Null, empty and word-less texts are scored as texts without features.  Columns of these
+    two names in ``docs`` are replaced.
     """
+    docs = docs.drop("severity", "any_severity")
     names = docs.columns
 
     def run(batches):
