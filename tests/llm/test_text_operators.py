@@ -143,7 +143,7 @@ def test_cache_encodes_only_misses(spark, odd, tmp_path):
 # -- toxicity -------------------------------------------------------------------
 
 def test_thresholds_share_weights_and_stay_in_order(spark):
-    rows = [(i, "nice calm words here " + " ".join(["vile"] * (i % 3)) + (" awful" if i % 3 == 2 else ""), i % 3) for i in range(300)]
+    rows = [(i, f"nice calm words here {i} " + " ".join(["vile"] * (i % 3)) + (" awful" if i % 3 == 2 else ""), i % 3) for i in range(300)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, grade int"))
     assert np.all(np.diff(model.thresholds) > 0) and len(model.thresholds) == 2
     scored = toxicity.score(spark.createDataFrame(rows[:3], "doc_id long, text string, grade int"), model).orderBy("doc_id").collect()
@@ -176,7 +176,7 @@ def test_toxicity_odd_texts_and_tables(spark, odd):
     assert scored.columns == [*odd.columns, "severity", "any_severity"] and scored.count() == len(ODD) + 2
     assert all(0 <= r["severity"] <= 2 for r in scored.collect())
     none = toxicity.fit(graded.limit(0))  # nothing to learn from: the lowest grade for all
-    assert {r["severity"] for r in toxicity.score(odd, none).collect()} == {0.0}
+    assert max(r["severity"] for r in toxicity.score(odd, none).collect()) < 1e-9
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
