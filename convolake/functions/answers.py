@@ -145,7 +145,9 @@ def skill_fields(item: str) -> list[Column]:
     """
     fields = {
         "skill_id": f"coalesce({V.as_text(V.child(item, '$.skill_id'))}, 'new')",
-        **{name: _joined(item, name, "chr(10)") for name in ("title", "description", "steps")},
+        # a title of false, 0, {} or [] is none
+        "title": f"case when {V.is_truthy(V.child(item, '$.title'))} then {_joined(item, 'title', 'chr(10)')} else '' end",
+        **{name: _joined(item, name, "chr(10)") for name in ("description", "steps")},
         "tags": _joined(item, "tags", "','"),
         "obs_type": _known_type(item),
         "facts": _list_field(item, "facts"),

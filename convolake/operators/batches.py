@@ -18,11 +18,11 @@ USER_CHARS = 200
 RESPONSE_CHARS = 2000
 SHORT_RESPONSE_CHARS = 600
 
-# A prompt longer than this is not assembled: no model takes it, and a row must fit in memory.
-MAX_PROMPT_CHARS = 8_000_000
+PART_LINES = 100  # skills or rules in one part of a prompt's section
+BATCHES_PER_COPY = 64  # batches of a project that share one copy of its sections
 
-SKILLS_HEADER = "\n\nEXISTING SKILLS for this project (update these where they apply):\n\n"
-RULES_HEADER = "\n\nLEARNED RULES for this project:\n\n"
+SKILLS_HEADER = "\n\nSKILLS:\n\n"
+RULES_HEADER = "\n\nRULES:\n\n"
 
 
 def session_marks(fresh: DataFrame) -> DataFrame:
@@ -34,13 +34,13 @@ def session_marks(fresh: DataFrame) -> DataFrame:
 
 
 def session_texts(fresh: DataFrame, max_messages: int = SESSION_MESSAGES,
-                  carry_over: bool = False) -> DataFrame:
-    """Per session: the text sent for it, and the highest position sent.
+                  carry_over: bool = True) -> DataFrame:
+    """Per session: the text sent for it, how many messages, and the highest position sent.
 
     Only the first ``max_messages`` messages are gathered, each cut to a few
     thousand characters first; the line-wise shortening runs on those only.  With
     ``carry_over`` messages are taken by position, so that a mark at the last one
-    sent leaves out nothing before it.
+    sent leaves out nothing before it and the rest comes in the next run.
     """
     keys = ["project_path", "session_id"]
     order = [F.asc("msg_seq")] if carry_over else [F.asc_nulls_first("ts"), F.asc("msg_seq")]
@@ -60,8 +60,8 @@ def session_texts(fresh: DataFrame, max_messages: int = SESSION_MESSAGES,
     return (
         sent.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "lines"))).alias("parts"),
-             F.max("msg_seq").alias("last_sent"))
-        .select(*keys, "last_sent",
+             F.max("msg_seq").alias("last_sent"), F.count("*").alias("n_sent"))
+        .select(*keys, "last_sent", "n_sent",
                 F.concat(head, F.array_join("parts.lines", "\n")).alias("session_text"))
     )
 
@@ -78,13 +78,16 @@ def assign_batches(marks: DataFrame, size: int = BATCH_SESSIONS) -> DataFrame:
     return placed.withColumn("batch_no", F.floor(F.col("position") / size))
 
 
-def batch_rows(assigned: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row per batch: sessions in order, message count and conversation text."""
+def batch_rows(assigned: DataFrame, texts: DataFrame, counted: str = "n_messages") -> DataFrame:
+    """One row per batch: sessions in order, message count and conversation text.
+
+    ``counted`` is ``n_messages`` (all fresh ones) or ``n_sent``.
+    """
     session = F.struct("position", "session_id", "session_text")
     return (
         assigned.join(texts, ["project_path", "session_id"])
         .groupBy("project_path", "batch_no")
-        .agg(F.sort_array(F.collect_list(session)).alias("s"), F.sum("n_messages").alias("n_messages"))
+        .agg(F.sort_array(F.collect_list(session)).alias("s"), F.sum(counted).alias("n_messages"))
         .select("project_path", "batch_no", F.size("s").alias("n_sessions"), "n_messages",
                 F.col("s.session_id").alias("session_ids"),
                 F.array_join("s.session_text", "\n\n").alias("conversations"))
@@ -116,17 +119,19 @@ def review_sample(fresh: DataFrame, last: int = REVIEW_SESSIONS) -> DataFrame:
     ).drop("from_end", "taken")
 
 
-def gather_text(lines: DataFrame, order: list[str], separator: str, limit: int) -> DataFrame:
-    """(project_path, text, chars) from lines in order.
+def gather_text(lines: DataFrame, order: list[str], separator: str, limit: int | None) -> DataFrame:
+    """(project_path, text, chars) from lines in order: a whole list in one row, for dry runs.
 
-    The total size is summed first; a project beyond ``limit`` keeps ``chars`` but
-    gets no text, so a list of unbounded size is never gathered.
+    With a ``limit`` the total size is summed first, and a project beyond it keeps
+    ``chars`` but gets no text.
     """
     sizes = lines.groupBy("project_path").agg(
         F.sum(F.length("line") + len(separator)).alias("chars"))
-    fits = sizes.where(F.col("chars") <= limit).select("project_path")
+    if limit is not None:
+        fits = sizes.where(F.col("chars") <= limit).select("project_path")
+        lines = lines.join(fits, "project_path", "left_semi")
     texts = (
-        lines.join(fits, "project_path", "left_semi").groupBy("project_path")
+        lines.groupBy("project_path")
         .agg(F.sort_array(F.collect_list(F.struct(*order, "line"))).alias("l"))
         .select("project_path", F.col("l.line").alias("l"))
     )
@@ -157,13 +162,13 @@ def skill_lines(skills: DataFrame) -> DataFrame:
         "project_path", "created_at", "skill_id", block.alias("line"))
 
 
-def format_skills(skills: DataFrame, limit: int = MAX_PROMPT_CHARS) -> DataFrame:
+def format_skills(skills: DataFrame, limit: int | None = None) -> DataFrame:
     gathered = gather_text(skill_lines(skills), ["created_at", "skill_id"], "\n\n", limit)
     text = F.concat(F.lit(SKILLS_HEADER), F.array_join("l", "\n\n"))
     return gathered.select("project_path", "chars", text.alias("text"))
 
 
-def format_rules(rules: DataFrame, limit: int = MAX_PROMPT_CHARS) -> DataFrame:
+def format_rules(rules: DataFrame, limit: int | None = None) -> DataFrame:
     lines = rules.select("project_path", "created_at", "rule_seq", F.col("rule_text").alias("line"))
     gathered = gather_text(lines, ["created_at", "rule_seq"], "\n", limit)
     numbered = F.transform(
@@ -172,6 +177,34 @@ def format_rules(rules: DataFrame, limit: int = MAX_PROMPT_CHARS) -> DataFrame:
     return gathered.select("project_path", "chars", text.alias("text"))
 
 
+def prompt_sections(skills: DataFrame, rules: DataFrame, per_part: int = PART_LINES) -> DataFrame:
+    """(project_path, section, part_no, text): the skill and rule lists of all projects, kept once.
+
+    A part holds at most ``per_part`` lines, so a list of any length is many rows; the texts
+    of a section's parts one after the other are the section.
+    """
+    def parts(lines: DataFrame, section: str, order: list[Column], header: str, separator: str, line: Column) -> DataFrame:
+        placed = group_index(lines, "project_path", *order, name="place")
+        gathered = placed.withColumn("line", line).groupBy("project_path", F.floor(F.col("place") / per_part).alias("part_no")).agg(
+            F.sort_array(F.collect_list(F.struct("place", "line"))).alias("l"))
+        head = F.when(F.col("part_no") == 0, F.lit(header)).otherwise(F.lit(separator))
+        return gathered.select(
+            "project_path", F.lit(section).alias("section"), "part_no", F.concat(head, F.array_join("l.line", separator)).alias("text"))
+
+    first = [F.asc_nulls_first("created_at")]
+    numbered = F.concat(F.lit("  "), (F.col("place") + 1).cast("string"), F.lit(". "), "rule_text")
+    return parts(
+        skill_lines(skills), "skills", [*first, F.asc("skill_id")], SKILLS_HEADER, "\n\n", F.col("line")
+    ).unionByName(parts(
+        rules.where(F.col("project_path").isNotNull()).select("project_path", "created_at", "rule_seq", "rule_text"),
+        "rules", [*first, F.asc("rule_seq")], RULES_HEADER, "\n", numbered))
+
+
+def fill_text(template: str, slots: dict[str, str]) -> str:
+    """``fill_template`` for ready texts."""
+    return re.sub(r"\{(\w+)\}", lambda m: slots.get(m[1], m[0]), template)
+
+
 def fill_template(template: str, slots: dict[str, Column]) -> Column:
     """``{name}`` slots of a template filled in one pass; filled text is not scanned again."""
     parts = []
@@ -182,10 +215,10 @@ def fill_template(template: str, slots: dict[str, Column]) -> Column:
 
 
 def build_prompts(batches: DataFrame, skills: DataFrame, rules: DataFrame, template: str,
-                  max_prompt_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
-    """One prompt per batch; also the dry run.
+                  max_prompt_chars: int | None = None) -> DataFrame:
+    """One whole prompt per batch: the dry run.  Runs use ``prompt_sections`` instead.
 
-    A prompt over ``max_prompt_chars`` is NULL with an ``error``, like a call the
+    With a limit, a prompt over ``max_prompt_chars`` is NULL with an ``error``, like a call the
     model refused: its batch fails and its marks stay.
     """
     known = format_skills(skills, max_prompt_chars).select(
@@ -203,7 +236,7 @@ def build_prompts(batches: DataFrame, skills: DataFrame, rules: DataFrame, templ
         "existing_skills_section": F.concat(F.coalesce("_skills", none), F.coalesce("_rules", none)),
         "skills_text": F.coalesce("_skills", none), "rules_text": F.coalesce("_rules", none),
     })
-    fits = chars <= max_prompt_chars
+    fits = F.lit(True) if max_prompt_chars is None else chars <= max_prompt_chars
     return joined.select(
         "project_path", "batch_no", "n_sessions", "n_messages", "session_ids",
         F.when(fits, prompt).alias("prompt"), chars.alias("prompt_chars"),

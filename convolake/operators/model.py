@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..functions.answers import answer_items, answer_objects, rule_text, skill_fields
+from .batches import BATCHES_PER_COPY, fill_text
 
 _SCHEMA = "project_path string, batch_no long, raw string, error string"
 
@@ -27,21 +29,10 @@ def run_model(prompts: DataFrame, model_fn: Callable[[list[str]], list[str]],
         asked = asked.repartition(parallelism)
 
     def answer(batches):
-        def attempt(texts):
-            try:
-                out = list(model_fn(texts))
-                if len(out) != len(texts):
-                    raise ValueError(f"model gave {len(out)} answers for {len(texts)} prompts")
-                return [(None, str(o)[:200]) if isinstance(o, Exception) else (o, None) for o in out]
-            except Exception as error:  # a failed call is data here
-                if len(texts) > 1:
-                    return [attempt([t])[0] for t in texts]
-                return [(None, str(error)[:200] or type(error).__name__)]
-
         for frame in batches:
             ready = frame["prompt"].notna() & frame["error"].isna()
             texts = frame.loc[ready, "prompt"].tolist()
-            got = attempt(texts) if texts else []
+            got = _attempt(texts, model_fn) if texts else []
             out = frame[["project_path", "batch_no", "error"]].copy()
             out["raw"] = None
             out.loc[ready, "raw"] = [raw for raw, _ in got]
@@ -51,6 +42,71 @@ def run_model(prompts: DataFrame, model_fn: Callable[[list[str]], list[str]],
     return asked.mapInPandas(answer, _SCHEMA)
 
 
+def ask_model(batches: DataFrame, sections: DataFrame, template: str, model_fn: Callable[[list[str]], list[str]],
+              parallelism: int | None = None, max_prompt_chars: int | None = None) -> DataFrame:
+    """``run_model`` for prompts that are put together in the task that sends them.
+
+    The parts of ``sections`` (``batches.prompt_sections``) travel once for every
+    ``BATCHES_PER_COPY`` batches of a project, and a task holds those of one project at a
+    time; the batches of a large project are many tasks.  With a limit, a longer prompt
+    is an error of its batch.
+    """
+    share = F.floor(F.col("batch_no") / BATCHES_PER_COPY)
+    asked = batches.select("project_path", share.alias("share"), F.lit("").alias("section"), "batch_no",
+                           F.col("conversations").alias("text"), F.lit(1).alias("kind"))
+    told = asked.select("project_path", "share").distinct().join(sections, "project_path").select(
+        "project_path", "share", "section", F.col("part_no").alias("batch_no"), "text", F.lit(0).alias("kind"))
+    keys = ["project_path", "share"]
+    rows = asked.unionByName(told)
+    rows = rows.repartition(parallelism, *keys) if parallelism else rows.repartition(*keys)
+
+    def answer(frames):
+        current, parts = None, {}
+        for frame in frames:
+            ready: list[tuple] = []
+            out: list[tuple] = []
+            for project, share_no, section, number, text, kind in frame.itertuples(index=False):
+                if (project, share_no) != current:
+                    current, parts = (project, share_no), {"skills": [], "rules": []}
+                if kind == 0:
+                    parts[section].append(text)
+                    continue
+                skills_text, rules_text = "".join(parts["skills"]), "".join(parts["rules"])
+                prompt = fill_text(template, {
+                    "project": project, "conversations": text, "existing_skills_section": skills_text + rules_text,
+                    "skills_text": skills_text, "rules_text": rules_text})
+                if max_prompt_chars is not None and len(prompt) > max_prompt_chars:
+                    out.append((project, number, None, "prompt too long"))
+                    continue
+                ready.append((project, number, prompt))
+                if len(ready) == 32 or sum(len(p) for _, _, p in ready) > 1_000_000:
+                    out.extend(_answers(ready, model_fn))
+                    ready = []
+            out.extend(_answers(ready, model_fn))
+            yield pd.DataFrame(out, columns=["project_path", "batch_no", "raw", "error"])
+
+    return rows.sortWithinPartitions(*keys, "kind", "section", "batch_no").select(
+        *keys, "section", "batch_no", "text", "kind").mapInPandas(answer, _SCHEMA)
+
+
+def _answers(ready: list[tuple], model_fn) -> list[tuple]:
+    got = _attempt([prompt for _, _, prompt in ready], model_fn) if ready else []
+    return [(project, number, raw, error) for (project, number, _), (raw, error) in zip(ready, got)]
+
+
+def _attempt(texts: list[str], model_fn) -> list[tuple]:
+    """(answer, error) of each prompt; a call that fails is tried prompt by prompt."""
+    try:
+        out = list(model_fn(texts))
+        if len(out) != len(texts):
+            raise ValueError(f"model gave {len(out)} answers for {len(texts)} prompts")
+        return [(None, str(o)[:200]) if isinstance(o, Exception) else (o, None) for o in out]
+    except Exception as error:  # a failed call is data here
+        if len(texts) > 1:
+            return [_attempt([t], model_fn)[0] for t in texts]
+        return [(None, str(error)[:200] or type(error).__name__)]
+
+
 def parse_items(answers: DataFrame) -> DataFrame:
     """One row per object in an answer: (project_path, batch_no, item_no, item)."""
     return (

@@ -206,7 +206,7 @@ def _frames(body: DataFrame) -> DataFrame:
 
 
 def _headers(owned: DataFrame, as_of: str) -> DataFrame:
-    name = F.substring_index("project_path", "/", -1)
+    name = F.substring_index(F.regexp_replace("project_path", "/+$", ""), "/", -1)
     start, rest = HEADER.split("{project_name}")
     block = F.concat(F.lit(start), name, F.lit(rest.replace("{timestamp}", as_of)))
     return owned.select("project_path").distinct().select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import batches as B
 from ..operators.filters import project_filter
 from ..operators.merge import apply_items, resolve_items
-from ..operators.model import answer_status, normalize_skills, parse_items, run_model
+from ..operators.model import answer_status, ask_model, normalize_skills, parse_items
 from ..operators.progress import advance_watermark, incremental_messages
 from ..schemas import SKILLS, conform
 from ..session import pin, write_down
@@ -36,19 +36,24 @@ class DistillResult:
 
 def plan_batches(state: State, project: str | None = None, full: bool = False,
                  project_equals: str | None = None, size: int = B.BATCH_SESSIONS,
-                 max_messages: int = B.SESSION_MESSAGES, carry_over: bool = False) -> Batches:
-    """Batches of fresh sessions, and the marks to set when they succeed."""
+                 max_messages: int = B.SESSION_MESSAGES, carry_over: bool = True) -> Batches:
+    """Batches of fresh sessions, and the marks to set when they succeed.
+
+    A session's messages beyond ``max_messages`` come in the next run; without
+    ``carry_over`` they are marked as done with the others and never sent.
+    """
     fresh = incremental_messages(
         state.messages, state.sessions, state.progress, project, full, project_equals)
     assigned = B.assign_batches(B.session_marks(fresh), size)
     texts = B.session_texts(fresh, max_messages, carry_over)
-    return Batches(B.batch_rows(assigned, texts), B.batch_marks(assigned, texts if carry_over else None))
+    rows = B.batch_rows(assigned, texts, "n_sent" if carry_over else "n_messages")
+    return Batches(rows, B.batch_marks(assigned, texts if carry_over else None))
 
 
 def distill(state: State, model_fn: ModelFn, template: str, project: str | None = None,
             full: bool = False, mode: str = "snapshot", project_equals: str | None = None,
-            parallelism: int | None = None, carry_over: bool = False,
-            max_prompt_chars: int = B.MAX_PROMPT_CHARS, as_of: Column | None = None) -> DistillResult:
+            parallelism: int | None = None, carry_over: bool = True,
+            max_prompt_chars: int | None = None, as_of: Column | None = None) -> DistillResult:
     """Run the model over all fresh batches and merge what it returns.
 
     ``snapshot`` shows every prompt the skills as they were at the start: one pass
@@ -61,8 +66,8 @@ def distill(state: State, model_fn: ModelFn, template: str, project: str | None
     skills = conform(state.skills, SKILLS)
 
     def ask(batches: DataFrame, known: DataFrame) -> DataFrame:
-        prompts = B.build_prompts(batches, known, state.rules, template, max_prompt_chars)
-        return write_down(run_model(prompts, model_fn, parallelism))
+        sections = B.prompt_sections(known, state.rules)
+        return write_down(ask_model(batches, sections, template, model_fn, parallelism, max_prompt_chars))
 
     if mode == "snapshot":
         answers = ask(rows, skills)

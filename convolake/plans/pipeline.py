@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,46 +14,77 @@ from ..session import pin
 from ..sources.ingest import ingest
 from ..schemas import PROGRESS, empty
 from ..sources.tables import (
-    MESSAGES, REPLACED, SESSIONS, load_state, read_appended, write_documents,
+    MESSAGES, REPLACED, load_state, read_appended, read_sessions, write_documents,
     write_skill_documents, write_table,
 )
 from .distill import ModelFn, distill
+from .review import review
 
 
 def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
                  model_fn: ModelFn | None = None, template: str | None = None,
                  render: bool = True, documents: str | None = None, grain: str = "session",
-                 mode: str = "snapshot") -> bool:
+                 mode: str = "snapshot", review_template: str | None = None,
+                 on_error: Callable[[str, Exception], None] | None = None) -> bool:
     """One run over the tables under ``root``; False when ``raw`` held no new message.
 
     The run reads the tables as they were before ``batch`` and writes under its own
     number, so running a batch again gives the same tables.  Sessions and messages
-    grow by new files; marks are written last.  With ``grain="message"`` requests
-    appended to a known session are taken, its own row stays as first stored.
+    grow by new files, paths are counted right after them, marks are written last.
+    With ``grain="message"`` requests appended to a known session are taken and its row
+    is stored anew.  With ``review_template`` the model's review adds rules.
+
+    An error while messages or paths are stored ends the run, which can be repeated.
+    One in distilling (``distill``), reviewing (``review``) or rendering (``render``) is
+    reported to ``on_error`` under the step's name and the other steps go on; its messages
+    stay unmarked for the next run.  Without ``on_error`` it is raised.
     """
     state = load_state(spark, root, before=batch)
     taken = ingest(raw, state.sessions, state.messages, grain)
     write_table(taken.new_messages, root, "messages", batch)
-    write_table(taken.new_sessions, root, "sessions", batch)
     added = spark.read.schema(MESSAGES).parquet(f"{root}/messages/batch={batch}")
+    touched = taken.sessions.join(added.select("session_id").distinct(), "session_id", "left_semi")
+    write_table(touched if grain == "message" else taken.new_sessions, root, "sessions", batch)
     if added.isEmpty():
         return False
-    state.sessions = read_appended(spark, root, "sessions", SESSIONS, before=batch + 1)
+    state.sessions = read_sessions(spark, root, before=batch + 1)
     state.messages = read_appended(spark, root, "messages", MESSAGES, before=batch + 1)
-    state.paths = pin(upsert_paths(state.paths, path_counts(path_references(added), state.sessions)))
-    if model_fn is not None:
+    counts = path_counts(path_references(added), state.sessions)
+    write_table(upsert_paths(state.paths, counts), root, "paths", batch)
+
+    def attempt(step: str, work: Callable[[], None]) -> None:
+        try:
+            work()
+        except Exception as error:
+            if on_error is None:
+                raise
+            on_error(step, error)
+
+    def distil() -> None:
         if template is None:
             raise ValueError("a model function needs a prompt template")
         if not stale_projects(state.messages, state.sessions, state.progress).isEmpty():
             result = distill(state, model_fn, template, mode=mode)
             state.skills, state.progress = pin(result.skills), pin(result.progress)
-    for name in REPLACED:
-        write_table(getattr(state, name), root, name, batch)
-    if render:
+
+    def learn() -> None:
+        state.rules = pin(review(state, model_fn, review_template).rules)
+
+    def show() -> None:
         target = documents or f"{root}/documents"
         stamp = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm 'UTC'")).first()[0]
         write_documents(render_instructions(state.skills, stamp), f"{target}/instructions")
         write_skill_documents(skill_documents(state.skills), f"{target}/skills")
+
+    if model_fn is not None:
+        attempt("distill", distil)
+        if review_template is not None:
+            attempt("review", learn)
+    for name in REPLACED:
+        if name != "paths":
+            write_table(getattr(state, name), root, name, batch)
+    if render:
+        attempt("render", show)
     return True
 
 
@@ -65,7 +98,7 @@ def reload_pipeline(spark: SparkSession, root: str, raw: DataFrame, new_root: st
     taken = ingest(raw, state.sessions, state.messages, force=True)
     write_table(taken.new_messages, new_root, "messages", 0)
     write_table(taken.new_sessions, new_root, "sessions", 0)
-    state.sessions = read_appended(spark, new_root, "sessions", SESSIONS)
+    state.sessions = read_sessions(spark, new_root)
     state.messages = read_appended(spark, new_root, "messages", MESSAGES)
     counts = path_counts(path_references(state.messages), state.sessions)
     state.paths = recount_paths(state.paths, counts)

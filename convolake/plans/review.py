@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import batches as B
 from ..operators.filters import project_filter
-from ..operators.model import answer_status, parse_items, rule_items, run_model
+from ..operators.model import answer_status, ask_model, parse_items, rule_items
 from ..operators.progress import incremental_messages
 from ..operators.rules import add_rules, dedup_rules
 from ..session import pin, write_down
@@ -24,9 +24,8 @@ class ReviewResult:
     stats: DataFrame
 
 
-def review_prompts(state: State, template: str, project: str | None = None,
-                   max_prompt_chars: int = B.MAX_PROMPT_CHARS) -> DataFrame:
-    """One prompt per project with skills: its latest sessions and its skills; also the dry run."""
+def review_batches(state: State, project: str | None = None) -> DataFrame:
+    """One row per project with skills: the conversations of its latest sessions."""
     skills = project_filter(state.skills.where(F.col("project_path").isNotNull()), project)
     reviewed = skills.select("project_path").distinct()
     fresh = incremental_messages(state.messages, state.sessions, state.progress, project, full=True)
@@ -37,19 +36,25 @@ def review_prompts(state: State, template: str, project: str | None = None,
     placed = sample.withColumn("batch_no", F.lit(0).cast("long")).join(
         B.session_marks(sampled).select("project_path", "session_id", "n_messages"),
         ["project_path", "session_id"])
-    conversations = B.batch_rows(placed, B.session_texts(sampled))
-    rows = reviewed.join(conversations, "project_path", "left").select(
+    conversations = B.batch_rows(placed, B.session_texts(sampled, carry_over=False))
+    return reviewed.join(conversations, "project_path", "left").select(
         "project_path", F.coalesce("batch_no", F.lit(0)).alias("batch_no"),
         F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"),
         F.coalesce("n_messages", F.lit(0)).alias("n_messages"), "session_ids",
         F.coalesce("conversations", F.lit("")).alias("conversations"))
-    return B.build_prompts(rows, skills, state.rules.limit(0), template, max_prompt_chars)
+
+
+def review_prompts(state: State, template: str, project: str | None = None,
+                   max_prompt_chars: int | None = None) -> DataFrame:
+    """One prompt per project with skills: its latest sessions and its skills; the dry run."""
+    skills = project_filter(state.skills.where(F.col("project_path").isNotNull()), project)
+    return B.build_prompts(review_batches(state, project), skills, state.rules.limit(0), template, max_prompt_chars)
 
 
 def review(state: State, model_fn: ModelFn, template: str, project: str | None = None,
            parallelism: int | None = None, as_of: Column | None = None) -> ReviewResult:
-    prompts = review_prompts(state, template, project)
-    answers = write_down(run_model(prompts, model_fn, parallelism))
+    sections = B.prompt_sections(project_filter(state.skills, project), state.rules.limit(0))
+    answers = write_down(ask_model(review_batches(state, project), sections, template, model_fn, parallelism))
     accepted = pin(dedup_rules(state.rules, rule_items(parse_items(answers))))
     rules = add_rules(state.rules, accepted, as_of=as_of)
     reached = answer_status(answers).join(

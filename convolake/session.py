@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,9 @@ _SETTINGS = {
 }
 
 
+_written: list[str] = []  # folders of ``write_down`` that nobody has removed yet
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings every job here relies on."""
     for key, value in _SETTINGS.items():
@@ -24,14 +26,15 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's own, a temporary one only in local mode."""
+    """The folder for checkpoints: the configured one, else one in the warehouse folder.
+
+    Both lie on a file system that all executors share; local folders are never used.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if configured is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            configured = tempfile.mkdtemp(prefix="convolake-checkpoint-")
+            configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_convolake"
         sc.setCheckpointDir(configured)
     return configured or sc.getCheckpointDir()
 
@@ -53,20 +56,15 @@ def write_down(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/convolake-{uuid.uuid4().hex}"
+    _written.append(folder)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores where the input is too small for Spark to split it that far.
-
-    For steps that do much work per byte.  Files are split down to
-    ``openCostInBytes`` a task, so larger inputs already give every core a task and
-    are left as they are: no shuffle is added.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    smallest = int(spark.conf.get("spark.sql.files.openCostInBytes", "4194304").rstrip("bB"))
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores, *keys) if size < cores * smallest else df
+def forget_written(spark: SparkSession) -> int:
+    """Remove all tables of ``write_down`` once their results are stored; returns how many."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

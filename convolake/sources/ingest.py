@@ -30,14 +30,14 @@ class IngestResult:
 def _parsed(raw: DataFrame) -> DataFrame:
     """Readable files with at least one request, one per session.
 
-    When files repeat a session id the smallest file path stays.  Only ids and file
-    names are compared; the bodies never take part in that shuffle.
+    A session id that is no text, or an empty one, gives way to the file's name.  When files
+    repeat a session id the smallest file path stays; only ids and names are compared.
     """
     stem = F.regexp_extract("file_path", r"([^/]*?)(?:\.json)?$", 1)
     parsed = raw.withColumn("log", F.try_parse_json("body")).select(
         "file_path", "workspace_id", "project_path", "log",
         F.expr(V.items_of("log", "$.requests")).alias("requests"),
-        F.coalesce(F.expr(V.as_text(V.child("log", "$.sessionId"))), stem).alias("session_id"),
+        F.coalesce(F.nullif(F.expr(V.string_at("log", "$.sessionId")), F.lit("")), stem).alias("session_id"),
     ).where(F.size("requests") > 0)
     names = parsed.select("session_id", "file_path")
     repeated = (

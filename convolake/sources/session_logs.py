@@ -19,9 +19,12 @@ def _located(df: DataFrame) -> DataFrame:
     return df.select(path.alias("file_path"), F.col("value").alias("body"))
 
 
-def _read(spark: SparkSession, glob: str) -> DataFrame:
+def _read(spark: SparkSession, glob: str, modified_after: str | None = None) -> DataFrame:
+    reader = spark.read.option("wholetext", True)
+    if modified_after is not None:
+        reader = reader.option("modifiedAfter", modified_after)
     try:
-        return _located(spark.read.option("wholetext", True).text(glob))
+        return _located(reader.text(glob))
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return spark.createDataFrame([], _RAW)
@@ -48,9 +51,12 @@ def _with_project(raw: DataFrame, spark: SparkSession, root: str) -> DataFrame:
     return logs.join(resolve_projects(files), "workspace_id", "left")
 
 
-def read_session_logs(spark: SparkSession, root: str) -> DataFrame:
-    """One row per log file: workspace_id, file_path, body, project_path."""
-    return _with_project(_read(spark, f"{root}/*/{_FOLDER}/*.json"), spark, root)
+def read_session_logs(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
+    """One row per log file: workspace_id, file_path, body, project_path.
+
+    With ``modified_after`` (``yyyy-MM-ddTHH:mm:ss``) only files changed since then.
+    """
+    return _with_project(_read(spark, f"{root}/*/{_FOLDER}/*.json", modified_after), spark, root)
 
 
 def stream_session_logs(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:

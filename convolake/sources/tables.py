@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,9 +66,20 @@ def read_latest(spark: SparkSession, root: str, name: str, schema: T.StructType,
     return conform(stored.where(F.col("batch") == latest), schema)
 
 
+def read_sessions(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The newest stored row of each session."""
+    stored = _all_batches(spark, root, "sessions", SESSIONS, before)
+    if stored is None:
+        return empty(spark, SESSIONS)
+    rows = conform(stored, SESSIONS).columns
+    newest = stored.groupBy("session_id").agg(F.max_by(F.struct(*rows), "batch").alias("s"))
+    return conform(newest.select("s.*"), SESSIONS)
+
+
 def load_state(spark: SparkSession, root: str, before: int | None = None) -> State:
     """All tables as they were before batch ``before``."""
     tables = {n: read_appended(spark, root, n, s, before) for n, s in APPENDED.items()}
+    tables["sessions"] = read_sessions(spark, root, before)
     tables |= {n: read_latest(spark, root, n, s, before) for n, s in REPLACED.items()}
     return State(**tables)
 
@@ -79,14 +90,20 @@ def write_documents(documents: DataFrame, folder: str) -> None:
     (
         documents.select(
             F.concat_ws("-", project_slug(F.col("project_path")), digest).alias("project"),
-            F.format_string("%08d", "part_no").alias("part"), "content")
+            F.format_string("%08d", "part_no").alias("part"), _without_last_newline().alias("content"))
         .write.mode("overwrite").partitionBy("project", "part").text(folder)
     )
 
 
 def write_skill_documents(documents: DataFrame, folder: str) -> None:
-    """Skill documents as text: a folder per project and file name."""
+    """Skill documents as text: a folder per project and document, named apart by skill id."""
+    name = F.concat_ws("-", F.regexp_replace("filename", r"\.md$", ""), "skill_id")
     (
-        documents.select("project_slug", "filename", "content")
+        documents.select("project_slug", F.concat(name, F.lit(".md")).alias("filename"), _without_last_newline().alias("content"))
         .write.mode("overwrite").partitionBy("project_slug", "filename").text(folder)
     )
+
+
+def _without_last_newline() -> Column:
+    """The text writer ends every row with a newline of its own."""
+    return F.regexp_replace("content", r"\n\z", "")

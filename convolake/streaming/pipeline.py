@@ -4,32 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.distill import ModelFn
 from ..plans.pipeline import run_pipeline
+from ..sources.session_logs import read_session_logs
 
 
 def start_pipeline(logs: DataFrame, root: str, checkpoint: str, every: str | None = None,
                    model_fn: ModelFn | None = None, template: str | None = None,
                    render: bool = True, on_error: Callable[[int, Exception], None] | None = None,
-                   ) -> StreamingQuery:
+                   **options) -> StreamingQuery:
     """Start the pipeline on a stream of logs (``stream_session_logs``).
 
     ``every`` is the time between runs, the pause that lets a burst of changes
-    settle; without it the query takes what is there and ends.  A failed run stops
-    the query, which resumes with the same files; with ``on_error`` it is reported
-    and the query goes on with the next files.
+    settle; without it the query takes what is there and ends.  ``options`` go to
+    ``run_pipeline`` (``grain``, ``mode``, ``documents``, ``review_template``).  A run that fails
+    stops the query, which resumes with the same files.  With ``on_error``, errors of
+    distilling, reviewing and rendering are reported and the run goes on; storing messages and
+    paths still stops the query, so that no file is passed over.
     """
     def run(batch: DataFrame, number: int) -> None:
-        try:
-            run_pipeline(batch.sparkSession, root, batch, number, model_fn, template, render)
-        except Exception as error:
-            if on_error is None:
-                raise
-            on_error(number, error)
+        if on_error is not None:
+            def report(step: str, error: Exception) -> None:
+                on_error(number, error)
+        else:
+            report = None
+        run_pipeline(batch.sparkSession, root, batch, number, model_fn, template, render, on_error=report, **options)
 
     writer = logs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
+
+
+def poll_logs(spark: SparkSession, source: str, root: str, checkpoint: str, every: str,
+              model_fn: ModelFn | None = None, template: str | None = None, **options) -> StreamingQuery:
+    """Run the pipeline on a clock over all log files that changed, also those known before.
+
+    A stream of files hands out each file once, so it misses requests appended to it; here a
+    timed stream lists the files anew and reads those modified since the last run that
+    succeeded, message by message.
+    """
+    state = {"since": None}
+
+    def run(_: DataFrame, number: int) -> None:
+        began = spark.range(1).select(F.date_format(F.current_timestamp() - F.expr("interval 1 minute"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+        raw = read_session_logs(spark, source, modified_after=state["since"])
+        run_pipeline(spark, root, raw, number, model_fn, template, grain="message", **options)
+        state["since"] = began  # a minute back: files written while the run listed them come again
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

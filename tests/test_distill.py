@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convolake.operators import batches as B
+from convolake.operators import model as M
 from convolake.operators.progress import advance_watermark, incremental_messages, project_progress, stale_projects
 from convolake.plans.distill import distill, plan_batches
 from convolake.plans.review import review
@@ -37,14 +38,50 @@ def test_batches_follow_time_and_size(spark):
     assert [r.n_messages for r in rows] == [15, 6, 3]
 
 
-def test_only_first_messages_are_sent_but_all_are_marked(spark):
-    state = make_state(spark, [("s", "/p", 1)], [("s", k, f"m{k}", None, 1000 - k) for k in range(35)])
-    planned = plan_batches(state)
-    text = planned.rows.first().conversations
-    assert text.count("USER:") == 30 and "m34" in text and "m4\n" not in text + "\n"  # in time order
-    assert planned.marks.first().last_message_id == 34
-    carried = plan_batches(state, carry_over=True)
-    assert carried.marks.first().last_message_id == 29 and "m29" in carried.rows.first().conversations
+def test_messages_beyond_the_first_thirty_come_next(spark):
+    state = make_state(spark, [("s", "/p", 1)], [("s", k, f"m{k}.", None, 1000 - k) for k in range(35)])
+    seen = []
+    for _ in range(3):
+        planned = plan_batches(state)
+        rows = planned.rows.collect()
+        if not rows:
+            break
+        assert rows[0].n_messages == rows[0].conversations.count("USER:")
+        seen += [k for k in range(35) if f"m{k}." in rows[0].conversations]
+        state.progress = keep(spark, advance_watermark(state.progress, planned.marks), PROGRESS)
+    assert sorted(seen) == list(range(35))
+    state.progress = state.progress.limit(0)
+    marked = plan_batches(state, carry_over=False)  # the first in time, and all count as done
+    text = marked.rows.first().conversations
+    assert text.count("USER:") == 30 and "m34." in text and "m4." not in text
+    assert marked.marks.first().last_message_id == 34
+
+
+def test_long_lists_travel_in_parts(spark):
+    state = seven_sessions(spark)
+    big = "d" * 1_000_000
+    skills = spark.createDataFrame([(f"k{i}", "/p/two", f"T{i}", big) for i in range(9)],
+                                   "skill_id string, project_path string, title string, description string")
+    state.skills = conform(skills, SKILLS)
+    rules = conform(spark.createDataFrame([("/p/two", f"rule {i}", i) for i in range(25)],
+                                          "project_path string, rule_text string, rule_seq long"), RULES)
+    state.rules = rules
+    parts = B.prompt_sections(state.skills, rules, per_part=10).orderBy("section", "part_no").collect()
+    assert [(p.section, p.part_no) for p in parts] == [("rules", 0), ("rules", 1), ("rules", 2), ("skills", 0)]
+    assert "".join(p.text for p in parts[:3]).endswith("  24. rule 23\n  25. rule 24")
+    rows = plan_batches(state).rows
+    whole = {(r.project_path, r.batch_no): r.prompt for r in B.build_prompts(rows, state.skills, rules, TEMPLATE).collect()}
+
+    def measure(prompts):
+        return [f'[{{"title": "T", "steps": "{len(p)} {hash(p[:2000] + p[-2000:])}"}}]' for p in prompts]
+
+    answers = M.ask_model(rows, B.prompt_sections(state.skills, rules), TEMPLATE, lambda ps: [str(len(p)) for p in ps])
+    assert {(r.project_path, r.batch_no): r.raw for r in answers.collect()} == {k: str(len(p)) for k, p in whole.items()}
+    assert max(map(len, whole.values())) > 9_000_000
+    result = distill(state, measure, TEMPLATE)
+    assert {r.stat: r.n for r in result.stats.collect()}["batches_failed"] == 0
+    limited = distill(state, measure, TEMPLATE, max_prompt_chars=100_000)
+    assert {r.stat: r.n for r in limited.stats.collect()}["batches_failed"] == 1
 
 
 def test_prompt_holds_skills_and_rules(spark):

@@ -1,10 +1,13 @@
 import datetime as dt
+import time
 
 from convolake.operators.bursts import burst_windows, change_bursts
+from convolake.operators.render import render_instructions, skill_documents
 from convolake.plans.pipeline import reload_pipeline, run_pipeline
 from convolake.sources.session_logs import read_session_logs, stream_session_logs
-from convolake.sources.tables import load_state
-from convolake.streaming.pipeline import start_pipeline
+from convolake.schemas import SKILLS, conform
+from convolake.sources.tables import load_state, write_documents, write_skill_documents
+from convolake.streaming.pipeline import poll_logs, start_pipeline
 
 import logs
 
@@ -75,15 +78,74 @@ def test_reload_keeps_skills_and_counts_paths_anew(spark, tmp_path):
         "/data/x/0.csv": (1, 1), "/data/x/1.csv": (2, 1), "/data/x/2.csv": (3, 1)}
 
 
-def test_failed_runs_can_be_reported(spark, tmp_path):
-    source = tmp_path / "logs"
+def test_a_failed_step_loses_nothing(spark, tmp_path):
+    source, store = tmp_path / "logs", tmp_path / "store"
     fill(source)
     seen = []
-    query = start_pipeline(
-        stream_session_logs(spark, str(source)), str(tmp_path / "store"), str(tmp_path / "check"),
-        model_fn=answer_fn(), template=None, on_error=lambda number, error: seen.append((number, type(error).__name__)))
-    query.awaitTermination(120)
-    assert seen == [(0, "ValueError")]
+
+    def run(model_fn):
+        query = start_pipeline(
+            stream_session_logs(spark, str(source)), str(store), str(tmp_path / "check"), model_fn=model_fn,
+            template=TEMPLATE, on_error=lambda number, error: seen.append((number, type(error).__name__)))
+        query.awaitTermination(120)
+        return load_state(spark, str(store))
+
+    state = run("no function")
+    assert state.progress.count() == 0 and state.paths.count() == 2 and state.messages.count() == 2
+    logs.write(source, "w1", "b", logs.session("b", 1))
+    state = run(answer_fn())  # the first run's messages are distilled, its paths were counted
+    assert {r.path: r.use_count for r in state.paths.collect()} == {"/data/x/0.csv": 2, "/data/x/1.csv": 1}
+    assert sorted((r.session_id, r.last_message_id) for r in state.progress.collect()) == [("a", 1), ("b", 0)]
+
+
+def test_steps_fail_apart(spark, tmp_path):
+    source, store = tmp_path / "logs", str(tmp_path / "store")
+    fill(source)
+    seen = []
+    run_pipeline(spark, store, read_session_logs(spark, str(source)), 0, answer_fn(), None,
+                 on_error=lambda step, error: seen.append((step, type(error).__name__)))
+    assert seen == [("distill", "ValueError")]
+    assert load_state(spark, store).paths.count() == 2 and (tmp_path / "store" / "documents" / "skills").exists()
+
+
+def test_requests_appended_to_a_known_file(spark, tmp_path):
+    source, store = tmp_path / "logs", str(tmp_path / "store")
+    fill(source)
+    run_pipeline(spark, store, read_session_logs(spark, str(source)), 0, grain="message")
+    first = load_state(spark, store).sessions.collect()
+    logs.write(source, "w1", "a", logs.session("a", 5))
+    run_pipeline(spark, store, read_session_logs(spark, str(source), modified_after="2020-01-01T00:00:00"), 1, grain="message")
+    state = load_state(spark, store)
+    assert state.messages.count() == 5 and len(first) == state.sessions.count() == 1
+    assert state.sessions.first().last_message_at >= first[0].last_message_at
+    assert read_session_logs(spark, str(source), modified_after="2100-01-01T00:00:00").count() == 0
+
+
+def test_polling_takes_grown_files(spark, tmp_path):
+    source, store = tmp_path / "logs", str(tmp_path / "store")
+    fill(source)
+    query = poll_logs(spark, str(source), store, str(tmp_path / "check"), "1 second", render=False)
+    try:
+        for n in (2, 4):
+            logs.write(source, "w1", "a", logs.session("a", n))
+            for _ in range(60):
+                if load_state(spark, store).messages.count() == n:
+                    break
+                time.sleep(1)
+            assert load_state(spark, store).messages.count() == n
+    finally:
+        query.stop()
+
+
+def test_written_documents_are_their_content(spark, tmp_path):
+    columns = "skill_id string, project_path string, title string"
+    skills = conform(spark.createDataFrame([("k1", "/a/web", "Fix it"), ("k2", "/b/web", "Fix it"), ("k3", "/b/web/", "Fix it")], columns), SKILLS)
+    made = skill_documents(skills)
+    write_skill_documents(made, str(tmp_path / "skills"))
+    assert sorted(p.read_text() for p in (tmp_path / "skills").rglob("*.txt")) == sorted(r.content for r in made.collect())
+    pages = render_instructions(skills, "now")
+    write_documents(pages, str(tmp_path / "pages"))
+    assert sorted(p.read_text() for p in (tmp_path / "pages").rglob("*.txt")) == sorted(r.content for r in pages.collect())
 
 
 T0 = dt.datetime(2024, 1, 1)

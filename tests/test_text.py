@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from pyspark.sql import functions as F
@@ -53,43 +54,43 @@ def test_content_id(rows):
     assert rows(["s"], X.content_id(F.lit("/p"), F.lit("T"), col())) == [want]
 
 
-def salient(text, limit=600):
-    """Plain reading of the shortening rule."""
-    if text is None or len(text) <= limit:
-        return text
-    out, used = [], 0
-    for line in text.split("\n"):
-        if used >= limit:
-            break
-        if line.startswith(("[cmd]", "[edit]")):
-            piece = line[:300]
-        elif line.startswith("[output"):
-            piece = line[:150]
-            if used + len(piece) >= limit:
-                continue
-        else:
-            piece = line[:200]
-            if used + len(line) >= limit:
-                continue
-        out.append(piece)
-        used += len(piece)
-    return "\n".join(out)
-
-
-def test_truncate_salient_edges(rows):
-    values = [
-        None, "", "a" * 600, "a" * 601, "\n".join("[cmd] " + "x" * 290 for _ in range(5)),
-        "[output exit=0] " + "o" * 400 + "\n" + "p" * 300, "q" * 700 + "\nshort\n" + "r" * 300,
-        "a" * 599 + "\nb", "\n" * 700,
-    ]
-    assert rows(values, X.truncate_salient(col())) == [salient(v) for v in values]
-
-
-def test_truncate_salient_random(rows):
+CMD, EDIT, OUT = "[cmd] ", "[edit] ", "[output exit=0] "
+
+
+@pytest.mark.parametrize("text,kept", [
+    (None, None),
+    ("", ""),
+    ("a" * 600, "a" * 600),  # fits as it is
+    ("a" * 601, ""),  # one plain line that is too long by itself
+    (CMD + "x" * 700, CMD + "x" * 294),  # commands are cut to 300 characters
+    (EDIT + "x" * 700 + "\nshort", EDIT + "x" * 293 + "\nshort"),
+    (OUT + "o" * 400 + "\n" + "p" * 300, OUT + "o" * 134 + "\n" + "p" * 200),  # output to 150, text to 200
+    ("q" * 700 + "\nshort\n" + "r" * 300, "short\n" + "r" * 200),  # what does not fit is passed over
+    ("a" * 599 + "\nb", "a" * 200 + "\nb"),
+    ("\n".join([CMD + "x" * 290] * 5), "\n".join([CMD + "x" * 290] * 3)),  # 296 and 592 are below the limit, 888 ends it
+])
+def test_truncate_salient_by_hand(rows, text, kept):
+    assert rows([text], X.truncate_salient(col())) == [kept]
+
+
+def test_truncate_salient_properties(rows):
     rng = random.Random(7)
-    values = [
-        "\n".join(rng.choice(["[cmd] ", "[edit] ", "[output] ", "", "é"]) + "z" * rng.choice([0, 5, 60, 160, 250, 400])
-                  for _ in range(rng.randrange(1, 15)))
-        for _ in range(300)
-    ]
-    assert rows(values, X.truncate_salient(col())) == [salient(v) for v in values]
+    kinds = {CMD: 300, EDIT: 300, OUT: 150, "": 200, "é": 200}
+    texts = ["\n".join(rng.choice(list(kinds)) + "z" * rng.choice([0, 5, 60, 160, 250, 400]) for _ in range(rng.randrange(1, 15)))
+             for _ in range(300)]
+    for text, short in zip(texts, rows(texts, X.truncate_salient(col()))):
+        if len(text) <= 600:
+            assert short == text
+            continue
+        lines, kept = text.split("\n"), short.split("\n") if short else []
+        at = -1  # kept lines are beginnings of lines, in their order
+        for line in kept:
+            at = next(i for i in range(at + 1, len(lines)) if lines[i].startswith(line) and (len(line) == len(lines[i]) or len(line) >= 150))
+        sizes = [len(line) for line in kept]
+        assert all(sum(sizes[:i]) < 600 for i in range(len(sizes)))  # nothing is added beyond the limit
+        for i, line in enumerate(kept):  # only commands and edits may pass it
+            if not line.startswith((CMD, EDIT)):
+                assert sum(sizes[: i + 1]) < 600
+        spoken = [line for line in lines if line.startswith((CMD, EDIT))]
+        if sum(min(300, len(line)) for line in spoken) + sum(sizes) < 600:
+            assert all(line[:300] in kept for line in spoken)
