@@ -13,7 +13,7 @@ from convolake.functions.text import content_id, truncate_salient
 from convolake.operators import batches as B
 from convolake.operators import bursts, merge, model, paths, progress, render, reports, rules, search
 from convolake.plans.distill import distill, plan_batches
-from convolake.plans.review import review_prompts
+from convolake.plans.review import review, review_prompts
 from convolake.schemas import PATHS, empty
 from convolake.session import tune
 from convolake.sources import ingest as I
@@ -335,8 +335,9 @@ def stale_projects_compat(t):
 
 
 _ASSIGNED = f"""{_FRESH}, per as (
-  select project_path, session_id, count(*) n_messages, max(msg_seq) last_message_id, min(created_at) created_at, min(ts) first_ts
-  from fresh group by project_path, session_id),
+  select project_path, session_id, count(*) filter (r <= 30) n_messages, max(msg_seq) filter (r <= 30) last_message_id,
+    max(msg_seq) last_fresh, min(msg_seq) filter (r = 3) third, min(created_at) created_at, min(ts) first_ts
+  from (select *, row_number() over (partition by project_path, session_id order by msg_seq) r from fresh) group by project_path, session_id),
 asg as (select *, row_number() over (partition by project_path order by created_at nulls first, first_ts nulls first, session_id) - 1 pos from per)"""
 
 
@@ -360,6 +361,23 @@ def watermark_upsert(t):
     return progress.advance_watermark(state.progress, plan_batches(state).marks).drop("distilled_at")
 
 
+_MARKS = """
+with {assigned}
+select project_path, cast(floor(pos / 5) as bigint) batch_no, session_id, {last} last_message_id from asg"""
+
+
+@query(_MARKS.format(assigned=_ASSIGNED, last="coalesce(third, last_fresh)"), _NEEDS)
+def marks_carried_over(t):
+    """Three messages of a session at a time: the mark stops at the last one sent."""
+    return plan_batches(t.state(), max_messages=3).marks
+
+
+@query(_MARKS.format(assigned=_ASSIGNED, last="last_fresh"), _NEEDS)
+def marks_not_carried_over(t):
+    """The mark passes messages that are not sent."""
+    return plan_batches(t.state(), max_messages=3, carry_over=False).marks
+
+
 _SALIENT = """case when length({c}) <= 600 then {c} else
   array_to_string(list_reduce(
     list_transform(string_split({c}, chr(10)), lambda l: {{'kept': [l], 'size': 0}}),
@@ -390,11 +408,11 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _session_texts(source: str, name: str) -> str:
-    """SQL for the prompt text of each session of ``source``."""
+def _session_texts(source: str, name: str, order: str = "ts nulls first, msg_seq") -> str:
+    """SQL for the prompt text of each session of ``source``: its first 30 messages by ``order``."""
     short = _SALIENT.format(c="substr(response_summary, 1, 2000)")
     return f"""{name}_lines as (
-  select project_path, session_id, ts, msg_seq, row_number() over (partition by project_path, session_id order by ts nulls first, msg_seq) rn,
+  select project_path, session_id, ts, msg_seq, row_number() over (partition by project_path, session_id order by {order}) rn,
     concat('USER: ', substr(user_text, 1, 200),
       case when substr(coalesce(response_summary, ''), 1, 2000) <> '' then concat({_NL}, 'RESPONSE: ', {short}) else '' end) line
   from {source}),
@@ -423,7 +441,7 @@ _PROMPT_NEEDS = f"{_NEEDS} f_skills f_skill_files f_skill_templates f_rules"
 
 
 @query(f"""
-with {_ASSIGNED}, {_session_texts("fresh", "tx")}, {_SKILL_LINES},
+with {_ASSIGNED}, {_session_texts("fresh", "tx", "msg_seq")}, {_SKILL_LINES},
 ba as (select a.project_path, floor(pos / 5) batch_no, count(*) n_sessions, sum(n_messages) n_messages,
     string_agg(a.session_id, ',' order by pos) session_ids, string_agg(session_text, {_NL} || {_NL} order by pos) conversations
   from asg a join tx on tx.project_path = a.project_path and tx.session_id = a.session_id group by a.project_path, floor(pos / 5))
@@ -439,6 +457,32 @@ def distill_prompts(t):
     return prompts.withColumn("session_ids", F.array_join("session_ids", ",")).drop("error")
 
 
+def _section_sql(section: str, lines: str, line: str, order: str, header: str, separator: str) -> str:
+    """SQL for the parts of 100 lines of one section of all projects."""
+    return f"""
+select project_path, '{section}' section, cast(floor(n / 100) as bigint) part_no,
+  concat(case when floor(n / 100) = 0 then {_literal(header)} else {separator} end, string_agg({line}, {separator} order by n)) text
+from (select *, row_number() over (partition by project_path order by {order}) - 1 n from {lines} where project_path is not null)
+group by project_path, floor(n / 100)"""
+
+
+@query(f"""
+with {_ASSIGNED}, {_session_texts("fresh", "tx", "msg_seq")}, {_SKILL_LINES}
+{_section_sql("skills", "sl", "line", "created_min, skill_id", B.SKILLS_HEADER, f"{_NL} || {_NL}")}
+union all
+{_section_sql("rules", "f_rules", "concat('  ', n + 1, '. ', rule_text)", "created_min, rule_seq", B.RULES_HEADER, _NL)}
+union all
+select a.project_path, 'conversations', cast(floor(pos / 5) as bigint), string_agg(session_text, {_NL} || {_NL} order by pos)
+from asg a join tx on tx.project_path = a.project_path and tx.session_id = a.session_id group by a.project_path, floor(pos / 5)""",
+       _PROMPT_NEEDS)
+def distill_prompt_parts(t):
+    """What prompts are put together from: each list once, in parts, and the batches' conversations."""
+    state = t.state()
+    batches = plan_batches(state).rows.select(
+        "project_path", F.lit("conversations").alias("section"), F.col("batch_no").alias("part_no"), F.col("conversations").alias("text"))
+    return B.prompt_sections(state.skills, state.rules).unionByName(batches)
+
+
 @query(f"""
 with {_ASSIGNED}, f as (
   select s.project_path, s.session_id, s.created_at, min(m.ts) first_ts from f_messages m
@@ -664,6 +708,55 @@ def distill_sequential(t):
         "skill_id", "project_path", "title", "steps", "tags", "obs_type")
 
 
+def _counting_stub():
+    """A model stand-in: one skill per prompt whose steps are the number of skills it was shown."""
+    def answer(prompts):
+        import json
+        import re
+        return [json.dumps([{"title": f"From {re.findall(r'^--- Session (.+) ---$', p, re.M)[0]}", "steps": str(p.count("[skill_id="))}])
+                for p in prompts]
+    return answer
+
+
+_SEEN = """
+with {distilled}, n as (select project_path, count(*) n0 from f_skills group by project_path),
+k as (select b.project_path, concat('From ', substr(s0, 1, 8)) title, cast(cast(coalesce(n0, 0) + {earlier} as bigint) as varchar) steps
+  from b left join n on n.project_path = b.project_path)
+select substr(sha256(concat(project_path, ':', title, ':', steps)), 1, 16) skill_id, project_path, title, steps from k"""
+
+
+@query(_SEEN.format(distilled=_DISTILLED, earlier="0"), f"{_NEEDS} f_skills")
+def distill_snapshot_seen(t):
+    made = distill(t.state(), _counting_stub(), TEMPLATE).skills.where(F.col("title").startswith("From "))
+    return made.select("skill_id", "project_path", "title", "steps")
+
+
+@query(_SEEN.format(distilled=_DISTILLED, earlier="bn"), f"{_NEEDS} f_skills")
+def distill_sequential_seen(t):
+    """Each batch sees the skills that the project's earlier batches made."""
+    made = distill(t.state(), _counting_stub(), TEMPLATE, mode="sequential").skills.where(F.col("title").startswith("From "))
+    return made.select("skill_id", "project_path", "title", "steps")
+
+
+def _reviewing_stub():
+    """A model stand-in: one rule that tells how many sessions the prompt holds."""
+    def answer(prompts):
+        import json
+        return [json.dumps([{"rule": f"Reviewed {p.count('--- Session ')} sessions"}]) for p in prompts]
+    return answer
+
+
+@query("""
+with r as (select s.project_path, s.session_id from f_messages m join f_sessions s on s.session_id = m.session_id
+  where s.project_path is not null and m.user_text is not null group by all),
+n as (select k.project_path, least(20, count(r.session_id)) n from (select distinct project_path from f_skills where project_path is not null) k
+  left join r on r.project_path = k.project_path group by k.project_path)
+select project_path, rule_text, source from f_rules
+union all select project_path, concat('Reviewed ', n, ' sessions'), 'review' from n""", f"{_NEEDS} f_skills f_rules")
+def review_rules(t):
+    return review(t.state(), _reviewing_stub(), REVIEW_TEMPLATE).rules.select("project_path", "rule_text", "source")
+
+
 # -- search -------------------------------------------------------------------
 
 _STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in search.ENGLISH_STOP_WORDS) + "]"
