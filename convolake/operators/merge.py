@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_id
 from ..schemas import SKILL_CONTENT, SKILLS, conform
 from ..session import pin
+from .ranking import global_index
 
 _ITEM_BITS = 32
 _BLOCK_BITS = 10  # batches per block when the next event of a skill is looked up
@@ -47,6 +48,46 @@ def _until(events: DataFrame) -> DataFrame:
     )
 
 
+def _first_bearers(points: DataFrame, bearing: DataFrame) -> DataFrame:
+    """Per item (``_KEY``, title, at): the smallest ``_bearer`` of its title with since < at < until.
+
+    All times of a shared title are placed in one order.  An interval of places is cut into
+    blocks of doubling width, at most two of each, and an item looks into the one block of
+    each width that holds it: rows grow with n log n, however many bear or name a title.
+    """
+    title = ["project_path", "title"]
+    points = points.join(bearing.select(*title).distinct(), title, "left_semi")
+    ends = bearing.select(*title, F.explode(F.array(
+        F.struct(F.lit(2).alias("kind"), F.col("since").alias("time")),
+        F.struct(F.lit(0).alias("kind"), F.col("until").alias("time")))).alias("e"))
+    times = points.select(F.col("at").alias("time"), F.lit(1).alias("kind")).unionByName(
+        ends.where("e.time is not null").select("e.time", "e.kind")).distinct()
+    # at equal times: what ends, then items, then what begins
+    placed = pin(global_index(times, F.asc("time"), F.asc("kind"), name="place"))
+    most = int(placed.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]) + 1
+
+    def place(kind: int, name: str) -> DataFrame:
+        return placed.where(F.col("kind") == kind).select(F.col("time").alias(name), F.col("place").alias(f"{name}_place"))
+
+    spans = bearing.join(place(2, "since"), "since", "left").join(place(0, "until"), "until", "left").select(
+        *title, "_bearer", F.coalesce("since_place", F.lit(0)).alias("low"), F.coalesce("until_place", F.lit(most)).alias("high"))
+
+    def blocks(width: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), width)
+        low, high = F.ceil(F.col("low") / one), F.floor(F.col("high") / one)
+        some = low < high
+        return F.array(
+            F.when(some & (low % 2 == 1), F.struct(width.alias("width"), low.alias("block"))),
+            F.when(some & (high % 2 == 1), F.struct(width.alias("width"), (high - 1).alias("block"))))
+
+    widths = F.sequence(F.lit(0), F.lit(most.bit_length()))
+    cover = spans.select(*title, "_bearer", F.explode(F.filter(F.flatten(F.transform(widths, blocks)), lambda b: b.isNotNull())).alias("b"))
+    least = cover.groupBy(*title, F.col("b.width").alias("width"), F.col("b.block").alias("block")).agg(F.min("_bearer").alias("_bearer"))
+    at = points.join(place(1, "at"), "at").select(*_KEY, "title", "at_place", F.explode(widths).alias("width"))
+    within = at.withColumn("block", F.expr("shiftright(at_place, width)"))
+    return within.join(least, [*title, "width", "block"]).groupBy(*_KEY).agg(F.min("_bearer").alias("_then"))
+
+
 def _look_up(items: DataFrame, base: DataFrame, forced: DataFrame | None = None) -> DataFrame:
     """Resolve items against ``base`` (project_path, skill_id, title, born).
 
@@ -85,13 +126,7 @@ def _look_up(items: DataFrame, base: DataFrame, forced: DataFrame | None = None)
         "project_path", "title", F.col("skill_id").alias("_bearer"), "since", "until")
 
     by_title = matched.where(F.col("by_id").isNull())
-    then = (
-        by_title.select(*_KEY, "title", "at")
-        .join(bearing, ["project_path", "title"])
-        .where((F.col("since").isNull() | (F.col("since") < F.col("at")))
-               & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
-        .groupBy(*_KEY).agg(F.min("_bearer").alias("_then"))
-    )
+    then = _first_bearers(by_title.select(*_KEY, "title", "at"), bearing)
     columns = [*items.columns, "by_id"]
     looked_up = (
         by_title.select(*columns).join(fixed, ["project_path", "title"], "left")

@@ -65,6 +65,12 @@ def build_corpus(skills: DataFrame, messages: DataFrame, sessions: DataFrame,
     return out
 
 
+def _words(text: str, stop_words: Sequence[str]) -> Column:
+    """The words of a text that are no stop words, in order."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(list(stop_words))) if stop_words else words
+
+
 def explode_terms(df: DataFrame, text: str, stop_words: Sequence[str], *keep: str) -> DataFrame:
     """One row per word of ``text`` that is no stop word: the ``keep`` columns and ``term``."""
     words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
@@ -72,6 +78,14 @@ def explode_terms(df: DataFrame, text: str, stop_words: Sequence[str], *keep: st
     return found.where(~F.col("term").isin(list(stop_words))) if stop_words else found
 
 
+def _totals(documents: DataFrame) -> DataFrame:
+    """(term, total, df) of ``documents (words)`` without a row for each document and term."""
+    each = F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
+    once = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")))
+    found = documents.select(F.explode(F.concat(each, once)).alias("w"))
+    return found.groupBy(F.col("w.term").alias("term")).agg(F.sum("w.n").alias("total"), F.sum("w.d").alias("df"))
+
+
 def _idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
@@ -86,7 +100,7 @@ def _ranked() -> list[Column]:
 
 
 def _term_counts(corpus: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """(type, id, term, tf): a document's words meet in the task that reads it."""
+    """(type, id, term, tf): counted in the task that reads a document, then moved once."""
     found = explode_terms(corpus, "text", stop_words, "type", "id")
     return found.groupBy("type", "id", "term").agg(F.count("*").alias("tf"))
 
@@ -111,25 +125,31 @@ def search(corpus: DataFrame, query: str, project: str | None = None, limit: int
            stop_words: Sequence[str] = ENGLISH_STOP_WORDS, digits: int = 3) -> DataFrame:
     """Rows of ``corpus`` most similar to ``query``: the query is one more document.
 
-    The project filter comes before all statistics.  The corpus is read once and
-    its word counts are written down; the vocabulary is the ``max_features`` most
-    frequent terms, which are few whatever the corpus.
+    The project filter comes before all statistics.  Two passes over the corpus: the
+    first counts terms, combined in each task; the second weighs the vocabulary words of
+    the documents that share a word with the query.  Nothing is stored, and no row per
+    document and word moves in the first pass.
     """
     if project:
         corpus = corpus.where(F.col("project").contains(project))
-    documents = corpus.select("type", "id", "text")
-    postings = write_down(_term_counts(documents, stop_words))
+    documents = corpus.select("type", "id", _words("text", stop_words).alias("words"))
     asked = corpus.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
     words = _query_words(asked, stop_words)
-    with_query = _statistics(postings).unionByName(
+    with_query = _totals(documents).unionByName(
         words.select("term", F.col("n").alias("total"), F.lit(1).alias("df")))
     terms = _frequent(
         with_query.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")), max_features)
     size = corpus.agg((F.count("*") + 1).alias("n")).scalar()
-    vocabulary = terms.select("term", "df").join(F.broadcast(words), "term", "left").select(
+    vocabulary = terms.select("term", "df").join(words, "term", "left").select(
         "term", "n", _idf(size, F.col("df")).alias("idf"))
-    # at most `max_features` rows
-    weighed = postings.join(F.broadcast(vocabulary), "term").select(
+    own = [row["term"] for row in words.collect()]  # the words of the query text, which the driver holds
+    sharing = documents.where(F.arrays_overlap("words", F.array(*map(F.lit, own)).cast("array<string>")))
+    counted = (
+        sharing.select("type", "id", F.explode("words").alias("term"))
+        .join(vocabulary, "term").groupBy("type", "id", "term")
+        .agg(F.count("*").alias("tf"), F.first("idf").alias("idf"), F.first("n").alias("n"))
+    )
+    weighed = counted.select(
         "type", "id", (F.col("tf") * F.col("idf")).alias("w"), (F.col("n") * F.col("idf")).alias("q"))
     query_norm = vocabulary.agg(F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), 2))).alias("q")).scalar()
     scored = (
@@ -141,7 +161,7 @@ def search(corpus: DataFrame, query: str, project: str | None = None, limit: int
     )
     best = scored.orderBy(*_ranked()).limit(limit)
     return (
-        corpus.join(F.broadcast(best), ["type", "id"])  # `limit` rows
+        corpus.join(best, ["type", "id"])
         .orderBy(*_ranked())
         .select("type", "id", "title", "description", "project", F.round("score", digits).alias("score"))
     )
@@ -210,7 +230,7 @@ def search_batch(corpus: DataFrame, index: SearchIndex, queries: DataFrame, limi
 
     Each query counts as one more document of its own search: the corpus size grows
     by one, so do the frequencies of its words, and a word used often enough takes
-    the place of the last vocabulary term.  Document norms are computed once; only
+    the place of the last vocabulary term.  Document norms follow from the index; only
     postings of terms a query changes adjust them.
     """
     size = index.size + 1

@@ -48,10 +48,16 @@ def _parsed(raw: DataFrame) -> DataFrame:
     return parsed.join(losers.select("file_path"), "file_path", "left_anti")
 
 
-def normalize_sessions(raw: DataFrame, as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sessions, messages) of raw logs; ``msg_seq`` is the position of the request."""
+def normalize_sessions(raw: DataFrame, as_of: Column | None = None,
+                       known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sessions, messages) of raw logs; ``msg_seq`` is the position of the request.
+
+    Sessions in ``known (session_id)`` are left out before their requests are flattened.
+    """
     as_of = F.current_timestamp() if as_of is None else as_of
     parsed = _parsed(raw)
+    if known is not None:
+        parsed = parsed.join(known, "session_id", "left_anti")
     sessions = parsed.select(
         "session_id", "workspace_id", "project_path",
         F.try_variant_get("log", "$.creationDate", "long").alias("created_at"),
@@ -92,13 +98,13 @@ def ingest(raw: DataFrame, sessions: DataFrame, messages: DataFrame, grain: str
     requests appended to them.  ``force`` ignores what is stored: the result then
     replaces the tables, and paths are to be counted from nothing.
     """
-    seen_sessions, seen_messages = normalize_sessions(raw, as_of)
     if force:
         sessions, messages = sessions.limit(0), messages.limit(0)
     known = sessions.select("session_id")
-    new_sessions = seen_sessions.join(known, "session_id", "left_anti")
+    seen_sessions, seen_messages = normalize_sessions(raw, as_of, known if grain == "session" else None)
+    new_sessions = seen_sessions if grain == "session" else seen_sessions.join(known, "session_id", "left_anti")
     if grain == "session":
-        new_messages = seen_messages.join(known, "session_id", "left_anti")
+        new_messages = seen_messages
         stored = sessions
     elif grain == "message":
         new_messages = seen_messages.join(
