@@ -109,3 +109,26 @@ def test_sources_creation_and_outcome(spark):
     assert got["old2"].skill_id == "x" and got["old2"].source_session_ids == [] and got["old2"].steps == "c"
     how = {(r.batch_no, r.item_no): r.how for r in resolve_items(known, rows).collect()}
     assert how == {(0, 0): "new", (1, 0): "title", (1, 1): "id"}
+
+
+def test_many_bearers_of_one_title(spark):
+    n = 20_000
+    base = spark.range(n).select(
+        F.format_string("k%05d", "id").alias("skill_id"), F.lit("/p").alias("project_path"),
+        F.concat(F.lit("Own "), "id").alias("title"), F.lit("s").alias("steps"))
+    renames = spark.range(n).select(F.lit("/p").alias("project_path"), F.lit(0).cast("long").alias("batch_no"), F.col("id").alias("item_no"),
+                                    F.format_string("k%05d", n - 1 - F.col("id")).alias("skill_id"), F.lit("Shared").alias("title"))
+    named = spark.range(n).select(F.lit("/p").alias("project_path"), F.lit(1).cast("long").alias("batch_no"), F.col("id").alias("item_no"),
+                                  F.lit("new").alias("skill_id"), F.lit("Shared").alias("title"))
+    between = named.limit(10).withColumn("batch_no", F.lit(0).cast("long")).withColumn("item_no", F.col("item_no") * 1000 + n)
+    items = conform_items(renames.unionByName(named).unionByName(between))
+    found = resolve_items(conform(base, SKILLS), items)
+    got = found.groupBy("batch_no", "how", "target").agg(F.count("*").alias("n")).where("how = 'title'").collect()
+    assert {(r.batch_no, r.target, r.n) for r in got} == {(0, "k00000", 10), (1, "k00000", n)}
+
+
+def conform_items(rows):
+    """Items with the remaining columns of normalised ones."""
+    text = {c: F.lit("") for c in ("description", "steps", "tags", "narrative")}
+    lists = {c: F.array().cast("array<string>") for c in ("facts", "concepts", "files_read", "files_modified")}
+    return rows.withColumns({**text, **lists, "obs_type": F.lit("workflow"), "recurring": F.lit(True)})
