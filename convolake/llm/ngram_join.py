@@ -266,7 +266,7 @@ def _entries(rows: DataFrame, rule: Rule, turn: int | None) -> DataFrame:
     )
 
 
-def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, leader_turns: int = 1) -> tuple[DataFrame, DataFrame]:
+def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, leader_turns: int = 3) -> tuple[DataFrame, DataFrame]:
     """(signature rows of all documents, ``node, component`` of the nodes that have links).
 
     Rows without ``doc_id`` take no part in links.

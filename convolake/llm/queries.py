@@ -21,7 +21,7 @@ TOXIC_FROM = 0.3  # expected severity
 def severity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Grades: clean, toxic, and toxic text of low quality."""
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    return toxicity.fit(toxicity.grades(documents, labels, F.col("toxic"), F.col("quality") == 0))
+    return toxicity.fit(documents, toxicity.grades(labels, F.col("toxic"), F.col("quality") == 0))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

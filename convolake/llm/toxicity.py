@@ -100,19 +100,24 @@ def _select(sample: DataFrame, max_features: int, least: int) -> np.ndarray:
     return np.array(sorted(r[0] for r in best.select("bucket").collect()), np.int64)  # max_features numbers
 
 
-def fit(labelled: DataFrame, max_rows: int = 20_000, max_features: int = 2048, least: int = 5, steps: int = 300) -> Model:
-    """A model from ``labelled (doc_id, text, grade)``; rows without grade are left out.
+def fit(documents: DataFrame, graded: DataFrame, max_rows: int = 20_000, max_features: int = 2048, least: int = 5,
+        steps: int = 300) -> Model:
+    """A model from ``documents (doc_id, text, ...)`` and ``graded (doc_id, grade)``.
 
-    Of more than ``max_rows`` rows those with the smallest hashes of ``doc_id`` are taken.
-    Without rows of at least two grades, every text gets the lowest grade.
+    Of more than ``max_rows`` graded ids those with the smallest hashes are taken.  Grades
+    and ids that are null are left out, as are ids without a document.  Without rows of at
+    least two grades, every text gets the lowest grade.
     """
-    known = labelled.where("grade is not null").select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
-    keys = known.select("doc_id", F.xxhash64("doc_id").alias("order"), "grade").orderBy("order", "doc_id").limit(max_rows)
-    bound = keys.agg(F.max("order"), F.max("grade"), F.min("grade")).head()
-    if bound[0] is None or bound[1] == bound[2]:
+    chosen = (
+        graded.where("grade is not null and doc_id is not null").select("doc_id", F.col("grade").cast("int").alias("grade"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_rows)
+    )
+    # at most max_rows pairs of numbers, so texts of other documents never move; copies of one
+    # text would make its chance words look telling
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("grade").alias("grade"))
+    bound = sample.agg(F.max("grade"), F.min("grade")).head()
+    if bound[0] is None or bound[0] == bound[1]:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(1, np.inf))
-    # copies of one text would make its chance words look telling
-    sample = known.where(F.xxhash64("doc_id") <= bound[0]).groupBy("text").agg(F.max("grade").alias("grade"))
     kept = _select(sample, max_features, least)
 
     def rows(batches):
@@ -130,7 +135,7 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, max_features: int = 2048, l
     matrix = matrix.combine_chunks()  # at most max_rows sparse rows of max_features columns
     index, value = (pc.list_flatten(matrix.column(c)).to_numpy() for c in ("index", "value"))
     length = pc.list_value_length(matrix.column("index")).to_numpy()
-    return _maximise(matrix.column("grade").to_numpy().astype(np.int64), np.repeat(np.arange(len(length)), length), index, value, kept, int(bound[1]), steps)
+    return _maximise(matrix.column("grade").to_numpy().astype(np.int64), np.repeat(np.arange(len(length)), length), index, value, kept, int(bound[0]), steps)
 
 
 def _maximise(grade, row, index, value, kept, highest: int, steps: int, ridge: float = 1e-4) -> Model:
@@ -187,8 +192,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, severity double, any_severity double")
 
 
-def grades(documents: DataFrame, labels: DataFrame, toxic: Column, worse: Column) -> DataFrame:
-    """Labelled rows with grades: 0 where ``toxic`` is 0, 1 where it is 1, 2 where ``worse`` holds as well."""
+def grades(labels: DataFrame, toxic: Column, worse: Column) -> DataFrame:
+    """``doc_id, grade`` of labelled ids: 0 where ``toxic`` is 0, 1 where it is 1, 2 where ``worse`` holds as well.
+
+    Of several labels of one id the highest grade counts.
+    """
     graded = labels.where(toxic.isNotNull() & F.col("doc_id").isNotNull()).select(
         "doc_id", F.when(toxic == 0, 0).when(F.coalesce(worse, F.lit(False)), 2).otherwise(1).alias("grade"))
-    return documents.select("doc_id", "text").join(graded.groupBy("doc_id").agg(F.max("grade").alias("grade")), "doc_id")
+    return graded.groupBy("doc_id").agg(F.max("grade").alias("grade"))

@@ -144,7 +144,8 @@ def test_cache_encodes_only_misses(spark, odd, tmp_path):
 
 def test_thresholds_share_weights_and_stay_in_order(spark):
     rows = [(i, f"nice calm words here {i} " + " ".join(["vile"] * (i % 3)) + (" awful" if i % 3 == 2 else ""), i % 3) for i in range(300)]
-    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, grade int"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = toxicity.fit(table, table)
     assert np.all(np.diff(model.thresholds) > 0) and len(model.thresholds) == 2
     scored = toxicity.score(spark.createDataFrame(rows[:3], "doc_id long, text string, grade int"), model).orderBy("doc_id").collect()
     severity = [r["severity"] for r in scored]
@@ -170,12 +171,12 @@ def test_gradient_is_that_of_the_likelihood():
 
 def test_toxicity_odd_texts_and_tables(spark, odd):
     labels = spark.createDataFrame([(4, 0, None), (6, 1, 0), (7, None, 1), (None, 1, 1)], "doc_id long, toxic int, quality int")
-    graded = toxicity.grades(odd, labels, F.col("toxic"), F.col("quality") == 0)
-    model = toxicity.fit(graded, least=1)
+    graded = toxicity.grades(labels, F.col("toxic"), F.col("quality") == 0)
+    model = toxicity.fit(odd, graded, least=1)
     scored = toxicity.score(odd, model)
     assert scored.columns == [*odd.columns, "severity", "any_severity"] and scored.count() == len(ODD) + 2
     assert all(0 <= r["severity"] <= 2 for r in scored.collect())
-    none = toxicity.fit(graded.limit(0))  # nothing to learn from: the lowest grade for all
+    none = toxicity.fit(odd, graded.limit(0))  # nothing to learn from: the lowest grade for all
     assert max(r["severity"] for r in toxicity.score(odd, none).collect()) < 1e-9
     assert toxicity.score(odd.limit(0), model).count() == 0
 
