@@ -98,7 +98,7 @@ TABLES = {
         from benchmark cross join (select * from (values (0), (1), (2)) a(v)) a
         union all
         select concat('/home/dev/projects/proj_', conv_id % 3) project_path, 100000000 + conv_id * 1000 + turn rule_seq, text rule_text
-        from conversations where role <> 'assistant'""",
+        from conversations""",
 }
 
 _NEEDS = {
