@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_paths, like_ci
+from ..functions.text import ascii_fold, extract_paths
+from ..session import pin
 from .filters import like_filter
 from .ranking import global_index
 
 
+GRAM = 4  # characters by which an open key meets paths
+
+
 def path_references(messages: DataFrame) -> DataFrame:
     """One row per path occurrence; a path repeated in a message counts each time."""
     found = messages.select("session_id", "msg_seq", "ts", extract_paths(F.col("user_text")).alias("p"))
@@ -101,23 +105,35 @@ def set_alias(paths: DataFrame, changes: dict[str, str]) -> DataFrame:
     return paths.withColumn("alias", alias)
 
 
-def resolve_paths(paths: DataFrame, keys: list[str]) -> DataFrame:
-    """Path for each key: by id, else by alias, else the most used path containing it.
+def resolve_paths(paths: DataFrame, keys: list[str] | DataFrame) -> DataFrame:
+    """Path for each key (``lookup``): by id, else by alias, else the most used path containing it.
 
-    All keys are tried in one scan: each path row yields the keys it can answer
-    with the rank of that answer, and one aggregate keeps the best per key.
+    Ids and aliases are equality joins.  A key that is still open meets only the paths
+    that share the last ``GRAM`` characters of its longest piece without wildcards.
     """
-    def answer(key: str) -> Column:
-        tier = F.when(F.col("alias") == key, 2).when(like_ci(F.col("path"), key), 3)
-        if key.isdigit():
-            tier = F.when(F.col("path_id") == int(key), 1).otherwise(tier)
-        return F.struct(F.lit(key).alias("lookup"), tier.alias("tier"))
-
-    offers = F.filter(F.array(*[answer(k) for k in keys]), lambda a: a["tier"].isNotNull())
-    by_use = F.when(F.col("a.tier") == 3, -F.col("use_count")).otherwise(F.lit(0))
-    return (
-        paths.select("path", "use_count", F.explode(offers).alias("a"))
-        .groupBy(F.col("a.lookup").alias("lookup"))
-        .agg(F.min(F.struct(F.col("a.tier").alias("tier"), by_use.alias("by_use"), "path")).alias("best"))
-        .select("lookup", F.col("best.path").alias("path"))
-    )
+    if not isinstance(keys, DataFrame):
+        keys = paths.sparkSession.createDataFrame([(key,) for key in keys], "lookup string")
+    keys = keys.select("lookup").where(F.col("lookup").isNotNull()).distinct()
+    paths = pin(paths.select("path_id", "path", "alias", "use_count"))  # read by each of the three ways
+    numbers = keys.where(F.col("lookup").rlike("^[0-9]+$")).select("lookup", F.expr("try_cast(lookup as bigint)").alias("path_id"))
+    by_id = numbers.join(paths.select("path_id", "path"), "path_id").groupBy("lookup").agg(F.min("path").alias("path"))
+    left = keys.join(by_id, "lookup", "left_anti")
+    by_alias = left.join(paths.select(F.col("alias").alias("lookup"), "path"), "lookup").groupBy("lookup").agg(F.min("path").alias("path"))
+    left = left.join(by_alias, "lookup", "left_anti").withColumn("folded", ascii_fold(F.col("lookup")))
+    piece = F.reduce(
+        F.split("folded", "[%_]", -1), F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    pattern = F.concat(F.lit("%"), F.replace("folded", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    open_keys = left.select("lookup", pattern.alias("pattern"), piece.alias("piece")).select(
+        "lookup", "pattern", F.substring(F.col("piece"), -GRAM, GRAM).alias("gram"))
+    sizes = [r[0] for r in open_keys.select(F.length("gram")).distinct().collect()]  # at most GRAM + 1 numbers
+    folded = paths.select("path", "use_count", ascii_fold(F.col("path")).alias("folded"))
+
+    def grams_of(n: int) -> Column:
+        begins = F.sequence(F.lit(1), F.greatest(F.length("folded") - (n - 1), F.lit(1))) if n else F.array(F.lit(1))
+        return F.transform(begins, lambda at: F.substr("folded", at, F.lit(n)))
+
+    none = F.array().cast("array<string>")
+    grams = F.array_distinct(F.flatten(F.array(none, *map(grams_of, sizes))))
+    met = folded.withColumn("gram", F.explode(grams)).join(open_keys, "gram").where(F.expr("folded like pattern"))
+    by_text = met.groupBy("lookup").agg(F.min(F.struct((-F.col("use_count")).alias("by_use"), "path"))["path"].alias("path"))
+    return by_id.unionByName(by_alias).unionByName(by_text)

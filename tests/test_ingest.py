@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import pytest
 
 from convolake.schemas import MESSAGES, PATHS, SESSIONS, empty
@@ -96,3 +97,11 @@ def test_paths_upsert_keeps_ids_aliases_and_first_project(spark):
                    "/g/h": (4, "new", 1, "/p9")}
     answers = {r.lookup: r.path for r in P.resolve_paths(more, ["3", "main", "A/", "99", "x"]).collect()}
     assert answers == {"3": "/e/f", "main": "/a/b", "A/": "/a/b"}  # an id goes before an alias
+    many = spark.range(2000).select(
+        (F.col("id") + 10).alias("path_id"), F.format_string("/data/set_%04d/x.csv", "id").alias("path"),
+        F.lit(None).cast("string").alias("alias"), F.col("id").alias("use_count"))
+    keys = many.select(F.expr("upper(substr(path, 7, 10))").alias("lookup"))  # one key for each stored path
+    found = P.resolve_paths(many, keys)
+    assert found.count() == 2000 and found.where("upper(path) not like concat('%', lookup, '%')").count() == 0
+    wild = {r.lookup: r.path for r in P.resolve_paths(many, ["set%_1999", "%", "_et_0007", "", "no\\pe"]).collect()}
+    assert wild == {"set%_1999": "/data/set_1999/x.csv", "%": "/data/set_1999/x.csv", "_et_0007": "/data/set_0007/x.csv", "": "/data/set_1999/x.csv"}
