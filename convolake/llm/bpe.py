@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-KNOWN_PIECES = 400_000  # encoded pieces a worker remembers
+KNOWN_PIECES = 250_000  # encoded pieces a task remembers
 _NEVER = 1 << 62
 _TAIL = 3  # pieces at the end of a text that appended text can change
 
@@ -35,8 +35,8 @@ _TAIL = 3  # pieces at the end of a text that appended text can change
 class PrefixEncoder:
     """Encodes byte strings with one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], known: int = KNOWN_PIECES):
+        self.ranks, self.known = ranks, known
         self.tokens: dict[int, bytes] = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self._ends = ahocorasick.Automaton()  # finds the tokens that end at each byte
@@ -104,7 +104,7 @@ class PrefixEncoder:
                     if when < used_x and when <= used_y:
                         valid = False
         if below is None:
-            if len(self._pairs) >= KNOWN_PIECES:
+            if len(self._pairs) >= self.known:
                 self._pairs.clear()
             self._pairs[left, right] = valid
         return valid
@@ -171,7 +171,7 @@ class _Pieces(dict):
         ids = tuple(self.encoder.encode(piece.encode()))
         found = ids, ",".join(map(str, ids))
         if len(piece) <= 64:
-            if len(self) >= KNOWN_PIECES:
+            if len(self) >= self.encoder.known:
                 self.clear()
             self[piece] = found
         return found
@@ -180,8 +180,8 @@ class _Pieces(dict):
 class TextEncoder:
     """Encodes texts: each match of ``pattern`` is a piece of its own (None: no pieces)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str | None):
-        self.encoder = PrefixEncoder(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str | None, known: int = KNOWN_PIECES):
+        self.encoder = PrefixEncoder(ranks, known)
         self.split = regex.compile(pattern).findall if pattern else (lambda text: [text] if text else [])
         self.pieces = _Pieces(self.encoder)
 
@@ -190,6 +190,11 @@ class TextEncoder:
         found = list(map(self.pieces.__getitem__, self.split(text)))
         return list(chain.from_iterable(ids for ids, _ in found)), ",".join([said for _, said in found])
 
+    def forget(self) -> None:
+        """Give the memory of pieces and pairs back: a worker lives longer than its task."""
+        self.pieces.clear()
+        self.encoder._pairs.clear()
+
     def tail_tokens(self, text: str) -> int:
         """Tokens of the last pieces, which appended text can change."""
         return sum(len(self.pieces[p][0]) for p in self.split(text)[-_TAIL:])
@@ -201,9 +206,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _text_encoder(path: str, pattern: str | None) -> TextEncoder:
-    """One for each worker process, so that its pieces serve all tasks there."""
-    return TextEncoder(read_ranks(path), pattern)
+def _text_encoder(path: str, pattern: str | None, known: int = KNOWN_PIECES) -> TextEncoder:
+    """One for each worker process; tasks begin without remembered pieces."""
+    return TextEncoder(read_ranks(path), pattern, known)
 
 
 def _texts(column: pa.Array) -> Iterator[str]:
@@ -229,17 +234,19 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str | None) -> DataF
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str, pattern: str | None) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str | None, known: int = KNOWN_PIECES) -> DataFrame:
     """``doc_id, n_tokens, ids, resume_tokens``: the encoding, and what later appends keep of it.
 
+    ``known`` pieces are remembered; Python workers keep about that memory for later jobs.
     Null texts count as empty and have an empty list of ids.
     """
     def run(batches):
-        coder = _text_encoder(path, pattern)
+        coder = _text_encoder(path, pattern, known)
         for batch in batches:
             every, resume = [], []
             for text in _texts(batch.column(1)):
@@ -250,6 +257,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None) -> DataFrame:
                 pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *every])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), ids, pa.array(resume, pa.int64())], ["doc_id", "n_tokens", "ids", "resume_tokens"])
+        coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, resume_tokens long")
 
@@ -270,6 +278,7 @@ def append(encoded: DataFrame, path: str, pattern: str | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(map(len, every)), pa.int64()), pa.array(every, pa.list_(pa.int32())),
                  pa.array(resume, pa.int64())], ["doc_id", "n_tokens", "ids", "resume_tokens"])
+        coder.forget()
 
     return encoded.select("doc_id", "ids", "resume_tokens", "addition").mapInArrow(
         run, "doc_id long, n_tokens long, ids array<int>, resume_tokens long")

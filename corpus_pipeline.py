@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text of the mix."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, known=50_000).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [
