@@ -40,7 +40,7 @@ def session_texts(fresh: DataFrame, max_messages: int = SESSION_MESSAGES,
     Only the first ``max_messages`` messages are gathered, each cut to a few
     thousand characters first; the line-wise shortening runs on those only.  With
     ``carry_over`` messages are taken by position, so that a mark at the last one
-    sent leaves out nothing before it and the rest comes in the next run.
+    sent leaves out nothing before it and the rest comes in the next pass.
     """
     keys = ["project_path", "session_id"]
     order = [F.asc("msg_seq")] if carry_over else [F.asc_nulls_first("ts"), F.asc("msg_seq")]

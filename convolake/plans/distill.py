@@ -39,8 +39,8 @@ def plan_batches(state: State, project: str | None = None, full: bool = False,
                  max_messages: int = B.SESSION_MESSAGES, carry_over: bool = True) -> Batches:
     """Batches of fresh sessions, and the marks to set when they succeed.
 
-    A session's messages beyond ``max_messages`` come in the next run; without
-    ``carry_over`` they are marked as done with the others and never sent.
+    A session's messages beyond ``max_messages`` come in the next pass (``run_pipeline``
+    repeats passes until none is left); without ``carry_over`` they are marked as done with the others and never sent.
     """
     fresh = incremental_messages(
         state.messages, state.sessions, state.progress, project, full, project_equals)
@@ -54,7 +54,10 @@ def distill(state: State, model_fn: ModelFn, template: str, project: str | None
             full: bool = False, mode: str = "snapshot", project_equals: str | None = None,
             parallelism: int | None = None, carry_over: bool = True,
             max_prompt_chars: int | None = None, as_of: Column | None = None) -> DistillResult:
-    """Run the model over all fresh batches and merge what it returns.
+    """Run the model over all fresh batches once and merge what it returns.
+
+    One pass sends at most ``SESSION_MESSAGES`` messages of a session; call it again with
+    the new marks for the rest, as ``run_pipeline`` does.
 
     ``snapshot`` shows every prompt the skills as they were at the start: one pass
     over all batches of all projects.  ``sequential`` lets batch k+1 of a project

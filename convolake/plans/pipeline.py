@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.paths import path_counts, path_references, recount_paths, upsert_paths
-from ..operators.progress import stale_projects
+from ..operators.progress import incremental_messages, stale_projects
 from ..operators.render import render_instructions, skill_documents
 from ..session import pin
 from ..sources.ingest import ingest
 from ..schemas import PROGRESS, empty
 from ..sources.tables import (
-    MESSAGES, REPLACED, load_state, read_appended, read_sessions, write_documents,
+    MESSAGES, REPLACED, State, load_state, read_appended, read_sessions, write_documents,
     write_skill_documents, write_table,
 )
 from .distill import ModelFn, distill
@@ -26,7 +26,8 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
                  render: bool = True, documents: str | None = None, grain: str = "session",
                  mode: str = "snapshot", review_template: str | None = None,
                  on_error: Callable[[str, Exception], None] | None = None) -> bool:
-    """One run over the tables under ``root``; False when ``raw`` held no new message.
+    """One run over the tables under ``root``; False when there was nothing to do: ``raw`` held
+    no new message and the model had none left to distil, or succeeded with none of them.
 
     The run reads the tables as they were before ``batch`` and writes under its own
     number, so running a batch again gives the same tables.  Sessions and messages
@@ -34,6 +35,10 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
     With ``grain="message"`` requests appended to a known session are taken and its row
     is stored anew.  With ``review_template`` the model's review adds rules.
 
+    Distilling repeats until all messages are sent or a pass marks none: a session of any
+    length is done in one run.  Batches that fail are asked again with each pass and in
+    every later run, also one that brings no new message.
+
     An error while messages or paths are stored ends the run, which can be repeated.
     One in distilling (``distill``), reviewing (``review``) or rendering (``render``) is
     reported to ``on_error`` under the step's name and the other steps go on; its messages
@@ -45,12 +50,17 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
     added = spark.read.schema(MESSAGES).parquet(f"{root}/messages/batch={batch}")
     touched = taken.sessions.join(added.select("session_id").distinct(), "session_id", "left_semi")
     write_table(touched if grain == "message" else taken.new_sessions, root, "sessions", batch)
-    if added.isEmpty():
+    brought = not added.isEmpty()
+    if not brought and model_fn is None:
         return False
     state.sessions = read_sessions(spark, root, before=batch + 1)
     state.messages = read_appended(spark, root, "messages", MESSAGES, before=batch + 1)
-    counts = path_counts(path_references(added), state.sessions)
-    write_table(upsert_paths(state.paths, counts), root, "paths", batch)
+    if brought:
+        counts = path_counts(path_references(added), state.sessions)
+        write_table(upsert_paths(state.paths, counts), root, "paths", batch)
+    elif stale_projects(state.messages, state.sessions, state.progress).isEmpty():
+        return False
+    marked = False
 
     def attempt(step: str, work: Callable[[], None]) -> None:
         try:
@@ -63,9 +73,15 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
     def distil() -> None:
         if template is None:
             raise ValueError("a model function needs a prompt template")
-        if not stale_projects(state.messages, state.sessions, state.progress).isEmpty():
+        nonlocal marked
+        left = _left(state)
+        while left:
             result = distill(state, model_fn, template, mode=mode)
             state.skills, state.progress = pin(result.skills), pin(result.progress)
+            before, left = left, _left(state)
+            if left == before:
+                break
+            marked = True
 
     def learn() -> None:
         state.rules = pin(review(state, model_fn, review_template).rules)
@@ -78,6 +94,8 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
 
     if model_fn is not None:
         attempt("distill", distil)
+        if not brought and not marked:
+            return False
         if review_template is not None:
             attempt("review", learn)
     for name in REPLACED:
@@ -88,6 +106,11 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
     return True
 
 
+def _left(state: State) -> int:
+    """How many messages the model has not had yet."""
+    return incremental_messages(state.messages, state.sessions, state.progress).count()
+
+
 def reload_pipeline(spark: SparkSession, root: str, raw: DataFrame, new_root: str) -> None:
     """Ingest everything again: tables under ``new_root`` as batch 0.
 

@@ -24,7 +24,9 @@ def start_pipeline(logs: DataFrame, root: str, checkpoint: str, every: str | Non
     ``run_pipeline`` (``grain``, ``mode``, ``documents``, ``review_template``).  A run that fails
     stops the query, which resumes with the same files.  With ``on_error``, errors of
     distilling, reviewing and rendering are reported and the run goes on; storing messages and
-    paths still stops the query, so that no file is passed over.
+    paths still stops the query, so that no file is passed over.  Spark makes no run while no
+    file comes, so batches that failed wait for the next file; ``poll_logs`` asks them again
+    on its clock.
     """
     def run(batch: DataFrame, number: int) -> None:
         if on_error is not None:
@@ -45,7 +47,7 @@ def poll_logs(spark: SparkSession, source: str, root: str, checkpoint: str, ever
 
     A stream of files hands out each file once, so it misses requests appended to it; here a
     timed stream lists the files anew and reads those modified since the last run that
-    succeeded, message by message.
+    succeeded, message by message.  Runs without new files ask the batches that failed again.
     """
     state = {"since": None}
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import time
+import uuid
 
 from convolake.operators.bursts import burst_windows, change_bursts
 from convolake.operators.render import render_instructions, skill_documents
@@ -108,6 +109,39 @@ def test_steps_fail_apart(spark, tmp_path):
     assert load_state(spark, store).paths.count() == 2 and (tmp_path / "store" / "documents" / "skills").exists()
 
 
+def test_one_run_distils_a_long_session(spark, tmp_path):
+    source, store = tmp_path / "logs", str(tmp_path / "store")
+    logs.workspace(source, "w1", {"folder": "file:///proj/one"})
+    logs.write(source, "w1", "a", logs.session("a", 100))
+    raw = read_session_logs(spark, str(source))
+    sent = tmp_path / "sent"
+    sent.mkdir()
+
+    def answer(prompts):
+        for prompt in prompts:
+            (sent / uuid.uuid4().hex).write_text(prompt)
+        return ['[{"title": "Work", "steps": "go"}]' for _ in prompts]
+
+    assert run_pipeline(spark, store, raw, 0, answer, TEMPLATE, render=False)
+    assert [(r.session_id, r.last_message_id) for r in load_state(spark, store).progress.collect()] == [("a", 99)]
+    lines = [line for p in sent.iterdir() for line in p.read_text().split("\n") if line.startswith("USER: ")]
+    assert sorted(lines) == sorted(f"USER: do {i} in /data/x/{i}.csv" for i in range(100))
+    assert not run_pipeline(spark, store, raw, 1, answer, TEMPLATE, render=False)
+
+
+def test_an_idle_run_asks_failed_batches_again(spark, tmp_path):
+    source, store = tmp_path / "logs", str(tmp_path / "store")
+    fill(source)
+    raw = read_session_logs(spark, str(source))
+    run_pipeline(spark, store, raw, 0, lambda prompts: ["no items" for _ in prompts], TEMPLATE, render=False)
+    assert load_state(spark, store).progress.count() == 0
+    assert not run_pipeline(spark, store, raw, 1, lambda prompts: ["no items" for _ in prompts], TEMPLATE, render=False)
+    assert run_pipeline(spark, store, raw, 2, answer_fn(), TEMPLATE, render=False)
+    state = load_state(spark, store)
+    assert [(r.session_id, r.last_message_id) for r in state.progress.collect()] == [("a", 1)]
+    assert state.skills.count() == 1 and state.paths.count() == 2 and state.messages.count() == 2
+
+
 def test_requests_appended_to_a_known_file(spark, tmp_path):
     source, store = tmp_path / "logs", str(tmp_path / "store")
     fill(source)
