@@ -28,6 +28,7 @@ from .scratch import Scratch
 
 _KEY = ["doc", "tag"]
 _MOST = np.uint64(2**64 - 1)
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def lengths(window: int, start: int) -> list[int]:
@@ -54,6 +55,10 @@ class _Texts:
     def hashes(self, n: int) -> np.ndarray:
         return np.maximum(W.windows(self.h, n), np.uint64(1))
 
+    def second(self, n: int) -> np.ndarray:
+        """32 more bits for each window, from other word hashes."""
+        return (W.windows(W.mix(self.h ^ _OTHER), n) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def least(self, values: np.ndarray, n: int) -> np.ndarray:
         """For each window, the smallest of the values of its ``n``-word windows."""
         return W.sliding(values, self.window - n + 1, np.minimum)
@@ -80,30 +85,26 @@ class _Texts:
 
 
 def _emit(texts: _Texts, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, hash, weight) of the windows of one level.
+    """(text, position in the run, hash, weight) of the windows of one level.
 
-    At full length a window that repeats inside its own text is one row of weight 2
-    without a position: it needs no other text to be repeated.
+    At full length a window that repeats inside its own text is one row of weight 2:
+    it needs no other text to be repeated, so its positions need not come back.
     """
     if n < texts.window:
         at = texts.chosen(n, wanted)
-        h, weight = texts.hashes(n)[at], np.ones(len(at), np.int32)
-    else:
-        at, h = np.flatnonzero(wanted), texts.hashes(n)[wanted]
-        weight = np.ones(len(at), np.int32)
-        again, lead = _within(texts.text[at], h)
-        weight[lead] = 2
-        at, h, weight, own = at[~again | lead], h[~again | lead], weight[~again | lead], lead[~again | lead]
-        text = texts.text[at]
-        return text, np.where(own, -1, at - texts.first[text]), h, weight
-    text = texts.text[at]
-    return text, at - texts.first[text], h, weight
-
-
-def _within(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return texts.text[at], at, texts.hashes(n)[at], np.ones(len(at), np.int32)
+    at, h = np.flatnonzero(wanted), texts.hashes(n)[wanted]
+    again, lead = _within(texts.text[at], h, texts.second(n)[at])
+    kept = ~again | lead
+    return texts.text[at][kept], at[kept], h[kept], np.where(lead, 2, 1).astype(np.int32)[kept]
+
+
+def _within(text: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which windows repeat within their text, and the first of each such group."""
-    order = np.lexsort((h, text))
-    same = (text[order][1:] == text[order][:-1]) & (h[order][1:] == h[order][:-1])
+    order = np.lexsort((g, h, text))
+    same = np.ones(max(0, len(h) - 1), bool)
+    for part in (text[order], h[order], g[order]):
+        same &= part[1:] == part[:-1]
     again, lead = np.zeros(len(h), bool), np.zeros(len(h), bool)
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
@@ -113,7 +114,10 @@ def _within(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _level(rows: DataFrame, n: int, window: int, before: int | None) -> DataFrame:
-    """``h, doc, tag, pos, weight``: the windows of ``n`` words to count on this level.
+    """``h, g, doc, tag, pos, weight``: the windows of ``n`` words to count on this level.
+
+    ``h`` and ``g`` are 96 bits of hash at full length.  On shorter levels ``g`` is 0: there
+    two windows of one hash only make a candidate more.
 
     ``rows`` are ``doc, tag, text`` and, after the first level, ``at``: the positions that
     repeated on the level before.
@@ -129,15 +133,17 @@ def _level(rows: DataFrame, n: int, window: int, before: int | None) -> DataFram
                 if before is not None:
                     lists = batch.column(3).slice(row, end - row).to_pylist()
                     wanted = texts.surviving(before, texts.positions(lists))
-                text, pos, h, weight = _emit(texts, n, wanted)
+                text, at_, h, weight = _emit(texts, n, wanted)
+                g = texts.second(n)[at_] if n == window else np.zeros(len(h), np.int32)
+                pos = np.where(weight > 1, -1, at_ - texts.first[text]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(doc[row + text]), pa.array(tag[row + text]),
-                     pa.array(pos.astype(np.int32)), pa.array(weight)],
-                    ["h", "doc", "tag", "pos", "weight"],
+                    [pa.array(h.view(np.int64)), pa.array(g), pa.array(doc[row + text]), pa.array(tag[row + text]),
+                     pa.array(pos), pa.array(weight)],
+                    ["h", "g", "doc", "tag", "pos", "weight"],
                 )
 
     columns = [*_KEY, "text"] + (["at"] if before is not None else [])
-    return rows.select(*columns).mapInArrow(emit, "h long, doc long, tag int, pos int, weight int")
+    return rows.select(*columns).mapInArrow(emit, "h long, g int, doc long, tag int, pos int, weight int")
 
 
 def _repeated(level: DataFrame) -> DataFrame:
@@ -146,8 +152,8 @@ def _repeated(level: DataFrame) -> DataFrame:
     Only hashes move to be counted, combined in each task first; the join back to the
     positions is one that AQE can split where one window is everywhere.
     """
-    several = level.groupBy("h").agg(F.sum("weight").alias("n")).where("n > 1").select("h")
-    return level.where("pos >= 0").select("h", *_KEY, "pos").join(several, "h").groupBy(*_KEY).agg(F.collect_set("pos").alias("at"))
+    several = level.groupBy("h", "g").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "g")
+    return level.where("pos >= 0").select("h", "g", *_KEY, "pos").join(several, ["h", "g"]).groupBy(*_KEY).agg(F.collect_set("pos").alias("at"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -163,7 +169,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _removed(raw: bytes, at, window: int) -> np.ndarray:
     """For each word of a text whether a repeated window covers it."""
     texts = _Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), window)
-    again, _ = _within(np.zeros(len(texts.valid), np.int64), texts.hashes(window))
+    again, _ = _within(np.zeros(len(texts.valid), np.int64), texts.hashes(window), texts.second(window))
     starts = np.union1d(np.flatnonzero(again), np.asarray(at if at is not None else [], np.int64))
     edge = np.zeros(len(texts.h) + 1, np.int64)
     np.add.at(edge, starts, 1)
