@@ -124,8 +124,9 @@ def gram_counters(docs: DataFrame, rule: Rule, n_counters: int = COUNTERS) -> np
 def signatures(docs: DataFrame, rule: Rule, counters: np.ndarray) -> DataFrame:
     """``doc_id, text_key, n_shingles, node, check, prefix`` and ``PARITY`` of every row.
 
-    ``node`` and ``check`` are a 128-bit fingerprint of the set, null for an empty one;
-    ``prefix`` holds the columns that enter the product.
+    ``node`` and ``check`` are a 128-bit fingerprint of the set, null for an empty one
+    (``_apart`` makes ``node`` alone stand for it); ``prefix`` holds the columns that enter
+    the product.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counters)  # 4 bytes for each counter
 
@@ -159,6 +160,23 @@ def signatures(docs: DataFrame, rule: Rule, counters: np.ndarray) -> DataFrame:
     )
 
 
+def _apart(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """``signed`` with a ``node`` of its own for every pair of ``node`` and ``check``.
+
+    Only hashes move to find nodes that stand for several sets; where there are none, as
+    nearly always, the rows stay as they are.
+    """
+    while True:
+        shared = scratch.table(
+            signed.where("node is not null").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+            .where("low <> high").select("node", F.lit(True).alias("shared")))
+        if shared.isEmpty():
+            return signed
+        other = F.when(F.col("shared"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        signed = scratch.table(signed.join(shared, "node", "left").select(
+            *(other.alias(c) if c == "node" else F.col(c) for c in signed.columns)))
+
+
 def _columns(classes: DataFrame) -> DataFrame:
     """One row for each column of each row's prefix: ``gram, node, size, pos`` in the common order."""
     def split(batches):
@@ -271,7 +289,7 @@ def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, leader_turns:
 
     Rows without ``doc_id`` take no part in links.
     """
-    signed = scratch.table(signatures(docs, rule, gram_counters(docs, rule)))
+    signed = _apart(scratch.table(signatures(docs, rule, gram_counters(docs, rule))), scratch)
     classes = (
         signed.where("node is not null and doc_id is not null").groupBy("node")
         .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))

@@ -136,6 +136,14 @@ def test_join_odd_tables(spark, copies):
     assert kept == [(-1, "a b c d"), (2, "e f g h"), (5, "a b c d"), (5, "a b c d")]
 
 
+def test_sets_of_one_node_stay_apart(spark, monkeypatch):
+    real = ngram_join.signatures
+    monkeypatch.setattr(ngram_join, "signatures", lambda *given: real(*given).withColumn("node", F.when(F.col("node").isNotNull(), F.lit(7).cast("long"))))
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "v w x y z"), (3, "a b c d e"), (4, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_groups(docs, ngram_join.Rule(3, 90)).collect())
+    assert got == [(1, 1), (2, 2), (3, 1), (4, 4)]
+
+
 # -- substring dedup ----------------------------------------------------------------
 
 @pytest.mark.parametrize("window,start", [(35, 18), (50, 10), (7, 7), (8, 2), (1, 1)])
