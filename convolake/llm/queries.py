@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, mixing, mtree, near_vectors, ngram_join, substring_dedup, token_counts, toxicity
+from . import bpe, chat, chunked_bpe, language_id, mixing, mtree, near_vectors, ngram_join, substring_dedup, token_counts, toxicity
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,8 +86,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(read(spark, sf_dir, "documents"), window=35, start=18)
 
 
+def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE with word ends of every text by chunks, there and back."""
+    return chunked_bpe.round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_toxicity, op2_byte_bpe, op3_language_id, op4_chat_format, op5_ngram_jaccard_join, op6_substring_dedup, op7_token_counts, op8_exact_top_k,
-    op9_embedding_near_dedup, op10_mixing,
+    op9_embedding_near_dedup, op10_mixing, op11_chunked_bpe,
 )}
 SQL: dict[str, str] = {}
