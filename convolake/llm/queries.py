@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chunked_bpe, language_id, mixing, mtree, near_vectors, ngram_join, substring_dedup, token_counts, toxicity
+from . import bpe, chat, chunked_bpe, collocations, divergence, language_id, mixing, mtree, near_vectors, ngram_join, substring_dedup, token_counts, toxicity
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,8 +91,18 @@ def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in terms that thirty documents share."""
+    return divergence.divergence(read(spark, sf_dir, "documents"), least=30, report=50)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of each language whose words hold together best."""
+    return collocations.collocations(read(spark, sf_dir, "documents"), least=30, absorbed=80, report=2000)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_toxicity, op2_byte_bpe, op3_language_id, op4_chat_format, op5_ngram_jaccard_join, op6_substring_dedup, op7_token_counts, op8_exact_top_k,
-    op9_embedding_near_dedup, op10_mixing, op11_chunked_bpe,
+    op9_embedding_near_dedup, op10_mixing, op11_chunked_bpe, op12_source_divergence, op13_collocations,
 )}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {op12_source_divergence.__name__: divergence.SQL, op13_collocations.__name__: collocations.SQL}
