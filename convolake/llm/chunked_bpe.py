@@ -36,10 +36,11 @@ from .scratch import Scratch
 REACH = 32  # bytes that decide a cut
 MEAN, LEAST, MOST = 1 << 10, 1 << 8, 1 << 14  # bytes of a chunk
 FILTER_BITS = 1 << 25  # of shared digests, 4 MB
-KNOWN = 250_000  # words in each of the two generations that a worker remembers
+KNOWN = 200_000  # words in each of the two generations that a worker remembers
 PORTION = 1 << 22  # bytes of text encoded at a time
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_ENCODED, _DECODED = "doc_id long, ids binary", "doc_id long, ids binary, decoded string"
 _PART = "row long, doc_id long, at int, first long, second long, ids binary, head binary, tail binary, closed boolean, n_head int, n_tail int"
 
 
@@ -297,8 +298,8 @@ def _encoded_chunks(parts: DataFrame, path: str) -> DataFrame:
     return chunks.mapInArrow(encode, _PART.split("at int, ")[1])
 
 
-def _assembled(parts: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids`` of texts from all their parts."""
+def _assembled(parts: DataFrame, path: str, decoded: bool) -> DataFrame:
+    """``doc_id, ids`` (and ``decoded``) of texts from all their parts."""
     def join(batches):
         code, current, doc, joiner = coder(path), None, None, None
         for batch in batches:
@@ -318,11 +319,12 @@ def _assembled(parts: DataFrame, path: str) -> DataFrame:
     chunks = _encoded_chunks(parts, path)
     given = parts.where("first is not null").select("row", "doc_id", "at", "first", "second").join(chunks, ["first", "second"])
     whole = parts.where("first is null").select("row", "doc_id", "at", *own).unionByName(given.select("row", "doc_id", "at", *own))
-    return whole.repartition("row").sortWithinPartitions("row", "at").mapInArrow(join, "doc_id long, ids binary")
+    return whole.repartition("row").sortWithinPartitions("row", "at").mapInArrow(
+        (lambda batches: _with_text(join(batches), path)) if decoded else join, _DECODED if decoded else _ENCODED)
 
 
-def _unshared(docs: DataFrame, path: str, shared) -> DataFrame:
-    """``doc_id, ids`` of the texts without a shared chunk."""
+def _unshared(docs: DataFrame, path: str, shared, decoded: bool) -> DataFrame:
+    """``doc_id, ids`` (and ``decoded``) of the texts without a shared chunk."""
     def encode(batches):
         marked, code = shared.value, coder(path)
         for batch in batches:
@@ -336,11 +338,12 @@ def _unshared(docs: DataFrame, path: str, shared) -> DataFrame:
                     [(doc[begin + i], ids[word_at[first[n]] : word_at[first[n + 1]]].tobytes()) for n, i in enumerate(plain)],
                     ["doc_id", "ids"], [pa.int64(), pa.binary()])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        (lambda batches: _with_text(encode(batches), path)) if decoded else encode, _DECODED if decoded else _ENCODED)
 
 
-def encode(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
-    """``doc_id, ids`` of every row of ``docs (doc_id, text, ...)``: little-endian unsigned 32-bit ids.
+def encode(docs: DataFrame, path: str, scratch: Scratch, decoded: bool = False) -> DataFrame:
+    """``doc_id, ids`` (and ``decoded``, see ``decode``) of every row of ``docs (doc_id, text, ...)``: little-endian unsigned 32-bit ids.
 
     As the tokenizers library encodes with the file at ``path``, without added special
     tokens.  Null and empty texts have no ids; repeated rows and ids repeat; other columns
@@ -348,39 +351,46 @@ def encode(docs: DataFrame, path: str, scratch: Scratch) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs))  # FILTER_BITS / 8 bytes
     parts = scratch.table(_parts(docs, path, shared))
-    return _unshared(docs, path, shared).unionByName(_assembled(parts, path))
+    return _unshared(docs, path, shared, decoded).unionByName(_assembled(parts, path, decoded))
 
 
 @lru_cache(maxsize=1)
 def _tokens(path: str) -> pa.Array | None:
     """Text of every id, or None where the file has a decoder of its own."""
-    library = coder(path).library
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
     if library.decoder is not None:
         return None
     return pa.array([library.id_to_token(i) for i in range(library.get_vocab_size())], pa.large_string())
 
 
+def _with_text(batches, path: str):
+    """Batches of ``doc_id, ids`` with the library's text as a third column."""
+    tokens = _tokens(path)
+    for batch in batches:
+        raw = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
+        data, at = W.buffer(raw.view(pa.large_string()))
+        for a in range(0, len(raw), 512):
+            b = min(len(raw), a + 512)
+            ids = np.frombuffer(data[at[a] : at[b]].tobytes(), np.uint32)
+            edge = (at[a : b + 1] - at[a]) // 4
+            if tokens is None:
+                out = pa.array([coder(path).library.decode(ids[x:y].tolist(), skip_special_tokens=False) for x, y in zip(edge, edge[1:])], pa.string())
+            else:
+                known = ids < len(tokens)  # others have no text
+                edge = np.concatenate([[0], np.cumsum(known)])[edge]
+                lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), tokens.take(pa.array(ids[known])))
+                out = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), out], ["doc_id", "ids", "decoded"])
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids, decoded`` of ``doc_id, ids``: the library's text, special tokens included."""
-    def text(batches):
-        tokens = _tokens(path)
-        for batch in batches:
-            raw = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
-            data, at = W.buffer(raw.view(pa.large_string()))
-            for a in range(0, len(raw), 512):
-                b = min(len(raw), a + 512)
-                ids = np.frombuffer(data[at[a] : at[b]].tobytes(), np.uint32)
-                edge = (at[a : b + 1] - at[a]) // 4
-                if tokens is None:
-                    out = pa.array([coder(path).library.decode(ids[x:y].tolist(), skip_special_tokens=False) for x, y in zip(edge, edge[1:])], pa.large_string())
-                else:
-                    known = ids < len(tokens)
-                    edge = np.concatenate([[0], np.cumsum(known)])[edge]
-                    lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), tokens.take(pa.array(ids[known])))
-                    out = pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), out.cast(pa.string())], ["doc_id", "ids", "decoded"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(text, "doc_id long, ids binary, decoded string")
+    """``doc_id, ids, decoded`` of ``doc_id, ids``: the library's text, special tokens included.
+
+    Null ids have an empty text; ids that the file does not know have none.
+    """
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _with_text(batches, path), _DECODED)
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -390,7 +400,7 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     text in UTF-8.
     """
     with Scratch(docs.sparkSession) as scratch:
-        both = decode(encode(docs, path, scratch), path)
+        both = encode(docs, path, scratch, decoded=True)
         return scratch.result(both.select(
             "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
             F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")))
