@@ -25,7 +25,7 @@ from .key_filter import KeyFilter, key_filter
 from .scratch import Scratch
 
 LONGEST = 4  # words of a phrase
-PORTION = 1 << 22  # bytes of text worked on at a time
+PORTION = 1 << 21  # bytes of text worked on at a time
 ONE_IN = 8  # documents of the sample
 SALTS = 64  # parts of a language that are ranked before the whole
 
@@ -44,7 +44,7 @@ class _Phrases:
         self.starts, self.ends, first = W.spans(data, at, _OUTSIDE)
         text = np.repeat(np.arange(len(at) - 1), np.diff(first))
         self.lang = lang[text]
-        pieces = np.cumsum(_ENDS[data], dtype=np.int64)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
+        pieces = np.searchsorted(np.flatnonzero(_ENDS[data]), self.starts)
         #: of every word whether the next one stands in the same piece
         self.joined = (pieces[1:] == pieces[:-1]) & (text[1:] == text[:-1])
         h = W.hashes(data, self.starts, self.ends, lower=True)
@@ -71,7 +71,9 @@ def _names(batch: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray, np
 
 def _counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with their numbers."""
-    order = np.lexsort((second, first))
+    order = np.argsort(first)
+    if (second[order[1:]] != second[order[:-1]])[first[order[1:]] == first[order[:-1]]].any():
+        order = np.lexsort((second, first))  # two phrases share the first key
     first, second = first[order], second[order]
     new = np.ones(len(first), bool)
     new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
@@ -79,6 +81,11 @@ def _counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first[at], second[at], np.diff(np.append(at, len(first)))
 
 
+def _row_batch(first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
+    first, second, n = _counted(first, second)
+    return pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(n)], ["first", "second", "a"])
+
+
 def _pass(docs: DataFrame, known: KeyFilter, before: KeyFilter | None, least: int) -> DataFrame:
     """``first, second, a`` of the frequent phrases among those that ``known`` opens and ``before`` did not.
 
@@ -90,25 +97,22 @@ def _pass(docs: DataFrame, known: KeyFilter, before: KeyFilter | None, least: in
             lang = hashes[which]
             for row, end, data, at in W.chunks(batch.column(0), PORTION):
                 phrases = _Phrases(data, at, lang[row:end])
-                keys: list[tuple[np.ndarray, np.ndarray]] = []
                 first, second, _ = phrases.of(1)
                 if before is None:
-                    keys.append((first, second))
+                    yield _row_batch(first, second)
                 now = known.has(first, second)
                 then = before.has(first, second) if before is not None else None
                 for n in range(2, LONGEST + 1):
                     first, second, fits = phrases.of(n)
-                    open_ = fits & now[:-1] & now[1:]
-                    new = open_ if then is None else open_ & ~(then[:-1] & then[1:])
-                    keys.append((first[new], second[new]))
-                    now = open_ & known.has(first, second)
+                    now = fits & now[:-1] & now[1:]
+                    new = now
+                    if then is not None:
+                        then = fits & then[:-1] & then[1:]
+                        new = now & ~then
+                    yield _row_batch(first[new], second[new])
+                    now = now & known.has(first, second)
                     if then is not None:
-                        then = fits & then[:-1] & then[1:] & before.has(first, second)
-                for first, second in keys:
-                    if len(first):
-                        first, second, n = _counted(first, second)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(n)], ["first", "second", "a"])
+                        then = then & before.has(first, second)
 
     return (
         docs.select("text", "lang").mapInArrow(count, "first long, second long, a long")
@@ -169,7 +173,7 @@ def _texts(docs: DataFrame, known: KeyFilter) -> tuple[DataFrame, DataFrame]:
 def phrase_counts(docs: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(``lang, phrase, words, a`` of all phrases of up to four words that occur ``least`` times, ``lang, n``)."""
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ONE_IN)) == 0)
-    _, proposed = frequent(sample, max(2, least // ONE_IN - 1), scratch)
+    _, proposed = frequent(sample, max(2, least // ONE_IN), scratch)
     counts, known = frequent(docs, least, scratch, proposed)
     exact = key_filter(counts.select("first", "second"))
     said, words = _texts(docs, exact)
