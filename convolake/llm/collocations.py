@@ -51,14 +51,17 @@ class _Phrases:
         self.word = (W.pair(self.lang, h), W.mix(h * W._RIGHT ^ self.lang ^ (self.ends - self.starts).astype(np.uint64)))
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first key, second key, whether there is such a phrase) of ``n`` words from each word on."""
+        """(first key, second key, whether there is such a phrase) of ``n`` words from each word on.
+
+        The second key begins with the number of words, in three bits.
+        """
         first, second = self.word
         fits = np.ones(len(first), bool)
         for k in range(1, n):
             first = W.pair(first[:-1], self.word[0][k:])
             second = W.mix(second[:-1] * W._BASE + self.word[1][k:] ^ _OTHER)
             fits = fits[:-1] & self.joined[k - 1 :]
-        return first, second, fits
+        return first, second >> np.uint64(3) | np.uint64(n << 61), fits
 
 
 def _names(batch: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -129,7 +132,8 @@ def frequent(docs: DataFrame, least: int, scratch: Scratch, known: KeyFilter | N
     while True:
         rows = scratch.table(_pass(docs, known, before, least))
         found = rows if found is None else found.unionByName(rows)
-        grown = known.united(key_filter(rows.select("first", "second")))
+        opening = rows.where(F.shiftrightunsigned("second", 61) < LONGEST)
+        grown = known.united(key_filter(opening.select("first", "second")))
         if grown == known:
             return found, known
         known, before = grown, known

@@ -22,6 +22,7 @@ bounds are compared exactly on their texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,7 @@ COUNTERS = 1 << 20  # of n-gram frequencies, for the order of the columns
 SLICES = 64
 PARITY = [f"s{i}" for i in range(8)]  # 512 bits for each set: how many of its n-grams fall on a bit, modulo 2
 MEMBERS = 512  # rows compared with one leader in one block
+LEADERS = 4  # of a column in one turn
 
 
 @dataclass(frozen=True)
@@ -261,71 +263,98 @@ def _open_columns(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(columns.select("gram"), "gram")
 
 
-def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("gram", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "pos", "component", *PARITY)))
+_ROW = ("node", "size", "pos", "component", *PARITY)
 
 
-def _entries(rows: DataFrame, rule: Rule, turn: int | None) -> DataFrame:
-    """Entries of the product between rows of different components.
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("gram", *(F.col(c).alias(f"{side}_{c}") for c in _ROW))
 
-    In a numbered turn only those with one leader of each column, another one each turn;
-    else all above the diagonal.
-    """
-    a, b = _side(rows, "a"), _side(rows, "b")
-    if turn is None:
-        met = a.join(b, (a["gram"] == b["gram"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & _can_link(rule))
-    else:
-        leaders = rows.groupBy(F.col("gram").alias("at")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("a_node"))
-        heads = a.join(leaders, (a["gram"] == F.col("at")) & (a["a_node"] == leaders["a_node"])).select(a["*"])
-        met = heads.join(b, (heads["gram"] == b["gram"]) & (F.col("a_component") != F.col("b_component")) & _can_link(rule))
+
+def _overlapping(entries: DataFrame) -> DataFrame:
+    """Pairs with enough entries to link."""
     return (
-        met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_size", "b_size").agg(F.count("*").alias("overlap"))
+        entries.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_size", "b_size").agg(F.count("*").alias("overlap"))
         .where(F.col("overlap") >= _shared(F.col("a_size"), F.col("b_size"))).select("a", "b")
     )
 
 
-def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, leader_turns: int = 3) -> tuple[DataFrame, DataFrame]:
+def _led(rows: DataFrame, rule: Rule, turn: int) -> DataFrame:
+    """Pairs of the product between ``LEADERS`` rows of each column and all its rows.
+
+    The first leader is the row with the most columns that others share, which a text without
+    changes of its own has; the others are drawn, alike in all columns, anew each turn.
+    """
+    ranks = [F.struct(-F.col("columns"), F.xxhash64("node", F.lit(turn)))] + [
+        F.struct(F.xxhash64("node", F.lit(turn * LEADERS + i)), F.lit(0)) for i in range(1, LEADERS)]
+    heads = rows.groupBy(F.col("gram").alias("at")).agg(
+        *(F.min(F.struct(rank.alias("rank"), F.struct(*_ROW).alias("row")))["row"].alias(f"leader{i}") for i, rank in enumerate(ranks)))
+    leaders = F.array_distinct(F.array(*(f"leader{i}" for i in range(LEADERS))))
+    heads = heads.select("at", leaders.alias("leaders"), F.transform(leaders, lambda x: x["node"]).alias("nodes"))
+    b = _side(rows, "b")
+    met = b.join(heads, b["gram"] == heads["at"]).select(
+        *(c for c in b.columns if c != "gram"), F.array_contains("nodes", F.col("b_node")).alias("leads"), F.explode("leaders").alias("a"))
+    met = met.select(*(c for c in b.columns if c != "gram"), "leads", *(F.col(f"a.{c}").alias(f"a_{c}") for c in _ROW))
+    once = ~F.col("leads") | (F.col("a_node") < F.col("b_node"))  # two leaders meet once
+    return _overlapping(met.where((F.col("a_component") != F.col("b_component")) & once & _can_link(rule)))
+
+
+def _product(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of the product between rows of different components, above the diagonal."""
+    a, b = _side(rows, "a"), _side(rows, "b")
+    return _overlapping(a.join(
+        b, (a["gram"] == b["gram"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & _can_link(rule)))
+
+
+def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, leader_turns: int = 1) -> tuple[DataFrame, DataFrame]:
     """(signature rows of all documents, ``node, component`` of the nodes that have links).
 
     Rows without ``doc_id`` take no part in links.
     """
     signed = _apart(scratch.table(signatures(docs, rule, gram_counters(docs, rule))), scratch)
-    classes = (
-        signed.where("node is not null and doc_id is not null").groupBy("node")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
-    )
+    taking_part = signed.where("node is not null and doc_id is not null")
+    classes = taking_part.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
     columns = _columns(classes)
     several = columns.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
     met = scratch.table(columns.join(several, "gram"))
     # a row that shares too few columns with all others together links with none
-    able = met.groupBy("node", "size").agg(F.count("*").alias("n")).where(
-        F.col("n") >= F.floor(F.col("size") * rule.percent / 4000) + 1).select("node")
-    own = signed.where("node is not null and doc_id is not null").dropDuplicates(["node"]).select("node", *PARITY)
-    able = scratch.table(own.join(able, "node"))
-    index = scratch.table(met.join(able, "node"))
+    able = met.groupBy("node", "size").agg(F.count("*").cast("int").alias("columns")).where(
+        F.col("columns") >= F.floor(F.col("size") * rule.percent / 4000) + 1).select("node", "columns")
+    able = scratch.table(
+        taking_part.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), *(F.min(s).alias(s) for s in PARITY))
+        .join(able, "node"))
+    index = scratch.table(met.join(able.drop("rep"), "node"))
     scratch.drop(met)
-    reps = signed.where("node is not null and doc_id is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("rep")).join(able, "node", "left_semi")
     texts = scratch.table(
         docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-        .join(reps.select("node", "rep.doc_id", "rep.text_key"), ["doc_id", "text_key"])
+        .join(able.select("node", "rep.doc_id", "rep.text_key"), ["doc_id", "text_key"])
         .select("node", "text").dropDuplicates(["node"])
     )
 
-    labels = tested = None
-    edges = scratch.table(index.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    labels = None
     for turn in [*range(leader_turns), None]:
-        pairs = _entries(_open_columns(index, labels), rule, turn)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs)
-        edges = edges.unionByName(scratch.table(_verify(pairs, texts, rule, scratch)))
-        both_ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tested = both_ways if tested is None else tested.unionByName(both_ways)
-        labels = scratch.table(components(edges, scratch))
+        rows = _open_columns(index, labels)
+        pairs = scratch.table(_product(rows, rule) if turn is None else _led(rows, rule, turn))
+        found = scratch.table(_verify(pairs, texts, rule, scratch))
+        if turn is None or turn == 0 or not found.isEmpty():
+            labels = _relabelled(labels, found, scratch)
     return signed, labels
 
 
+def _relabelled(labels: DataFrame | None, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after ``found`` links more: only the components that these join are worked on."""
+    if labels is None:
+        return scratch.table(components(found, scratch))
+    named = found
+    for side in ("a", "b"):
+        names = labels.select(F.col("node").alias(side), F.col("component").alias("to"))
+        named = named.join(names, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    joined = components(scratch.table(named.where("a <> b").distinct()), scratch)
+    grown = labels.unionByName(
+        joined.select("node", F.col("node").alias("component")).join(labels.select("node"), "node", "left_anti"))
+    top = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return scratch.table(grown.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
 def jaccard_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs (doc_id, text, ...)``.
 
@@ -334,7 +363,7 @@ def jaccard_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     repeat a ``doc_id`` are documents of their own.  A row without ``doc_id`` has no
     component.  An empty table gives an empty result.
     """
-    return _grouped(docs, rule).drop("text_key")
+    return _grouped(docs, rule).drop("text_key", "component")
 
 
 def _grouped(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -343,19 +372,34 @@ def _grouped(docs: DataFrame, rule: Rule) -> DataFrame:
         own = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         named = own.join(reached, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
         groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
-        by_node = named.join(groups, "component").select("node", "component_id")
+        by_node = named.join(groups, "component").select("node", "component", "component_id")
         rows = signed.select("doc_id", "text_key", "n_shingles", "node").join(by_node, "node", "left")
         return scratch.result(rows.select(
-            "doc_id", "text_key", "n_shingles",
+            "doc_id", "text_key", "n_shingles", "component",
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``docs`` without the rows that link, directly or not, to one of smaller ``doc_id``.
+    """One row of every group of linked rows of ``docs``: that of smallest ``doc_id``.
 
-    Of rows that repeat the kept ``doc_id`` all stay; rows without ``doc_id`` stay.
+    Rows without ``doc_id`` come after all others; of rows that repeat the kept one, a single one
+    stays.  Null and word-less texts link with nothing and all stay.
     """
-    dropped = _grouped(docs, rule).where("component_id <> doc_id").select(
-        F.col("doc_id").alias("dropped_id"), F.col("text_key").alias("dropped_key")).distinct()
-    same = (docs["doc_id"] == dropped["dropped_id"]) & (F.xxhash64(docs["text"]) == dropped["dropped_key"])
-    return docs.join(dropped, same, "left_anti")
+    text_key = F.xxhash64("text")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.pmod(text_key, F.lit(1 << 61)) + F.lit(1 << 62))
+    grouped = _grouped(docs.select(own.alias("doc_id"), "text"), rule).where("component is not null")
+    first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"), F.count("*").alias("rows")).where("rows > 1")
+    is_kept = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("text_key") == F.col("kept.text_key"))
+    own_id, own_key = (f"{name}_{uuid.uuid4().hex}" for name in ("id", "key"))  # no column of docs has these names
+    members = (
+        grouped.join(first, "component").groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
+        .agg(F.count("*").alias("rows"), F.first(is_kept).alias("kept"))
+    )
+    dropped = members.where("not kept").select(own_id, own_key)
+    repeated = members.where("kept and rows > 1").select(own_id, own_key)
+    same = (own == F.col(own_id)) & (text_key == F.col(own_key))
+    left = docs.join(dropped, same, "left_anti")
+    if repeated.isEmpty():
+        return left
+    copies = left.join(repeated, same, "left_semi").withColumns({own_id: own, own_key: text_key})
+    return left.join(repeated, same, "left_anti").unionByName(copies.dropDuplicates([own_id, own_key]).drop(own_id, own_key))

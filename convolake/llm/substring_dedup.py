@@ -143,27 +143,31 @@ def _level(rows: DataFrame, n: int, window: int, before: int | None) -> DataFram
                 )
 
     columns = [*_KEY, "text"] + (["at"] if before is not None else [])
-    return rows.select(*columns).mapInArrow(emit, "h long, g int, doc long, tag int, pos int, weight int")
+    return rows.select(*columns).mapInArrow(emit, "h long, g int, doc long, tag long, pos int, weight int")
 
 
-def _repeated(level: DataFrame) -> DataFrame:
+def _repeated(level: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc, tag, at``: positions of the windows that occur more than once.
 
-    Only hashes move to be counted, combined in each task first; the join back to the
-    positions is one that AQE can split where one window is everywhere.
+    Only hashes move to be counted, combined in each task first.  The repeated ones are written
+    down: the join back to the positions then has two plain sides, and AQE splits the side
+    of a window that is everywhere.
     """
-    several = level.groupBy("h", "g").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "g")
+    several = scratch.table(level.groupBy("h", "g").agg(F.sum("weight").alias("n")).where("n > 1").select("h", "g"))
     return level.where("pos >= 0").select("h", "g", *_KEY, "pos").join(several, ["h", "g"]).groupBy(*_KEY).agg(F.collect_set("pos").alias("at"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """``doc, tag``, a key of every row, ``text``, and all other columns as ``row``.
 
-    Rows equal in ``doc_id`` and text share the key and are cut alike.
+    Rows equal in ``doc_id`` and text share the key and are cut alike.  The tag is a short hash
+    of the text; where two texts of one ``doc_id`` share it, all rows take one of 64 bits.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return docs.select(
-        F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), F.hash("text").alias("tag"), "text", F.struct(*others).alias("row"))
+    doc, short, long = F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), F.hash("text").cast("long"), F.xxhash64("text")
+    keys = docs.select(doc, short.alias("tag"), long.alias("full")).groupBy("doc", "tag").agg(F.min("full").alias("low"), F.max("full").alias("high"))
+    tag = short if keys.where("low <> high").isEmpty() else long
+    return docs.select(doc, tag.alias("tag"), "text", F.struct(*others).alias("row"))
 
 
 def _removed(raw: bytes, at, window: int) -> np.ndarray:
@@ -196,13 +200,13 @@ def repeated_windows(docs: DataFrame, window: int, start: int, scratch: Scratch)
     """
     rows, chain = _keyed(docs), lengths(window, start)
     columns = [*_KEY, "text", "row"]
-    found = _repeated(_level(rows, chain[0], window, None))
+    found = _repeated(_level(rows, chain[0], window, None), scratch)
     if len(chain) == 1:
         return rows.limit(0).select(columns), rows.join(found, _KEY, "left").select(*columns, "at")
     split = scratch.table(rows.join(found, _KEY, "left").select(*columns, "at"))
     quiet, loud = split.where("at is null"), split.where("at is not null")
     for before, n in zip(chain, chain[1:]):
-        found = _repeated(_level(loud, n, window, before))
+        found = _repeated(_level(loud, n, window, before), scratch)
         last = loud.drop("at").join(found, _KEY, "left")
         if n == window:
             return quiet, last
@@ -280,7 +284,7 @@ def longest_repeats(docs: DataFrame, window: int = 50, start: int = 18) -> DataF
     """
     with Scratch(docs.sparkSession) as scratch:
         rows = _keyed(docs)
-        found = _repeated(_level(rows, lengths(window, start)[0], window, None))
+        found = _repeated(_level(rows, lengths(window, start)[0], window, None), scratch)
         if len(lengths(window, start)) > 1:
             level = _Plain.level(rows.join(found, _KEY), window)
         else:
@@ -320,4 +324,4 @@ class _Plain:
                         ["h", "doc", "tag", "pos"],
                     )
 
-        return rows.select(*_KEY, "text").mapInArrow(emit, "h long, doc long, tag int, pos int")
+        return rows.select(*_KEY, "text").mapInArrow(emit, "h long, doc long, tag long, pos int")

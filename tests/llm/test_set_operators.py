@@ -133,7 +133,10 @@ def test_join_odd_tables(spark, copies):
     rows = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_groups(odd, rule).collect())
     assert rows == [(-1, 2, None), (2, 2, 2), (3, 0, 3), (5, 2, 2), (5, 2, 5), (5, 2, 5)]
     kept = sorted((r["doc_id"] or -1, r["text"]) for r in ngram_join.keep_one_of_each(odd, rule).where("text is not null").collect())
-    assert kept == [(-1, "a b c d"), (2, "e f g h"), (5, "a b c d"), (5, "a b c d")]
+    assert kept == [(2, "e f g h"), (5, "a b c d")]  # a single row of each group
+    extra = odd.withColumns({"own_id": F.lit(1), "component": F.lit("x"), "rows": F.lit(None).cast("int")})
+    assert ngram_join.keep_one_of_each(extra, rule).columns == extra.columns
+    assert ngram_join.keep_one_of_each(extra, rule).count() == 3 and ngram_join.keep_one_of_each(odd.limit(0), rule).count() == 0
 
 
 def test_sets_of_one_node_stay_apart(spark, monkeypatch):
@@ -144,8 +147,28 @@ def test_sets_of_one_node_stay_apart(spark, monkeypatch):
     assert got == [(1, 1), (2, 2), (3, 1), (4, 4)]
 
 
+def test_many_leaders_and_the_product_agree(spark, copies):
+    texts, docs = copies
+    rule = ngram_join.Rule(3, 90)
+    with Scratch(spark) as scratch:
+        sides = [sorted(map(tuple, ngram_join.link_components(docs, rule, scratch, leader_turns=n)[1].collect())) for n in (0, 1, 3)]
+    links = [{n: c for n, c in rows if n != c} for rows in sides]
+    assert links[0] == links[1] == links[2] and links[0]
+
+
 # -- substring dedup ----------------------------------------------------------------
 
+def test_texts_of_one_id_and_one_short_hash(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = spark.range(120_000).select(F.concat(F.lit(passage + " x"), "id").alias("text"))
+    short = spark.range(120_000).select(F.concat(F.lit("short y"), "id").alias("other"))
+    both = long.join(short, F.hash("text") == F.hash("other")).orderBy("text").head()
+    docs = spark.createDataFrame([(7, both["text"]), (7, both["other"]), (8, passage)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.removal_digests(docs, window=35).collect())
+    assert got == [(7, 2, 0), (7, 61, 60), (8, 60, 60)]
+
+
+
 @pytest.mark.parametrize("window,start", [(35, 18), (50, 10), (7, 7), (8, 2), (1, 1)])
 def test_removal_as_brute_force(spark, copies, window, start):
     texts, docs = copies
