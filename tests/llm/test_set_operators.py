@@ -160,8 +160,8 @@ def test_many_leaders_and_the_product_agree(spark, copies):
 
 def test_texts_of_one_id_and_one_short_hash(spark):
     passage = " ".join(f"p{i}" for i in range(60))
-    long = spark.range(120_000).select(F.concat(F.lit(passage + " x"), "id").alias("text"))
-    short = spark.range(120_000).select(F.concat(F.lit("short y"), "id").alias("other"))
+    long = spark.range(500_000).select(F.concat(F.lit(passage + " x"), "id").alias("text"))
+    short = spark.range(500_000).select(F.concat(F.lit("short y"), "id").alias("other"))
     both = long.join(short, F.hash("text") == F.hash("other")).orderBy("text").head()
     docs = spark.createDataFrame([(7, both["text"]), (7, both["other"]), (8, passage)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.removal_digests(docs, window=35).collect())
