@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import variants as V
 
-# Caps on the stored text of single response parts.
-OUTPUT_CHARS = 500
-TOOL_OUTPUT_CHARS = 300
-THINKING_LIMIT = 500
-RESPONSE_CHARS = 5000
+
+@dataclass(frozen=True)
+class ResponseCaps:
+    """Characters kept of the parts of a response; ``None`` keeps all of a part.
+
+    A thought of ``thinking`` characters or more is left out; ``response`` is the whole text
+    that is stored.
+    """
+
+    # Fixed values.
+    output: int | None = 500
+    tool_output: int | None = 300
+    thinking: int | None = 500
+    response: int | None = 5000
+
+
+CAPS = ResponseCaps()
+WHOLE = ResponseCaps(None, None, None, None)
+
+
+def _cut(text: str, chars: int | None) -> str:
+    return text if chars is None else f"substring({text}, 1, {int(chars)})"
 
 
 def _present(*parts: str) -> str:
     return V.keep(f"array({', '.join(parts)})", lambda p: f"{p} is not null")
 
 
-def _terminal(item: str) -> str:
+def _terminal(item: str, caps: ResponseCaps) -> str:
     def lines(data: str) -> str:
         code = V.as_text(V.child(data, "$.terminalCommandState.exitCode"))
         shown = f"coalesce(concat(' exit=', nullif({code}, '')), '')"
@@ -26,21 +45,21 @@ def _terminal(item: str) -> str:
         plain = rf"replace(regexp_replace({output}, r'\x1b\[[0-9;]*m', ''), chr(13), '')"
         return _present(
             f"concat('[cmd] ', {V.truthy_text_at(data, '$.commandLine.original')})",
-            f"concat('[output', {shown}, '] ', substring({V.stripped(plain)}, 1, {OUTPUT_CHARS}))")
+            f"concat('[output', {shown}, '] ', {_cut(V.stripped(plain), caps.output)})")
 
     return V.bind(V.child(item, "$.toolSpecificData"), lines)
 
 
-def _tool_output(text: str) -> str:
-    return f"concat('[tool-output] ', substring({V.stripped(text)}, 1, {TOOL_OUTPUT_CHARS}))"
+def _tool_output(text: str, caps: ResponseCaps) -> str:
+    return f"concat('[tool-output] ', {_cut(V.stripped(text), caps.tool_output)})"
 
 
-def _details(item: str) -> str:
+def _details(item: str, caps: ResponseCaps) -> str:
     given = f"coalesce(concat(' input: ', {V.truthy_text_at(item, '$.resultDetails.input')}), '')"
     head = f"concat('[tool:', {V.truthy_text_at(item, '$.toolId')}, ']', {given})"
     listed = V.each(V.items_of(item, "$.resultDetails.output"), lambda e: (
-        f"case when {V.is_kind(e, 'object')} then {_tool_output(V.truthy_text_at(e, '$.value'))} end"))
-    single = _tool_output(f"nullif({V.string_at(item, '$.resultDetails.output')}, '')")
+        f"case when {V.is_kind(e, 'object')} then {_tool_output(V.truthy_text_at(e, '$.value'), caps)} end"))
+    single = _tool_output(f"nullif({V.string_at(item, '$.resultDetails.output')}, '')", caps)
     return V.keep(f"concat(array({head}), coalesce({listed}, array({single})))", lambda p: f"{p} is not null")
 
 
@@ -50,12 +69,12 @@ def _message(item: str) -> str:
     return _present(f"concat('[tool] ', coalesce({past}, {running}))")
 
 
-def _tool_result(item: str) -> str:
+def _tool_result(item: str, caps: ResponseCaps) -> str:
     """Lines for one tool call: terminal data, else result details, else its message."""
-    details = f"case when {V.is_kind(V.child(item, '$.resultDetails'), 'object')} then {_details(item)} else {V.NO_STRINGS} end"
+    details = f"case when {V.is_kind(V.child(item, '$.resultDetails'), 'object')} then {_details(item, caps)} else {V.NO_STRINGS} end"
     other = V.bind(details, lambda d: f"case when size({d}) > 0 then {d} else {_message(item)} end")
     terminal = V.string_at(item, "$.toolSpecificData.kind")
-    return f"case when coalesce({terminal} = 'terminal', false) then {_terminal(item)} else {other} end"
+    return f"case when coalesce({terminal} = 'terminal', false) then {_terminal(item, caps)} else {other} end"
 
 
 def _markdown(item: str) -> str:
@@ -63,9 +82,10 @@ def _markdown(item: str) -> str:
     return _present(f"coalesce({direct}, nullif({V.string_at(item, '$.content.value')}, ''))")
 
 
-def _thinking(item: str) -> str:
+def _thinking(item: str, caps: ResponseCaps) -> str:
+    short = "" if caps.thinking is None else " and length({0}) < " + str(int(caps.thinking))
     return V.bind(V.stripped(V.truthy_text_at(item, "$.value")), lambda text: _present(
-        f"case when length({text}) > 0 and length({text}) < {THINKING_LIMIT} then concat('[thinking] ', {text}) end"))
+        f"case when length({text}) > 0{short.format(text)} then concat('[thinking] ', {text}) end"))
 
 
 def _edit(item: str) -> str:
@@ -80,17 +100,17 @@ def _edit(item: str) -> str:
     return V.bind(f"named_struct('file', {file}, 'edits', {edits})", lines)
 
 
-def _response_item(item: str) -> str:
+def _response_item(item: str, caps: ResponseCaps) -> str:
     """Lines for one response item; other kinds and non-objects give none."""
     return V.bind(V.string_at(item, "$.kind"), lambda kind: (
-        f"case {kind} when 'markdownContent' then {_markdown(item)} when 'thinking' then {_thinking(item)}"
-        f" when 'toolInvocationSerialized' then {_tool_result(item)} when 'textEditGroup' then {_edit(item)}"
+        f"case {kind} when 'markdownContent' then {_markdown(item)} when 'thinking' then {_thinking(item, caps)}"
+        f" when 'toolInvocationSerialized' then {_tool_result(item, caps)} when 'textEditGroup' then {_edit(item)}"
         f" else {V.NO_STRINGS} end"))
 
 
-def response_text(request: str) -> Column:
+def response_text(request: str, caps: ResponseCaps = CAPS) -> Column:
     """All parts of a request's response in order, one per line; NULL when there are none."""
-    parts = V.each(V.items_of(request, "$.response"), _response_item)
+    parts = V.each(V.items_of(request, "$.response"), lambda item: _response_item(item, caps))
     return F.expr(V.bind(f"array_join(flatten({parts}), chr(10))", lambda text: f"nullif({text}, '')"))
 
 

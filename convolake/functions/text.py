@@ -55,30 +55,37 @@ def has_code(*columns: Column) -> Column:
     return found
 
 
-def preview(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)
+def preview(c: Column, n: int | None) -> Column:
+    """The first ``n`` characters, or all."""
+    return c if n is None else F.substring(c, 1, n)
 
 
-def truncate_salient(c: Column, max_len: int = 600) -> Column:
+def truncate_salient(c: Column, max_len: int | None = 600, salient: int | None = 300,
+                     output: int | None = 150, other: int | None = 200) -> Column:
     """Shorten a response line by line, favouring command and edit lines.
 
+    ``salient``, ``output`` and ``other`` are the characters kept of a command or edit line, an
+    output line and any other; ``None`` keeps whole lines, or as ``max_len`` the whole response.
+
     A fold over the lines carries the kept lines and their total length.  Nothing
     is added once the total has reached ``max_len``.
     """
+    if max_len is None:
+        return c
     start = F.struct(
         F.array().cast("array<string>").alias("kept"), F.lit(0).cast("int").alias("size")
     )
 
     def step(acc, line):
         always = line.startswith("[cmd]") | line.startswith("[edit]")
-        output = line.startswith("[output")
+        is_output = line.startswith("[output")
         cut = (
-            F.when(always, F.substring(line, 1, 300))
-            .when(output, F.substring(line, 1, 150))
-            .otherwise(F.substring(line, 1, 200))
+            F.when(always, preview(line, salient))
+            .when(is_output, preview(line, output))
+            .otherwise(preview(line, other))
         )
         # a plain line must fit with its whole length, an output line with its cut length
-        needs = F.when(output, F.length(cut)).otherwise(F.length(line))
+        needs = F.when(is_output, F.length(cut)).otherwise(F.length(line))
         take = (acc["size"] < max_len) & (always | (acc["size"] + needs < max_len))
         return F.when(
             take,

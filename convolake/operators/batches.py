@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +15,26 @@ from .ranking import first_n, group_index
 BATCH_SESSIONS = 5
 SESSION_MESSAGES = 30
 REVIEW_SESSIONS = 20
-USER_CHARS = 200
-RESPONSE_CHARS = 2000
-SHORT_RESPONSE_CHARS = 600
+
+
+@dataclass(frozen=True)
+class PromptCaps:
+    """Characters of a message that go into a prompt; ``None`` sends all.
+
+    ``response`` is what is looked at, ``short_response`` what is sent, of which a command or
+    edit line takes ``salient``, an output line ``output`` and any other ``line`` characters.
+    """
+
+    user: int | None = 200
+    response: int | None = 2000
+    short_response: int | None = 600
+    salient: int | None = 300
+    output: int | None = 150
+    line: int | None = 200
+
+
+CAPS = PromptCaps()
+WHOLE = PromptCaps(None, None, None, None, None, None)
 
 PART_LINES = 100  # skills or rules in one part of a prompt's section
 BATCHES_PER_COPY = 64  # batches of a project that share one copy of its sections
@@ -34,21 +52,20 @@ def session_marks(fresh: DataFrame) -> DataFrame:
 
 
 def session_texts(fresh: DataFrame, max_messages: int = SESSION_MESSAGES,
-                  carry_over: bool = True) -> DataFrame:
+                  carry_over: bool = True, caps: PromptCaps = CAPS) -> DataFrame:
     """Per session: the text sent for it, how many messages, and the highest position sent.
 
-    Only the first ``max_messages`` messages are gathered, each cut to a few
-    thousand characters first; the line-wise shortening runs on those only.  With
+    Only the first ``max_messages`` messages are gathered, each cut by ``caps`` first; the line-wise shortening runs on those only.  With
     ``carry_over`` messages are taken by position, so that a mark at the last one
     sent leaves out nothing before it and the rest comes in the next pass.
     """
     keys = ["project_path", "session_id"]
     order = [F.asc("msg_seq")] if carry_over else [F.asc_nulls_first("ts"), F.asc("msg_seq")]
     cut = fresh.select(
-        *keys, "ts", "msg_seq", preview(F.col("user_text"), USER_CHARS).alias("user"),
-        preview(F.col("response_summary"), RESPONSE_CHARS).alias("response"),
+        *keys, "ts", "msg_seq", preview(F.col("user_text"), caps.user).alias("user"),
+        preview(F.col("response_summary"), caps.response).alias("response"),
     )
-    short = truncate_salient(F.col("response"), SHORT_RESPONSE_CHARS)
+    short = truncate_salient(F.col("response"), caps.short_response, caps.salient, caps.output, caps.line)
     sent = first_n(cut, keys, max_messages, *order).select(
         *keys, "rank", "msg_seq",
         F.concat_ws(

@@ -36,7 +36,8 @@ class DistillResult:
 
 def plan_batches(state: State, project: str | None = None, full: bool = False,
                  project_equals: str | None = None, size: int = B.BATCH_SESSIONS,
-                 max_messages: int = B.SESSION_MESSAGES, carry_over: bool = True) -> Batches:
+                 max_messages: int = B.SESSION_MESSAGES, carry_over: bool = True,
+                 caps: B.PromptCaps = B.CAPS) -> Batches:
     """Batches of fresh sessions, and the marks to set when they succeed.
 
     A session's messages beyond ``max_messages`` come in the next pass (``run_pipeline``
@@ -45,7 +46,7 @@ def plan_batches(state: State, project: str | None = None, full: bool = False,
     fresh = incremental_messages(
         state.messages, state.sessions, state.progress, project, full, project_equals)
     assigned = B.assign_batches(B.session_marks(fresh), size)
-    texts = B.session_texts(fresh, max_messages, carry_over)
+    texts = B.session_texts(fresh, max_messages, carry_over, caps)
     rows = B.batch_rows(assigned, texts, "n_sent" if carry_over else "n_messages")
     return Batches(rows, B.batch_marks(assigned, texts if carry_over else None))
 
@@ -53,7 +54,8 @@ def plan_batches(state: State, project: str | None = None, full: bool = False,
 def distill(state: State, model_fn: ModelFn, template: str, project: str | None = None,
             full: bool = False, mode: str = "snapshot", project_equals: str | None = None,
             parallelism: int | None = None, carry_over: bool = True,
-            max_prompt_chars: int | None = None, as_of: Column | None = None) -> DistillResult:
+            max_prompt_chars: int | None = None, as_of: Column | None = None,
+            caps: B.PromptCaps = B.CAPS) -> DistillResult:
     """Run the model over all fresh batches once and merge what it returns.
 
     One pass sends at most ``SESSION_MESSAGES`` messages of a session; call it again with
@@ -64,7 +66,7 @@ def distill(state: State, model_fn: ModelFn, template: str, project: str | None
     see what batch k changed: one round per batch number, each round a job over
     all projects, so a project with many batches makes many rounds.
     """
-    planned = plan_batches(state, project, full, project_equals, carry_over=carry_over)
+    planned = plan_batches(state, project, full, project_equals, carry_over=carry_over, caps=caps)
     rows = write_down(planned.rows)
     skills = conform(state.skills, SKILLS)
 

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.responses import CAPS as RESPONSE_CAPS
+from ..functions.responses import ResponseCaps
+from ..operators.batches import CAPS as PROMPT_CAPS
+from ..operators.batches import PromptCaps
 from ..operators.paths import path_counts, path_references, recount_paths, upsert_paths
 from ..operators.progress import incremental_messages, stale_projects
 from ..operators.render import render_instructions, skill_documents
@@ -25,7 +29,8 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
                  model_fn: ModelFn | None = None, template: str | None = None,
                  render: bool = True, documents: str | None = None, grain: str = "session",
                  mode: str = "snapshot", review_template: str | None = None,
-                 on_error: Callable[[str, Exception], None] | None = None) -> bool:
+                 on_error: Callable[[str, Exception], None] | None = None,
+                 response_caps: ResponseCaps = RESPONSE_CAPS, prompt_caps: PromptCaps = PROMPT_CAPS) -> bool:
     """One run over the tables under ``root``; False when there was nothing to do: ``raw`` held
     no new message and the model had none left to distil, or succeeded with none of them.
 
@@ -34,6 +39,8 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
     grow by new files, paths are counted right after them, marks are written last.
     With ``grain="message"`` requests appended to a known session are taken and its row
     is stored anew.  With ``review_template`` the model's review adds rules.
+    ``response_caps`` bound what is stored of responses, ``prompt_caps`` what prompts show of
+    messages; each of their caps can be lifted with ``None``.
 
     Distilling repeats until all messages are sent or a pass marks none: a session of any
     length is done in one run.  Batches that fail are asked again with each pass and in
@@ -45,7 +52,7 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
     stay unmarked for the next run.  Without ``on_error`` it is raised.
     """
     state = load_state(spark, root, before=batch)
-    taken = ingest(raw, state.sessions, state.messages, grain)
+    taken = ingest(raw, state.sessions, state.messages, grain, caps=response_caps)
     write_table(taken.new_messages, root, "messages", batch)
     added = spark.read.schema(MESSAGES).parquet(f"{root}/messages/batch={batch}")
     touched = taken.sessions.join(added.select("session_id").distinct(), "session_id", "left_semi")
@@ -76,7 +83,7 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
         nonlocal marked
         left = _left(state)
         while left:
-            result = distill(state, model_fn, template, mode=mode)
+            result = distill(state, model_fn, template, mode=mode, caps=prompt_caps)
             state.skills, state.progress = pin(result.skills), pin(result.progress)
             before, left = left, _left(state)
             if left == before:
@@ -111,14 +118,15 @@ def _left(state: State) -> int:
     return incremental_messages(state.messages, state.sessions, state.progress).count()
 
 
-def reload_pipeline(spark: SparkSession, root: str, raw: DataFrame, new_root: str) -> None:
+def reload_pipeline(spark: SparkSession, root: str, raw: DataFrame, new_root: str,
+                    response_caps: ResponseCaps = RESPONSE_CAPS) -> None:
     """Ingest everything again: tables under ``new_root`` as batch 0.
 
     Skills, rules and aliases are taken over from ``root``, paths are counted anew,
     and no message counts as distilled.
     """
     state = load_state(spark, root)
-    taken = ingest(raw, state.sessions, state.messages, force=True)
+    taken = ingest(raw, state.sessions, state.messages, force=True, caps=response_caps)
     write_table(taken.new_messages, new_root, "messages", 0)
     write_table(taken.new_sessions, new_root, "sessions", 0)
     state.sessions = read_sessions(spark, new_root)

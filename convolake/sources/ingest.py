@@ -49,10 +49,11 @@ def _parsed(raw: DataFrame) -> DataFrame:
 
 
 def normalize_sessions(raw: DataFrame, as_of: Column | None = None,
-                       known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                       known: DataFrame | None = None, caps: R.ResponseCaps = R.CAPS) -> tuple[DataFrame, DataFrame]:
     """(sessions, messages) of raw logs; ``msg_seq`` is the position of the request.
 
     Sessions in ``known (session_id)`` are left out before their requests are flattened.
+    ``caps`` bound the stored responses; ``responses.WHOLE`` stores them whole.
     """
     as_of = F.current_timestamp() if as_of is None else as_of
     parsed = _parsed(raw)
@@ -68,12 +69,12 @@ def normalize_sessions(raw: DataFrame, as_of: Column | None = None,
     texts = requests.select(
         "session_id", F.col("msg_seq").cast("long").alias("msg_seq"),
         R.user_text("request").alias("user_text"),
-        R.response_text("request").alias("response"),
+        R.response_text("request", caps).alias("response"),
         F.try_variant_get("request", "$.timestamp", "long").alias("ts"),
     ).where(~is_blank(F.col("user_text")))
     messages = texts.select(
         "session_id", "msg_seq", "user_text",
-        preview(F.col("response"), R.RESPONSE_CHARS).alias("response_summary"), "ts",
+        preview(F.col("response"), caps.response).alias("response_summary"), "ts",
         has_code(F.col("user_text"), F.col("response")).alias("has_code"),
         has_paths(F.col("user_text")).alias("has_paths"),
     )
@@ -91,17 +92,18 @@ def message_flags(messages: DataFrame) -> DataFrame:
 
 
 def ingest(raw: DataFrame, sessions: DataFrame, messages: DataFrame, grain: str = "session",
-           force: bool = False, as_of: Column | None = None) -> IngestResult:
+           force: bool = False, as_of: Column | None = None, caps: R.ResponseCaps = R.CAPS) -> IngestResult:
     """New sessions and messages of ``raw`` against the stored tables.
 
     ``grain="session"`` skips known sessions wholly; ``grain="message"`` also takes
     requests appended to them.  ``force`` ignores what is stored: the result then
-    replaces the tables, and paths are to be counted from nothing.
+    replaces the tables, and paths are to be counted from nothing.  ``caps`` bound the stored
+    responses.
     """
     if force:
         sessions, messages = sessions.limit(0), messages.limit(0)
     known = sessions.select("session_id")
-    seen_sessions, seen_messages = normalize_sessions(raw, as_of, known if grain == "session" else None)
+    seen_sessions, seen_messages = normalize_sessions(raw, as_of, known if grain == "session" else None, caps)
     new_sessions = seen_sessions if grain == "session" else seen_sessions.join(known, "session_id", "left_anti")
     if grain == "session":
         new_messages = seen_messages

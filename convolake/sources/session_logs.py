@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions import variants as V
 
 _FOLDER = "chatSessions"
+LOG_FILES = f"*/{_FOLDER}/*.json"
 _RAW = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("body", T.StringType())])
 
 
@@ -56,7 +57,14 @@ def read_session_logs(spark: SparkSession, root: str, modified_after: str | None
 
     With ``modified_after`` (``yyyy-MM-ddTHH:mm:ss``) only files changed since then.
     """
-    return _with_project(_read(spark, f"{root}/*/{_FOLDER}/*.json", modified_after), spark, root)
+    return _with_project(_read(spark, f"{root}/{LOG_FILES}", modified_after), spark, root)
+
+
+def read_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """The rows of ``read_session_logs`` of the named files only."""
+    if not names:
+        return _with_project(spark.createDataFrame([], _RAW), spark, root)
+    return _with_project(_located(spark.read.option("wholetext", True).text(names)), spark, root)
 
 
 def stream_session_logs(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.distill import ModelFn
 from ..plans.pipeline import run_pipeline
-from ..sources.session_logs import read_session_logs
+from ..sources.ledger import read_changed_logs, read_ledger, write_ledger
 
 
 def start_pipeline(logs: DataFrame, root: str, checkpoint: str, every: str | None = None,
@@ -46,16 +45,16 @@ def poll_logs(spark: SparkSession, source: str, root: str, checkpoint: str, ever
     """Run the pipeline on a clock over all log files that changed, also those known before.
 
     A stream of files hands out each file once, so it misses requests appended to it; here a
-    timed stream lists the files anew and reads those modified since the last run that
-    succeeded, message by message.  Runs without new files ask the batches that failed again.
+    timed stream lists the files anew and reads those that the ledger under ``root`` does not
+    hold as they are, message by message.  A file is noted after its messages are stored: a
+    restart opens no file that was read, and repeats a run that was cut short.  Runs without
+    new files ask the batches that failed again.
     """
-    state = {"since": None}
-
     def run(_: DataFrame, number: int) -> None:
-        began = spark.range(1).select(F.date_format(F.current_timestamp() - F.expr("interval 1 minute"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
-        raw = read_session_logs(spark, source, modified_after=state["since"])
+        raw, seen = read_changed_logs(spark, source, read_ledger(spark, root))
         run_pipeline(spark, root, raw, number, model_fn, template, grain="message", **options)
-        state["since"] = began  # a minute back: files written while the run listed them come again
+        if not seen.isEmpty():
+            write_ledger(seen, root, number)
 
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return clock.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -105,3 +107,25 @@ def test_paths_upsert_keeps_ids_aliases_and_first_project(spark):
     assert found.count() == 2000 and found.where("upper(path) not like concat('%', lookup, '%')").count() == 0
     wild = {r.lookup: r.path for r in P.resolve_paths(many, ["set%_1999", "%", "_et_0007", "", "no\\pe"]).collect()}
     assert wild == {"set%_1999": "/data/set_1999/x.csv", "%": "/data/set_1999/x.csv", "_et_0007": "/data/set_0007/x.csv", "": "/data/set_1999/x.csv"}
+
+
+def test_caps_can_be_lifted(spark):
+    from convolake.functions.responses import CAPS, WHOLE
+    from convolake.operators import batches
+    from convolake.functions.text import truncate_salient
+
+    long = "z" * 7000
+    items = [{"kind": "thinking", "value": long}, {"kind": "markdownContent", "value": long},
+             {"kind": "toolInvocationSerialized", "toolId": "t", "resultDetails": {"input": "i", "output": [{"value": long}]}},
+             {"kind": "toolInvocationSerialized", "toolSpecificData": {
+                 "kind": "terminal", "commandLine": {"original": "ls"}, "terminalCommandOutput": {"text": long}}}]
+    body = json.dumps({"sessionId": "s", "requests": [{"message": {"text": "q"}, "response": items}]})
+    raw = spark.createDataFrame([("w", "f.json", body, "p")], "workspace_id string, file_path string, body string, project_path string")
+    whole = normalize_sessions(raw, caps=WHOLE)[1].first()["response_summary"]
+    assert whole == "\n".join([f"[thinking] {long}", long, "[tool:t] input: i", f"[tool-output] {long}", "[cmd] ls", f"[output] {long}"])
+    assert len(normalize_sessions(raw, caps=CAPS)[1].first()["response_summary"]) == 5000
+    text = spark.createDataFrame([(f"[cmd] {long}\n[output] {long}\n{long}",)], "c string")
+    assert text.select(truncate_salient(F.col("c"), None)).first()[0] == text.first()[0]
+    assert text.select(truncate_salient(F.col("c"), 10**6, None, None, None)).first()[0] == text.first()[0]
+    assert len(text.select(truncate_salient(F.col("c"))).first()[0]) == 300 + 1 + 150
+    assert batches.WHOLE.user is None and batches.CAPS.user == 200

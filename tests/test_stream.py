@@ -8,6 +8,7 @@ from convolake.plans.pipeline import reload_pipeline, run_pipeline
 from convolake.sources.session_logs import read_session_logs, stream_session_logs
 from convolake.schemas import SKILLS, conform
 from convolake.sources.tables import load_state, write_documents, write_skill_documents
+from convolake.sources import ledger
 from convolake.streaming.pipeline import poll_logs, start_pipeline
 
 import logs
@@ -217,3 +218,30 @@ def test_streamed_bursts_equal_batch_bursts(spark, tmp_path):
     got = sorted((r.key, r.burst_start, r.last_change, r.n_changes) for r in spark.read.parquet(sink).collect())
     batch = change_bursts(spark.createDataFrame(event_rows(), schema), "30 seconds", "k")
     assert got == sorted((r.key, r.burst_start, r.last_change, r.n_changes) for r in batch.collect())
+
+
+def test_the_ledger_knows_what_was_read(spark, tmp_path):
+    import os
+
+    source, store = tmp_path / "logs", str(tmp_path / "store")
+    fill(source)
+    logs.write(source, "w1", "odd [x] {1,2} 100%+é", logs.session("b", 1))
+
+    def poll(number):
+        raw, seen = ledger.read_changed_logs(spark, str(source), ledger.read_ledger(spark, store))
+        names = sorted(r["file_path"].rsplit("/", 1)[1] for r in seen.collect())
+        assert sorted(r["file_path"].rsplit("/", 1)[1] for r in raw.collect()) == names
+        run_pipeline(spark, store, raw, number, grain="message")
+        if names:
+            ledger.write_ledger(seen, store, number)
+        return names, load_state(spark, store).messages.count()
+
+    assert poll(0) == (["a.json", "odd [x] {1,2} 100%+é.json"], 3)
+    assert poll(1) == ([], 3)  # as after a restart: nothing is kept outside the ledger
+    logs.write(source, "w1", "a", logs.session("a", 5))
+    logs.write(source, "w1", "old", logs.session("c", 4))
+    os.utime(source / "w1" / "chatSessions" / "old.json", (1_500_000_000, 1_500_000_000))
+    assert poll(2) == (["a.json", "old.json"], 10)
+    assert poll(3) == ([], 10)
+    raw, seen = ledger.read_changed_logs(spark, str(tmp_path / "none"), ledger.read_ledger(spark, str(tmp_path / "none")))
+    assert raw.count() == seen.count() == 0

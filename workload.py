@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +10,16 @@ from pyspark.sql import functions as F
 
 import fixtures as X
 from convolake.functions.answers import json_list, json_map
+from convolake.functions.responses import WHOLE
 from convolake.functions.text import content_id, truncate_salient
 from convolake.operators import batches as B
 from convolake.operators import bursts, merge, model, paths, progress, render, reports, rules, search
 from convolake.plans.distill import distill, plan_batches
 from convolake.plans.review import review, review_prompts
 from convolake.schemas import PATHS, empty
-from convolake.session import tune
+from convolake.session import ensure_checkpoint_dir, tune
 from convolake.sources import ingest as I
+from convolake.sources import ledger
 from convolake.sources.tables import State
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,6 +203,41 @@ def ingest_messages(t):
     return I.normalize_sessions(t.session_logs)[1]
 
 
+_WHOLE = _FLATTENED.replace("substr(", "", 1).replace(", 1, 500)", "", 1)
+
+
+@query(f"""
+select session_id, (row_number() over (partition by session_id order by msg_seq)) - 1 msg_seq, {_WHOLE} response_summary
+from f_messages""", "f_messages")
+def ingest_messages_whole(t):
+    """Responses stored without any cap."""
+    return I.normalize_sessions(t.session_logs, caps=WHOLE)[1].select("session_id", "msg_seq", "response_summary")
+
+
+@query(f"""
+with halves as (select m.session_id, m.conv_id, row_number() over (partition by m.session_id order by msg_seq) - 1 msg_seq, m.user_text
+  from f_messages m)
+select session_id, msg_seq, user_text, cast(1 + conv_id % 2 as integer) poll, cast(0 as bigint) reopened from halves""", "f_messages")
+def logs_polled(t):
+    """Log files written in two waves, polled after each with the ledger of the polls before, and once more."""
+    root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/logs-{uuid.uuid4().hex}"
+    store = f"{root}-store"
+    odd = F.substring("session_id", 2, 20).cast("long") % 2
+    bodies = t.session_logs.select(F.regexp_extract("file_path", r"([^/]+)\.json$", 1).alias("session_id"), "body")
+    polled = []
+    for wave in (0, 1, None):
+        if wave is not None:
+            one_each = bodies.where(odd == wave).select(F.col("body").alias("value")).repartition(8)
+            one_each.write.option("maxRecordsPerFile", 1).text(f"{root}/w{wave}/chatSessions")
+        raw, seen = ledger.read_changed_logs(t.spark, root, ledger.read_ledger(t.spark, store), "*/chatSessions/*.txt")
+        if wave is not None:
+            ledger.write_ledger(seen, store, wave)
+            polled.append(I.normalize_sessions(raw)[1].select("session_id", "msg_seq", "user_text", F.lit(wave + 1).alias("poll")))
+        else:
+            reopened = raw.count()
+    return polled[0].unionByName(polled[1]).withColumn("reopened", F.lit(reopened))
+
+
 @query("""
 with n as (select m.* from f_messages m anti join f_progress p on p.session_id = m.session_id)
 select 'sessions_added' stat, count(distinct session_id) n from n union all
