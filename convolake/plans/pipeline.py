@@ -16,11 +16,7 @@ from ..operators.progress import incremental_messages, stale_projects
 from ..operators.render import render_instructions, skill_documents
 from ..session import pin
 from ..sources.ingest import ingest
-from ..schemas import PROGRESS, empty
-from ..sources.tables import (
-    MESSAGES, REPLACED, State, load_state, read_appended, read_sessions, write_documents,
-    write_skill_documents, write_table,
-)
+from ..sources.tables import Run, State, load_state, write_documents, write_skill_documents
 from .distill import ModelFn, distill
 from .review import review
 
@@ -34,9 +30,10 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
     """One run over the tables under ``root``; False when there was nothing to do: ``raw`` held
     no new message and the model had none left to distil, or succeeded with none of them.
 
-    The run reads the tables as they were before ``batch`` and writes under its own
-    number, so running a batch again gives the same tables.  Sessions and messages
-    grow by new files, paths are counted right after them, marks are written last.
+    The run reads the tables as they were before ``batch`` and publishes what it changed as one
+    snapshot (``sources.tables``), so running a batch again gives the same tables, and readers
+    see all tables of one run.  Sessions and messages grow by new files; tables that a run
+    leaves alone are not written.
     With ``grain="message"`` requests appended to a known session are taken and its row
     is stored anew.  With ``review_template`` the model's review adds rules.
     ``response_caps`` bound what is stored of responses, ``prompt_caps`` what prompts show of
@@ -46,28 +43,27 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
     length is done in one run.  Batches that fail are asked again with each pass and in
     every later run, also one that brings no new message.
 
-    An error while messages or paths are stored ends the run, which can be repeated.
-    One in distilling (``distill``), reviewing (``review``) or rendering (``render``) is
-    reported to ``on_error`` under the step's name and the other steps go on; its messages
-    stay unmarked for the next run.  Without ``on_error`` it is raised.
+    An error while messages or paths are stored ends the run, which publishes nothing and can
+    be repeated; so does ``RunConflict``, when another run published first.  One in distilling
+    (``distill``), reviewing (``review``) or rendering (``render``) is reported to ``on_error``
+    under the step's name and the other steps go on; its messages stay unmarked for the next
+    run.  Without ``on_error`` it is raised; before rendering, nothing is published then.
     """
-    state = load_state(spark, root, before=batch)
+    run = Run(spark, root, batch)
+    state = run.state()
     taken = ingest(raw, state.sessions, state.messages, grain, caps=response_caps)
-    write_table(taken.new_messages, root, "messages", batch)
-    added = spark.read.schema(MESSAGES).parquet(f"{root}/messages/batch={batch}")
+    added = run.append("messages", taken.new_messages)
     touched = taken.sessions.join(added.select("session_id").distinct(), "session_id", "left_semi")
-    write_table(touched if grain == "message" else taken.new_sessions, root, "sessions", batch)
+    run.append("sessions", touched if grain == "message" else taken.new_sessions)
     brought = not added.isEmpty()
-    if not brought and model_fn is None:
-        return False
-    state.sessions = read_sessions(spark, root, before=batch + 1)
-    state.messages = read_appended(spark, root, "messages", MESSAGES, before=batch + 1)
+    state.sessions, state.messages = run.table("sessions"), run.table("messages")
     if brought:
         counts = path_counts(path_references(added), state.sessions)
-        write_table(upsert_paths(state.paths, counts), root, "paths", batch)
-    elif stale_projects(state.messages, state.sessions, state.progress).isEmpty():
+        state.paths = run.replace("paths", upsert_paths(state.paths, counts))
+    elif model_fn is None or stale_projects(state.messages, state.sessions, state.progress).isEmpty():
+        run.publish()
         return False
-    marked = False
+    changed: set[str] = set()
 
     def attempt(step: str, work: Callable[[], None]) -> None:
         try:
@@ -80,7 +76,6 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
     def distil() -> None:
         if template is None:
             raise ValueError("a model function needs a prompt template")
-        nonlocal marked
         left = _left(state)
         while left:
             result = distill(state, model_fn, template, mode=mode, caps=prompt_caps)
@@ -88,10 +83,11 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
             before, left = left, _left(state)
             if left == before:
                 break
-            marked = True
+            changed.update(("skills", "progress"))
 
     def learn() -> None:
         state.rules = pin(review(state, model_fn, review_template).rules)
+        changed.add("rules")
 
     def show() -> None:
         target = documents or f"{root}/documents"
@@ -101,13 +97,14 @@ def run_pipeline(spark: SparkSession, root: str, raw: DataFrame, batch: int,
 
     if model_fn is not None:
         attempt("distill", distil)
-        if not brought and not marked:
+        if not brought and not changed:
+            run.publish()
             return False
         if review_template is not None:
             attempt("review", learn)
-    for name in REPLACED:
-        if name != "paths":
-            write_table(getattr(state, name), root, name, batch)
+    for name in sorted(changed):
+        run.replace(name, getattr(state, name))
+    run.publish()
     if render:
         attempt("render", show)
     return True
@@ -120,19 +117,19 @@ def _left(state: State) -> int:
 
 def reload_pipeline(spark: SparkSession, root: str, raw: DataFrame, new_root: str,
                     response_caps: ResponseCaps = RESPONSE_CAPS) -> None:
-    """Ingest everything again: tables under ``new_root`` as batch 0.
+    """Ingest everything again: tables under ``new_root`` as batch 0, published as one snapshot.
 
     Skills, rules and aliases are taken over from ``root``, paths are counted anew,
     and no message counts as distilled.
     """
     state = load_state(spark, root)
     taken = ingest(raw, state.sessions, state.messages, force=True, caps=response_caps)
-    write_table(taken.new_messages, new_root, "messages", 0)
-    write_table(taken.new_sessions, new_root, "sessions", 0)
-    state.sessions = read_sessions(spark, new_root)
-    state.messages = read_appended(spark, new_root, "messages", MESSAGES)
+    run = Run(spark, new_root, 0)
+    run.append("messages", taken.new_messages)
+    run.append("sessions", taken.new_sessions)
+    state.sessions, state.messages = run.table("sessions"), run.table("messages")
     counts = path_counts(path_references(state.messages), state.sessions)
-    state.paths = recount_paths(state.paths, counts)
-    state.progress = empty(spark, PROGRESS)
-    for name in REPLACED:
-        write_table(getattr(state, name), new_root, name, 0)
+    run.replace("paths", recount_paths(state.paths, counts))
+    run.replace("skills", state.skills)
+    run.replace("rules", state.rules)
+    run.publish()

@@ -2,12 +2,15 @@ import datetime as dt
 import time
 import uuid
 
+import pytest
+
 from convolake.operators.bursts import burst_windows, change_bursts
 from convolake.operators.render import render_instructions, skill_documents
 from convolake.plans.pipeline import reload_pipeline, run_pipeline
 from convolake.sources.session_logs import read_session_logs, stream_session_logs
-from convolake.schemas import SKILLS, conform
-from convolake.sources.tables import load_state, write_documents, write_skill_documents
+from convolake.schemas import SESSIONS, SKILLS, conform
+from convolake.sources.tables import (
+    Run, RunConflict, forget_snapshots, load_state, read_snapshot, write_documents, write_skill_documents, write_table)
 from convolake.sources import ledger
 from convolake.streaming.pipeline import poll_logs, start_pipeline
 
@@ -245,3 +248,79 @@ def test_the_ledger_knows_what_was_read(spark, tmp_path):
     assert poll(3) == ([], 10)
     raw, seen = ledger.read_changed_logs(spark, str(tmp_path / "none"), ledger.read_ledger(spark, str(tmp_path / "none")))
     assert raw.count() == seen.count() == 0
+
+
+def rows_of(state):
+    return {name: sorted(map(repr, getattr(state, name).collect())) for name in vars(state)}
+
+
+def test_a_run_that_stops_after_any_write_shows_nothing(spark, tmp_path, monkeypatch):
+    source, store = tmp_path / "logs", str(tmp_path / "store")
+    fill(source)
+    run_pipeline(spark, store, read_session_logs(spark, str(source)), 0, answer_fn(), TEMPLATE, render=False)
+    old = rows_of(load_state(spark, store))
+    logs.write(source, "w1", "b", logs.session("b", 3))
+    raw = read_session_logs(spark, str(source))
+    write = Run._write
+    for allowed in range(5):  # messages, sessions, paths, progress, skills
+        done = []
+
+        def stopping(self, name, df):
+            written = write(self, name, df)
+            done.append(name)
+            if len(done) > allowed:
+                raise RuntimeError("stopped")
+            return written
+
+        monkeypatch.setattr(Run, "_write", stopping)
+        with pytest.raises(RuntimeError, match="stopped"):
+            run_pipeline(spark, store, raw, 1, answer_fn(), TEMPLATE, render=False)
+        assert rows_of(load_state(spark, store)) == old and read_snapshot(spark, store).version == 1
+    monkeypatch.setattr(Run, "_write", write)
+    held = load_state(spark, store)  # a reader that goes on while the next run publishes
+    assert run_pipeline(spark, store, raw, 1, answer_fn(), TEMPLATE, render=False)
+    assert rows_of(held) == old
+    state = load_state(spark, store)
+    assert state.messages.count() == 5 and state.sessions.count() == 2 and state.progress.count() == 2
+    new = rows_of(state)
+    assert forget_snapshots(spark, store, keep=1) > 5 and rows_of(load_state(spark, store)) == new
+    assert forget_snapshots(spark, store, keep=1) == 0
+
+
+def test_of_two_runs_at_once_one_is_refused(spark, tmp_path):
+    store = str(tmp_path / "store")
+    session = spark.range(1).selectExpr("'a' session_id", "'/p' project_path")
+    runs = [Run(spark, store, 0), Run(spark, store, 1)]
+    for run in runs:
+        run.append("sessions", conform(session, SESSIONS))
+    runs[0].publish()
+    with pytest.raises(RunConflict):
+        runs[1].publish()
+    assert read_snapshot(spark, store).batch == 0 and load_state(spark, store).sessions.count() == 1
+    assert not list((tmp_path / "store" / "manifests").glob("*.tmp"))
+    Run(spark, store, 4).publish()  # nothing changed, nothing published
+    assert read_snapshot(spark, store).version == 1
+    later = Run(spark, store, 4)
+    later.append("sessions", conform(session.selectExpr("session_id", "'/q' project_path"), SESSIONS))
+    later.publish()
+    assert [r.project_path for r in load_state(spark, store).sessions.collect()] == ["/q"]
+    assert [r.project_path for r in load_state(spark, store, before=4).sessions.collect()] == ["/p"]
+    with pytest.raises(ValueError, match="older"):
+        Run(spark, store, 3)
+    with pytest.raises(ValueError):
+        forget_snapshots(spark, store, keep=0)
+
+
+def test_tables_without_manifest_are_taken_over(spark, tmp_path):
+    store = str(tmp_path / "store")
+    for batch, project in ((2, "/p"), (10, "/q")):
+        session = spark.range(1).selectExpr("'a' session_id", f"'{project}' project_path")
+        write_table(conform(session, SESSIONS), store, "sessions", batch)
+        write_table(conform(spark.range(1).selectExpr(f"'k{batch}' skill_id"), SKILLS), store, "skills", batch)
+    state = load_state(spark, store)
+    assert [r.project_path for r in state.sessions.collect()] == ["/q"]
+    assert [r.skill_id for r in state.skills.collect()] == ["k10"]
+    run = Run(spark, store, 11)
+    run.append("sessions", conform(spark.range(1).selectExpr("'b' session_id"), SESSIONS))
+    run.publish()
+    assert load_state(spark, store).sessions.count() == 2 and load_state(spark, store).skills.count() == 1

@@ -15,12 +15,13 @@ from convolake.functions.text import content_id, truncate_salient
 from convolake.operators import batches as B
 from convolake.operators import bursts, merge, model, paths, progress, render, reports, rules, search
 from convolake.plans.distill import distill, plan_batches
+from convolake.plans.pipeline import reload_pipeline, run_pipeline
 from convolake.plans.review import review, review_prompts
 from convolake.schemas import PATHS, empty
 from convolake.session import ensure_checkpoint_dir, tune
 from convolake.sources import ingest as I
 from convolake.sources import ledger
-from convolake.sources.tables import State
+from convolake.sources.tables import State, load_state, read_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -342,6 +343,48 @@ def paths_added(t):
     return paths.add_paths(stored, again.unionByName(new)).drop("last_used")
 
 
+# -- stored tables --------------------------------------------------------------
+
+def _stored(t) -> str:
+    """Tables of two runs, the second one run twice: the distilled sessions first, then the others."""
+    root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    done = t.progress.select("session_id")
+    raw = t.session_logs.withColumn("session_id", F.regexp_extract("file_path", r"([^/]+)\.json$", 1))
+    for batch, how in ((0, "left_semi"), (1, "left_anti"), (1, "left_anti")):
+        run_pipeline(t.spark, root, raw.join(done, "session_id", how).drop("session_id"), batch, render=False)
+    return root
+
+
+@query(f"with {_PATH_TABLE} select path_id, path, project_path, use_count, cast(3 as bigint) version from pt",
+       "f_messages f_sessions f_progress")
+def run_published(t):
+    """The path table as the newest manifest names it, after a run that was repeated."""
+    root = _stored(t)
+    version = F.lit(read_snapshot(t.spark, root).version).cast("long")
+    return load_state(t.spark, root).paths.select("path_id", "path", "project_path", "use_count", version.alias("version"))
+
+
+@query(f"""
+with {_PATH_TABLE},
+p as (select coalesce(s.project_path, '?') project_path, count(distinct s.session_id) sessions, count(*) messages
+  from f_sessions s join f_messages m on m.session_id = s.session_id group by all),
+u as (select coalesce(project_path, '?') project_path, count(*) paths, cast(sum(use_count) as bigint) uses, cast(sum(path_id) as bigint) ids from pt group by all)
+select p.project_path, sessions, messages, coalesce(paths, 0) paths, coalesce(uses, 0) uses, coalesce(ids, 0) ids
+from p left join u on u.project_path = p.project_path""", "f_messages f_sessions f_progress")
+def reload_published(t):
+    """Totals per project of everything ingested again into a new root; path ids stay."""
+    root = _stored(t)
+    reload_pipeline(t.spark, root, t.session_logs, f"{root}-again")
+    state = load_state(t.spark, f"{root}-again")
+    project = F.coalesce("project_path", F.lit("?")).alias("project_path")
+    each = state.messages.groupBy("session_id").agg(F.count("*").alias("n"))
+    owned = state.sessions.join(each, "session_id").groupBy(project).agg(
+        F.count("*").alias("sessions"), F.sum("n").alias("messages"))
+    used = state.paths.groupBy(project).agg(
+        F.count("*").alias("paths"), F.sum("use_count").alias("uses"), F.sum("path_id").alias("ids"))
+    return owned.join(used, "project_path", "left").fillna(0, ["paths", "uses", "ids"])
+
+
 # -- watermarks and batches ---------------------------------------------------
 
 _FRESH = """fresh as (
