@@ -35,7 +35,7 @@ from . import words as W
 from .components import components
 from .scratch import Scratch
 
-COUNTERS = 1 << 20  # of n-gram frequencies, for the order of the columns
+COUNTERS = 1 << 24  # of n-gram frequencies, for the order of the columns
 SLICES = 64
 PARITY = [f"s{i}" for i in range(8)]  # 512 bits for each set: how many of its n-grams fall on a bit, modulo 2
 MEMBERS = 512  # rows compared with one leader in one block
@@ -82,45 +82,43 @@ def _bucket(grams: np.ndarray, n_counters: int) -> np.ndarray:
 
 
 def gram_counters(docs: DataFrame, rule: Rule, n_counters: int = COUNTERS) -> np.ndarray:
-    """Document frequencies of all n-grams, added up in ``n_counters`` counters (fixed size)."""
+    """Document frequencies of all n-grams, added up in ``n_counters`` counters, as eighths of a doubling.
+
+    One byte stands for a counter: frequencies are only compared.  What a task sends is
+    compressed, so a task of few n-grams sends little.
+    """
     width = n_counters // SLICES
 
+    def packed(parts: Iterator[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        rows = [(i, part.itemsize, pa.compress(part.tobytes(), codec="zstd", asbytes=True)) for i, part in parts]
+        kinds = (pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["slice", "bytes", "counts"])
+
+    def unpacked(n_bytes: int, raw: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(raw, n_bytes * width, codec="zstd"), np.uint8 if n_bytes == 1 else np.uint32)
+
     def count(batches):
-        total = np.zeros(n_counters, np.int64)
+        total, one = np.zeros(n_counters, np.uint32), np.uint32(1)
         for batch in batches:
-            held, room = [], 0
             for _, grams in gram_sets(batch.column(0), rule.n):
-                held.append(grams)
-                room += len(grams)
-                if room > W.CHUNK:
-                    total += np.bincount(_bucket(np.concatenate(held), n_counters), minlength=n_counters)
-                    held, room = [], 0
-            if held:
-                total += np.bincount(_bucket(np.concatenate(held), n_counters), minlength=n_counters)
-        parts = total.reshape(SLICES, width)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLICES), pa.int32()), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary())], ["slice", "counts"]
-        )
+                np.add.at(total, _bucket(grams, n_counters), one)
+        # slices of little numbers take one byte a counter
+        parts = ((i, p.astype(np.uint8) if p.max() < 256 else p) for i, p in enumerate(total.reshape(SLICES, width)) if p.any())
+        yield packed(parts)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[i] = sums.get(i, 0) + np.frombuffer(raw.as_buffer(), np.uint32).astype(np.uint64)
-        most = np.uint64(2**32 - 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, most).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())],
-            ["slice", "counts"],
-        )
-
-    slices = (
-        docs.select("text").mapInArrow(count, "slice int, counts binary")
-        .repartition("slice").mapInArrow(add, "slice int, counts binary")
-    )
-    counts = np.zeros((SLICES, width), np.uint32)
-    for i, raw in slices.collect():  # SLICES rows, 4 bytes for each counter
-        counts[i] = np.frombuffer(raw, np.uint32)
-    return counts.reshape(-1)
+            for i, n_bytes, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[i] = sums.get(i, 0) + unpacked(n_bytes, raw).astype(np.uint64)
+        yield packed((i, np.minimum(8 * np.log2(1.0 + s), 255).astype(np.uint8)) for i, s in sums.items())
+
+    kind = "slice int, bytes int, counts binary"
+    slices = docs.select("text").mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind)
+    levels = np.zeros((SLICES, width), np.uint8)
+    for i, n_bytes, raw in slices.collect():  # SLICES rows, at most a byte for each counter
+        levels[i] = unpacked(n_bytes, bytes(raw))
+    return levels.reshape(-1)
 
 
 def signatures(docs: DataFrame, rule: Rule, counters: np.ndarray) -> DataFrame:
@@ -130,7 +128,7 @@ def signatures(docs: DataFrame, rule: Rule, counters: np.ndarray) -> DataFrame:
     (``_apart`` makes ``node`` alone stand for it); ``prefix`` holds the columns that enter
     the product.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counters)  # 4 bytes for each counter
+    shared = docs.sparkSession.sparkContext.broadcast(counters)  # a byte for each counter
 
     def sign(batches):
         order = shared.value
@@ -204,8 +202,8 @@ def _shared(a: Column, b: Column) -> Column:
     return F.floor(F.least(a, b) / 40) + 1
 
 
-def _can_link(rule: Rule) -> Column:
-    """Whether an entry of two rows counts: sizes ``a_size, b_size``, places ``a_pos, b_pos``.
+def _can_link(rule: Rule, parity: list[str]) -> Column:
+    """Whether an entry of two rows counts: sizes ``a_size, b_size``, places ``a_pos, b_pos``, bits of ``parity``.
 
     Linked rows overlap in at least ``need`` columns, so of the first ``k`` shared ones none
     has more than ``size - need`` unshared columns before it.
@@ -213,7 +211,7 @@ def _can_link(rule: Rule) -> Column:
     a, b = F.col("a_size"), F.col("b_size")
     need = F.ceil((a + b) * rule.percent / (100 + rule.percent))
     k = _shared(a, b)
-    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in PARITY), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in parity), F.lit(0))
     return (
         (F.least(a, b) * 100 >= F.greatest(a, b) * rule.percent)
         & (F.col("a_pos") < a - need + k) & (F.col("b_pos") < b - need + k) & (differ <= a + b - 2 * need)
@@ -255,19 +253,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, rule: Rule, scratch: Scratch) ->
     )
 
 
-def _open_columns(index: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of the columns that hold more than one component, with each row's component."""
+def _open_columns(index: DataFrame, labels: DataFrame | None, parity: DataFrame) -> DataFrame:
+    """Rows of the columns that hold more than one component, with each row's component and parity.
+
+    The wide parity is added last, to the rows that are left.
+    """
     rows = index if labels is None else index.join(labels, "node", "left")
     rows = rows.withColumn("component", F.col("node") if labels is None else F.coalesce("component", "node"))
     columns = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return rows.join(columns.select("gram"), "gram")
+    return rows.join(columns.select("gram"), "gram").join(parity, "node")
 
 
-_ROW = ("node", "size", "pos", "component", *PARITY)
+_ROW = ("node", "size", "pos", "component")
+SOME = PARITY[:2]  # of the bits, for the leaders, whose rows travel once more
 
 
-def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("gram", *(F.col(c).alias(f"{side}_{c}") for c in _ROW))
+def _side(rows: DataFrame, side: str, parity: list[str]) -> DataFrame:
+    return rows.select("gram", *(F.col(c).alias(f"{side}_{c}") for c in (*_ROW, *parity)))
 
 
 def _overlapping(entries: DataFrame) -> DataFrame:
@@ -287,22 +289,22 @@ def _led(rows: DataFrame, rule: Rule, turn: int) -> DataFrame:
     ranks = [F.struct(-F.col("columns"), F.xxhash64("node", F.lit(turn)))] + [
         F.struct(F.xxhash64("node", F.lit(turn * LEADERS + i)), F.lit(0)) for i in range(1, LEADERS)]
     heads = rows.groupBy(F.col("gram").alias("at")).agg(
-        *(F.min(F.struct(rank.alias("rank"), F.struct(*_ROW).alias("row")))["row"].alias(f"leader{i}") for i, rank in enumerate(ranks)))
+        *(F.min(F.struct(rank.alias("rank"), F.struct(*_ROW, *SOME).alias("row")))["row"].alias(f"leader{i}") for i, rank in enumerate(ranks)))
     leaders = F.array_distinct(F.array(*(f"leader{i}" for i in range(LEADERS))))
     heads = heads.select("at", leaders.alias("leaders"), F.transform(leaders, lambda x: x["node"]).alias("nodes"))
-    b = _side(rows, "b")
+    b = _side(rows, "b", SOME)
     met = b.join(heads, b["gram"] == heads["at"]).select(
         *(c for c in b.columns if c != "gram"), F.array_contains("nodes", F.col("b_node")).alias("leads"), F.explode("leaders").alias("a"))
-    met = met.select(*(c for c in b.columns if c != "gram"), "leads", *(F.col(f"a.{c}").alias(f"a_{c}") for c in _ROW))
+    met = met.select(*(c for c in b.columns if c != "gram"), "leads", *(F.col(f"a.{c}").alias(f"a_{c}") for c in (*_ROW, *SOME)))
     once = ~F.col("leads") | (F.col("a_node") < F.col("b_node"))  # two leaders meet once
-    return _overlapping(met.where((F.col("a_component") != F.col("b_component")) & once & _can_link(rule)))
+    return _overlapping(met.where((F.col("a_component") != F.col("b_component")) & once & _can_link(rule, SOME)))
 
 
 def _product(rows: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of the product between rows of different components, above the diagonal."""
-    a, b = _side(rows, "a"), _side(rows, "b")
+    a, b = _side(rows, "a", PARITY), _side(rows, "b", PARITY)
     return _overlapping(a.join(
-        b, (a["gram"] == b["gram"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & _can_link(rule)))
+        b, (a["gram"] == b["gram"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & _can_link(rule, PARITY)))
 
 
 def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, leader_turns: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -322,7 +324,7 @@ def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, leader_turns:
     able = scratch.table(
         taking_part.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), *(F.min(s).alias(s) for s in PARITY))
         .join(able, "node"))
-    index = scratch.table(met.join(able.drop("rep"), "node"))
+    index = scratch.table(met.join(able.select("node", "columns"), "node"))
     scratch.drop(met)
     texts = scratch.table(
         docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
@@ -332,7 +334,7 @@ def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, leader_turns:
 
     labels = None
     for turn in [*range(leader_turns), None]:
-        rows = _open_columns(index, labels)
+        rows = _open_columns(index, labels, able.select("node", *PARITY))
         pairs = scratch.table(_product(rows, rule) if turn is None else _led(rows, rule, turn))
         found = scratch.table(_verify(pairs, texts, rule, scratch))
         if turn is None or turn == 0 or not found.isEmpty():
