@@ -186,7 +186,8 @@ def test_removal_of_all_documents(spark):
 def test_windows_of_one_short_hash_stay_apart(spark):
     rows = [(5, 1, 1, 0, 0, 1), (5, 2, 2, 0, 0, 1), (6, 3, 1, 0, 4, 1), (6, 3, 2, 0, 9, 1)]
     level = spark.createDataFrame(rows, "h long, g int, doc long, tag int, pos int, weight int")
-    assert {r["doc"]: r["at"] for r in substring_dedup._repeated(level).collect()} == {1: [4], 2: [9]}
+    with Scratch(spark) as scratch:
+        assert {r["doc"]: r["at"] for r in substring_dedup._repeated(level, scratch).collect()} == {1: [4], 2: [9]}
     again, lead = substring_dedup._within(np.zeros(4, np.int64), np.array([5, 5, 6, 6]), np.array([1, 2, 3, 3]))
     assert again.tolist() == [False, False, True, True] and lead.tolist() == [False, False, True, False]
 
