@@ -2,56 +2,163 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..schemas import RULES, conform
-from ..session import pin
+from ..session import pin, write_down
 from .filters import like_filter
 
 NEAR_CHARS = 50  # a rule whose first characters occur inside another one repeats it
-_GRAM = 8
-_STRETCH = 1000
+_FILTER_BITS = 26  # the filter of wanted starts has 2 ** 26 bits, 8 MB, whatever their number
+_SLICES = 64
+_BLOCK = 1 << 18  # characters looked at in one step
+_BASE, _MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
+
+
+def _codes(raw: bytes) -> np.ndarray:
+    text = raw.decode("utf-8", "surrogateescape")
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _hashes(codes: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length the hashes of all stretches of that length, by place."""
+    power = {1 << k: np.uint64(pow(_BASE, 1 << k, 1 << 64)) for k in range(NEAR_CHARS.bit_length())}
+    whole = {1: (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX)}
+    for k in range(1, NEAR_CHARS.bit_length()):
+        width, half = 1 << k, 1 << (k - 1)
+        n = max(len(codes) - width + 1, 0)
+        whole[width] = whole[half][:n] * power[half] + whole[half][half:half + n]
+    for length in lengths:
+        n, at, got = len(codes) - length + 1, 0, None
+        if n <= 0:
+            continue
+        for k in reversed(range(length.bit_length())):
+            if length >> k & 1:
+                piece = whole[1 << k][at:at + n]
+                got = piece if got is None else got * power[1 << k] + piece
+                at += 1 << k
+        yield length, got
+
+
+def _place(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes mixed once more, their places in the filter)."""
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(_BASE)
+    return mixed, mixed >> np.uint64(64 - _FILTER_BITS)
+
+
+def _start_filter(wanted: DataFrame) -> bytes:
+    """Bits for all wanted starts: tasks fill filters of their own, which are united by slices."""
+    size = (1 << _FILTER_BITS) // 8
+    schema = "slice int, bits binary"
+
+    def rows(slices: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(slices), pa.int32()), pa.array([x.tobytes() for x in slices.values()], pa.binary())], ["slice", "bits"])
+
+    def fill(batches):
+        marked = np.zeros(size, np.uint8)
+        for batch in batches:
+            for project, raw in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist()):
+                codes = _codes(raw)
+                for _, got in _hashes(codes, [len(codes)]):
+                    mixed = (got ^ project) * np.uint64(_MIX)
+                    for _ in range(4):
+                        mixed, at = _place(mixed)
+                        marked[at >> np.uint64(3)] |= np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+        parts = marked.reshape(_SLICES, -1)
+        yield rows({i: parts[i] for i in range(_SLICES) if parts[i].any()})
 
+    def unite(batches):
+        joined: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                joined[i] = joined.get(i, 0) | np.frombuffer(raw.as_buffer(), np.uint8)
+        yield rows(joined)
 
-def _grams(rules: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Every gram of the sizes in use, with the text that follows it: (…, gram, rest).
+    keys = wanted.where(F.col("project_path").isNotNull()).select(F.xxhash64("project_path"), F.col("start").cast("binary"))
+    slices = keys.mapInArrow(fill, schema).repartition("slice").mapInArrow(unite, schema)
+    bits, width = bytearray(size), size // _SLICES
+    for i, raw in slices.collect():
+        bits[i * width:(i + 1) * width] = raw
+    return bytes(bits)
 
-    Long texts are cut into overlapping stretches first, so that taking a gram
-    never scans a long text from its start.
+
+def _candidates(rules: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``rules`` once for each ``start`` that they contain and that is probably wanted.
+
+    Each task hashes every stretch of its texts that is as long as some start, and goes on
+    with those in the filter: no row for each character leaves it.
     """
-    step = _STRETCH
-    starts = F.sequence(F.lit(1), F.greatest(F.length("folded"), F.lit(1)), F.lit(step))
-    cut = F.transform(starts, lambda at: F.substr("folded", at, F.lit(step + NEAR_CHARS - 1)))
-    stretches = rules.withColumn("stretch", F.explode(cut)).drop("folded").join(sizes, "project_path")
-    places = F.sequence(F.lit(1), F.least(F.length("stretch"), F.lit(step)))
-    rests = F.array_distinct(F.transform(places, lambda at: F.substr("stretch", at, F.lit(NEAR_CHARS))))
-    return (
-        stretches.withColumn("rest", F.explode(rests)).drop("stretch")
-        .where(F.length("rest") >= F.col("size"))
-        .withColumn("gram", F.substr("rest", F.lit(1), F.col("size"))).drop("size")
-    )
+    lengths = sorted(r[0] for r in wanted.select(F.length("start")).distinct().collect() if r[0])  # at most 50
+    bits = _start_filter(wanted)
+    keep = [c for c in rules.columns if c != "folded"]
+    texts = rules.where(F.col("project_path").isNotNull() & F.col("folded").isNotNull()).select(
+        *keep, F.xxhash64("project_path").alias("_project"), F.col("folded").cast("binary").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rules.schema if f.name in keep)
+
+    def probable(hashes: np.ndarray, project: np.ndarray) -> np.ndarray:
+        known = np.frombuffer(bits, np.uint8)
+        left = np.arange(len(hashes))
+        mixed = (hashes ^ project) * np.uint64(_MIX)
+        for _ in range(4):
+            mixed, at = _place(mixed)
+            some = (known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            left, mixed = left[some], mixed[some]
+        return left
+
+    def stretches(batch):
+        """Stretches of texts, overlapping by one start: (row, codes)."""
+        for row, raw in enumerate(batch.column(len(keep) + 1).to_pylist()):
+            codes = _codes(raw)
+            for low in range(0, max(len(codes), 1), _BLOCK):
+                yield row, codes[low:low + _BLOCK + NEAR_CHARS - 1]
+
+    def find(batches):
+        for batch in batches:
+            projects = batch.column(len(keep)).to_numpy().view(np.uint64)
+            found: set[tuple[int, bytes]] = set()
+            block: list[tuple[int, np.ndarray]] = []
+
+            def look():
+                codes = np.concatenate([c for _, c in block])
+                sizes = [len(c) for _, c in block]
+                of = np.repeat([row for row, _ in block], sizes)
+                end = np.repeat(np.cumsum(sizes), sizes)
+                for length, got in _hashes(codes, lengths):
+                    n = len(got)
+                    for at in probable(got, projects[of[:n]]).tolist():
+                        if at + length <= end[at]:
+                            piece = codes[at:at + length].tobytes().decode("utf-32-le", "surrogatepass")
+                            found.add((int(of[at]), piece.encode("utf-8", "surrogateescape")))
+                block.clear()
+
+            for one in stretches(batch):
+                block.append(one)
+                if sum(len(c) for _, c in block) >= _BLOCK:
+                    look()
+            if block:
+                look()
+            rows = sorted(found)
+            taken = batch.select(list(range(len(keep)))).take(pa.array([r for r, _ in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array([p for _, p in rows], pa.binary())], [*keep, "start"])
+
+    return texts.mapInArrow(find, f"{schema}, start binary").withColumn("start", F.col("start").cast("string"))
 
 
 def _containing(rules: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``rules`` (with ``folded``) once for each wanted ``start`` they contain.
 
-    Texts are cut into grams; where one equals the first characters of wanted
-    starts, pieces as long as those starts are compared by an equality join.  The
-    work grows with the text, never with pairs of rules.
+    Tasks pick the stretches of their texts that a filter of fixed size takes for starts; an
+    equality join keeps those that are.  The work grows with the text, the rows that move
+    with the starts that occur.
     """
-    keyed = wanted.withColumn("gram", F.substring("start", 1, _GRAM))
-    sizes = keyed.select("project_path", F.length("gram").alias("size")).distinct()
-    lengths = keyed.groupBy("project_path", "gram").agg(  # at most 50 different lengths
-        F.collect_set(F.length("start")).alias("lengths"))
-    pieces = (
-        _grams(rules, sizes).join(lengths, ["project_path", "gram"])
-        .withColumn("n", F.explode("lengths")).where(F.length("rest") >= F.col("n"))
-        .withColumn("start", F.substr("rest", F.lit(1), F.col("n")))
-        .drop("gram", "rest", "lengths", "n")
-    )
-    return pieces.join(wanted, ["project_path", "start"], "left_semi").distinct()
+    return _candidates(rules, wanted).join(wanted, ["project_path", "start"], "left_semi").distinct()
 
 
 def dedup_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
@@ -72,9 +179,10 @@ def dedup_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
         .withColumn("start", F.substring("folded", 1, NEAR_CHARS))
         .withColumn("same", strip(F.col("folded")))
     )
+    offered = write_down(offered)
     stored = rules.select("project_path", fold.alias("folded"))
     stored_same = stored.select("project_path", strip(F.col("folded")).alias("same")).distinct()
-    wanted = offered.select("project_path", "start").distinct()
+    wanted = write_down(offered.select("project_path", "start").distinct())
     stored_starts = _containing(stored, wanted).select("project_path", "start").distinct()
     open_rules = pin(
         offered.join(stored_same, ["project_path", "same"], "left_anti")
@@ -82,7 +190,7 @@ def dedup_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
     )
     holders = pin(_containing(
         open_rules.select("project_path", "rule_seq", "folded"),
-        open_rules.select("project_path", "start").distinct(),
+        write_down(open_rules.select("project_path", "start").distinct()),
     ))
     state = open_rules.select("project_path", "rule_seq", "start", "same",
                               F.lit(None).cast("boolean").alias("accepted"))

@@ -53,3 +53,18 @@ def test_add_and_clear(spark):
     assert got == [("/a/api", 1, "first", "manual"), ("/a/api", 2, "third", "manual"), ("/a/web", 1, "second", "manual")]
     assert [r.rule_text for r in R.clear_rules(rules, "API").collect()] == ["second"]
     assert R.clear_rules(rules).count() == 0
+
+
+def test_only_starts_leave_a_text(spark):
+    """No row per character: long texts give the starts they hold, also over the ends of the steps."""
+    start = "Größe " + "x" * 43 + "é"
+    text = "ab " * 100_000 + start + " tail"
+    rules = spark.createDataFrame([("p", 1, text), ("q", 2, text), ("p", 3, None), (None, 4, text)],
+                                  "project_path string, rule_seq long, folded string")
+    wanted = spark.createDataFrame([("p", start), ("p", "tail"), ("q", "no such"), ("p", "b a")], "project_path string, start string")
+    assert R._candidates(rules, wanted).count() < 20
+    found = sorted((r.project_path, r.rule_seq, r.start) for r in R._containing(rules, wanted).collect())
+    assert found == sorted([("p", 1, start), ("p", 1, "tail"), ("p", 1, "b a")])
+    for at in (R._BLOCK - 49, R._BLOCK - 25, R._BLOCK):
+        split = spark.createDataFrame([("p", 1, "y" * at + start)], rules.schema)
+        assert [r.start for r in R._containing(split, wanted).collect()] == [start]
