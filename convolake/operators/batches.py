@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import preview, truncate_salient
+from ..session import write_down
 from .ranking import first_n, group_index
 
 # Sizes of a batch, of a session's share and of single texts in a prompt.
@@ -37,7 +38,8 @@ CAPS = PromptCaps()
 WHOLE = PromptCaps(None, None, None, None, None, None)
 
 PART_LINES = 100  # skills or rules in one part of a prompt's section
-BATCHES_PER_COPY = 64  # batches of a project that share one copy of its sections
+BATCHES_PER_COPY = 64  # batches of a project that share one copy of its sections, at least
+COPIES = 16  # copies of a project's sections at most, so that what travels grows with the lists
 
 SKILLS_HEADER = "\n\nSKILLS:\n\n"
 RULES_HEADER = "\n\nRULES:\n\n"
@@ -217,9 +219,42 @@ def prompt_sections(skills: DataFrame, rules: DataFrame, per_part: int = PART_LI
         "rules", [*first, F.asc("rule_seq")], RULES_HEADER, "\n", numbered))
 
 
-def fill_text(template: str, slots: dict[str, str]) -> str:
-    """``fill_template`` for ready texts."""
-    return re.sub(r"\{(\w+)\}", lambda m: slots.get(m[1], m[0]), template)
+def with_share(batches: DataFrame) -> DataFrame:
+    """Add ``share``: neighbouring batches of a project that read one copy of its sections."""
+    last = batches.groupBy("project_path").agg(F.max("batch_no").alias("_last"))
+    width = F.greatest(F.lit(BATCHES_PER_COPY), F.ceil((F.col("_last") + 1) / COPIES))
+    return batches.join(last, "project_path", "left").withColumn(
+        "share", F.floor(F.col("batch_no") / width)).drop("_last")
+
+
+@dataclass(frozen=True)
+class Prompt:
+    """A prompt as the texts it consists of, in order.
+
+    The lists that the prompts of a project share are texts of their own and the same objects
+    in all of them; ``str`` puts the whole prompt together.
+    """
+
+    texts: tuple[str, ...]
+
+    def __str__(self) -> str:
+        return "".join(self.texts)
+
+    def __len__(self) -> int:
+        return sum(map(len, self.texts))
+
+
+def fill_parts(template: str, slots: dict[str, str], shared: dict[str, tuple[str, ...]]) -> Prompt:
+    """``fill_template`` for ready texts; those of ``shared`` slots are not copied."""
+    texts, own = [], []
+    for piece in re.split(r"(\{\w+\})", template):
+        name = piece[1:-1] if piece.startswith("{") else None
+        if name in shared:
+            texts.extend(("".join(own), *shared[name]))
+            own = []
+        else:
+            own.append(slots.get(name, piece) or "")
+    return Prompt(tuple(t for t in (*texts, "".join(own)) if t))
 
 
 def fill_template(template: str, slots: dict[str, Column]) -> Column:
@@ -235,6 +270,9 @@ def build_prompts(batches: DataFrame, skills: DataFrame, rules: DataFrame, templ
                   max_prompt_chars: int | None = None) -> DataFrame:
     """One whole prompt per batch: the dry run.  Runs use ``prompt_sections`` instead.
 
+    The lists travel once per ``share``, and a task holds one prompt at a time; all prompts
+    together are as long as batches times lists.
+
     With a limit, a prompt over ``max_prompt_chars`` is NULL with an ``error``, like a call the
     model refused: its batch fails and its marks stay.
     """
@@ -242,7 +280,10 @@ def build_prompts(batches: DataFrame, skills: DataFrame, rules: DataFrame, templ
         "project_path", F.col("text").alias("_skills"), F.col("chars").alias("_skill_chars"))
     learned = format_rules(rules, max_prompt_chars).select(
         "project_path", F.col("text").alias("_rules"), F.col("chars").alias("_rule_chars"))
-    joined = batches.join(known, "project_path", "left").join(learned, "project_path", "left")
+    keys = ["project_path", "share"]
+    asked = with_share(write_down(batches))
+    told = asked.select(*keys).distinct().join(known, "project_path", "left").join(learned, "project_path", "left")
+    joined = asked.join(told, keys, "left")
     none = F.lit("")
     chars = (
         F.lit(len(template)) + F.length("conversations")

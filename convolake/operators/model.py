@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..functions.answers import answer_items, answer_objects, rule_text, skill_fields
-from .batches import BATCHES_PER_COPY, fill_text
+from .batches import fill_parts, with_share
 
 _SCHEMA = "project_path string, batch_no long, raw string, error string"
 
@@ -42,46 +42,60 @@ def run_model(prompts: DataFrame, model_fn: Callable[[list[str]], list[str]],
     return asked.mapInPandas(answer, _SCHEMA)
 
 
+def takes_parts(model_fn):
+    """Mark a model function that wants ``batches.Prompt``s instead of whole texts.
+
+    For models that keep what they made of a text they have read: the lists of a project,
+    which are most of its prompts, are then neither copied nor read anew for every batch.
+    """
+    model_fn.takes_parts = True
+    return model_fn
+
+
 def ask_model(batches: DataFrame, sections: DataFrame, template: str, model_fn: Callable[[list[str]], list[str]],
               parallelism: int | None = None, max_prompt_chars: int | None = None) -> DataFrame:
     """``run_model`` for prompts that are put together in the task that sends them.
 
-    The parts of ``sections`` (``batches.prompt_sections``) travel once for every
-    ``BATCHES_PER_COPY`` batches of a project, and a task holds those of one project at a
-    time; the batches of a large project are many tasks.  With a limit, a longer prompt
-    is an error of its batch.
+    The parts of ``sections`` (``batches.prompt_sections``) travel once per ``share`` of a
+    project's batches, and a task holds those of one project at a time; the batches of a
+    large project are many tasks.  ``model_fn`` gets whole texts, or ``Prompt``s when it is
+    marked by ``takes_parts``.  With a limit, a longer prompt is an error of its batch.
     """
-    share = F.floor(F.col("batch_no") / BATCHES_PER_COPY)
-    asked = batches.select("project_path", share.alias("share"), F.lit("").alias("section"), "batch_no",
+    in_parts = getattr(model_fn, "takes_parts", False)
+    keys = ["project_path", "share"]
+    batches = with_share(batches)
+    asked = batches.select(*keys, F.lit("").alias("section"), "batch_no",
                            F.col("conversations").alias("text"), F.lit(1).alias("kind"))
     told = asked.select("project_path", "share").distinct().join(sections, "project_path").select(
         "project_path", "share", "section", F.col("part_no").alias("batch_no"), "text", F.lit(0).alias("kind"))
-    keys = ["project_path", "share"]
     rows = asked.unionByName(told)
     rows = rows.repartition(parallelism, *keys) if parallelism else rows.repartition(*keys)
 
     def answer(frames):
-        current, parts = None, {}
+        current, parts, shared = None, {}, None
         for frame in frames:
             ready: list[tuple] = []
             out: list[tuple] = []
+            held = 0
             for project, share_no, section, number, text, kind in frame.itertuples(index=False):
                 if (project, share_no) != current:
-                    current, parts = (project, share_no), {"skills": [], "rules": []}
+                    current, parts, shared = (project, share_no), {"skills": [], "rules": []}, None
                 if kind == 0:
                     parts[section].append(text)
                     continue
-                skills_text, rules_text = "".join(parts["skills"]), "".join(parts["rules"])
-                prompt = fill_text(template, {
-                    "project": project, "conversations": text, "existing_skills_section": skills_text + rules_text,
-                    "skills_text": skills_text, "rules_text": rules_text})
+                if shared is None:
+                    lists = {section: "".join(parts.pop(section)) for section in ("skills", "rules")}
+                    shared = {"existing_skills_section": (lists["skills"], lists["rules"]),
+                              "skills_text": (lists["skills"],), "rules_text": (lists["rules"],)}
+                prompt = fill_parts(template, {"project": project, "conversations": text}, shared)
                 if max_prompt_chars is not None and len(prompt) > max_prompt_chars:
                     out.append((project, number, None, "prompt too long"))
                     continue
-                ready.append((project, number, prompt))
-                if len(ready) == 32 or sum(len(p) for _, _, p in ready) > 1_000_000:
+                ready.append((project, number, prompt if in_parts else str(prompt)))
+                held += len(text) if in_parts else len(prompt)
+                if len(ready) == 32 or held > 1_000_000:
                     out.extend(_answers(ready, model_fn))
-                    ready = []
+                    ready, held = [], 0
             out.extend(_answers(ready, model_fn))
             yield pd.DataFrame(out, columns=["project_path", "batch_no", "raw", "error"])
 

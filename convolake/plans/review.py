@@ -54,7 +54,7 @@ def review_prompts(state: State, template: str, project: str | None = None,
 def review(state: State, model_fn: ModelFn, template: str, project: str | None = None,
            parallelism: int | None = None, as_of: Column | None = None) -> ReviewResult:
     sections = B.prompt_sections(project_filter(state.skills, project), state.rules.limit(0))
-    answers = write_down(ask_model(review_batches(state, project), sections, template, model_fn, parallelism))
+    answers = write_down(ask_model(write_down(review_batches(state, project)), sections, template, model_fn, parallelism))
     accepted = pin(dedup_rules(state.rules, rule_items(parse_items(answers))))
     rules = add_rules(state.rules, accepted, as_of=as_of)
     reached = answer_status(answers).join(

@@ -212,3 +212,42 @@ def test_review_adds_rules(spark):
     got = sorted((r.project_path, r.rule_text, r.rule_seq > 4, r.source) for r in result.rules.collect())
     assert got == [("/p/none", " keep TESTS ", False, "review"), ("/p/none", "new", False, "review"), ("/p/one", "Keep tests", False, "review"), ("/p/one", "new", True, "review")]
     assert {r.stat: r.n for r in result.stats.collect()} == {"projects": 2, "rules_added": 3, "rules_total": 4}
+
+
+def test_lists_of_a_prompt_are_read_once(spark):
+    """A model that takes parts gets the same prompts, with one object for the lists of all batches of a copy."""
+    batches = spark.createDataFrame([("p", n, f"talk {n}") for n in range(40)], "project_path string, batch_no long, conversations string")
+    sections = spark.createDataFrame(
+        [("p", "skills", n, f"\nskill {n}") for n in range(3)] + [("p", "rules", 0, "\nrule")],
+        "project_path string, section string, part_no long, text string")
+    told = "{project}: {conversations}{existing_skills_section} end {x}"
+
+    def whole(prompts):
+        return [str(p) for p in prompts]
+
+    @M.takes_parts
+    def parts(prompts):
+        shared = {id(text) for p in prompts for text in p.texts[1:3]}
+        return [f"{p}|{len(p) == len(str(p))}|{len(shared)}" for p in prompts]
+
+    asked = {r.batch_no: r.raw for r in M.ask_model(batches, sections, told, whole).collect()}
+    assert asked[7] == "p: talk 7\nskill 0\nskill 1\nskill 2\nrule end {x}" and len(asked) == 40
+    assert {r.batch_no: r.raw for r in M.ask_model(batches, sections, told, parts).collect()} == {
+        n: f"{text}|True|2" for n, text in asked.items()}
+
+
+def test_copies_of_lists_do_not_grow_with_batches(spark):
+    few = B.with_share(spark.range(200).selectExpr("'p' project_path", "id batch_no"))
+    assert few.select("share").distinct().count() == 4
+    many = B.with_share(spark.range(50_000).selectExpr("'p' project_path", "id batch_no"))
+    assert many.select("share").distinct().count() == B.COPIES
+
+
+def test_long_prompts_leave_the_writer_at_once(spark, tmp_path):
+    """Twenty rows of eight million characters are not gathered before the writer looks at its size."""
+    import pyarrow.parquet as pq
+
+    spark.range(20, numPartitions=1).selectExpr("id", "concat_ws(',', transform(sequence(0, 999999), x -> hash(x, id))) t").select(
+        "id", "t").write.parquet(str(tmp_path / "p"))
+    file = next((tmp_path / "p").glob("*.parquet"))
+    assert pq.ParquetFile(file).num_row_groups > 1

@@ -735,18 +735,36 @@ def normalize_skills(t):
                        F.array_join("files_read", ",").alias("files"))
 
 
+def _kept(read):
+    """``read`` of a text, kept for the few texts that were read last."""
+    kept = {}
+
+    def of(text):
+        if text not in kept:
+            if len(kept) == 3:  # two lists and what follows them
+                kept.clear()
+            kept[text] = read(text)
+        return kept[text]
+    return of
+
+
 def _stub():
     """A model stand-in: one skill named after the first session of a prompt, one shared by all."""
+    def sessions_of(text):
+        import re
+        return re.findall(r"^--- Session (\S+) ---$", text, re.M)
+    in_list = _kept(sessions_of)
+
     def answer(prompts):
         import json
-        import re
         out = []
         for prompt in prompts:
-            sessions = re.findall(r"^--- Session (\S+) ---$", prompt, re.M)
+            own, *lists = prompt.texts  # no line reaches over an end of these texts
+            sessions = [*sessions_of(own), *(s for text in lists for s in in_list(text))]
             out.append(json.dumps([{"title": f"From {sessions[0]}", "steps": ["first", sessions[0]]},
                                    {"title": "Shared", "steps": sessions[-1], "tags": ["stub"], "type": "bugfix"}]))
         return out
-    return answer
+    return model.takes_parts(answer)
 
 
 _DISTILLED = f"""{_ASSIGNED}, b as (
@@ -791,12 +809,20 @@ def distill_sequential(t):
 
 def _counting_stub():
     """A model stand-in: one skill per prompt whose steps are the number of skills it was shown."""
+    def skills_of(text):
+        return text.count("[skill_id=")
+    in_list = _kept(skills_of)
+
     def answer(prompts):
         import json
         import re
-        return [json.dumps([{"title": f"From {re.findall(r'^--- Session (.+) ---$', p, re.M)[0]}", "steps": str(p.count("[skill_id="))}])
-                for p in prompts]
-    return answer
+        out = []
+        for prompt in prompts:
+            own, *lists = prompt.texts
+            first = re.search(r"^--- Session (.+) ---$", own, re.M)[1]  # conversations come before the lists
+            out.append(json.dumps([{"title": f"From {first}", "steps": str(skills_of(own) + sum(map(in_list, lists)))}]))
+        return out
+    return model.takes_parts(answer)
 
 
 _SEEN = """
