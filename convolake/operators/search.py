@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from .ranking import first_n
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 MAX_FEATURES = 5000
 THRESHOLD = 0.05
+BROADCAST_ROWS = 1_000_000  # words of all queries up to which every task gets them
 
 # The English stop words that Spark's StopWordsRemover ships.
 ENGLISH_STOP_WORDS = (
@@ -100,14 +104,35 @@ def _ranked() -> list[Column]:
 
 
 def _term_counts(corpus: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """(type, id, term, tf): counted in the task that reads a document, then moved once."""
-    found = explode_terms(corpus, "text", stop_words, "type", "id")
-    return found.groupBy("type", "id", "term").agg(F.count("*").alias("tf"))
+    """(type, id, terms): one row per document with its terms and how often each occurs.
+
+    The texts of rows that share an id are one document.  Texts move once; a row per
+    document and term never does.
+    """
+    documents = corpus.groupBy("type", "id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    found = documents.select("type", "id", _words("text", stop_words).alias("words")).where(F.size("words") > 0)
+
+    def count(batches):
+        for batch in batches:
+            counted = [list(Counter(words).items()) for words in batch.column(2).to_pylist()]
+            ends = [0, *accumulate(map(len, counted))]
+            pairs = pa.StructArray.from_arrays(
+                [pa.array([t for c in counted for t, _ in c], pa.string()), pa.array([n for c in counted for _, n in c], pa.int64())],
+                ["term", "tf"])
+            terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms], ["type", "id", "terms"])
+
+    return found.mapInArrow(count, "type string, id string, terms array<struct<term:string,tf:long>>")
+
+
+def _each_term(postings: DataFrame, *keep: str) -> DataFrame:
+    """One row per document and term, for use inside the task that reads the document."""
+    return postings.select(*keep, F.explode("terms").alias("t")).select(*keep, "t.term", "t.tf")
 
 
 def _statistics(postings: DataFrame) -> DataFrame:
     """(term, total, df) over all documents."""
-    return postings.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    return _each_term(postings).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
 
 
 def _frequent(terms: DataFrame, max_features: int) -> DataFrame:
@@ -169,7 +194,7 @@ def search(corpus: DataFrame, query: str, project: str | None = None, limit: int
 
 @dataclass
 class SearchIndex:
-    """Postings (type, id, term, tf), term statistics (term, total, df), the most
+    """Postings (type, id, terms) by document, term statistics (term, total, df), the most
     frequent terms of these, and the corpus size."""
 
     postings: DataFrame
@@ -249,22 +274,25 @@ def search_batch(corpus: DataFrame, index: SearchIndex, queries: DataFrame, limi
     query_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
     pushed = moves.where(~F.col("enters")).join(F.broadcast(index.vocabulary), "term").select(
         "query_id", "term", F.lit(0.0).alias("dot"), (-F.pow(b, 2)).alias("shift"))
-    changes = asked.select("query_id", "term", (F.col("bq") * F.col("q")).alias("dot"), "shift").unionByName(pushed)
+    changes = pin(
+        asked.select("query_id", "term", (F.col("bq") * F.col("q")).alias("dot"), "shift").unionByName(pushed)
+        .join(query_norms, "query_id"))
+    asked_for = F.broadcast(changes) if changes.count() <= BROADCAST_ROWS else changes
 
     weights = F.broadcast(index.vocabulary.select("term", b.alias("b")))
-    norms = index.postings.join(weights, "term").groupBy("type", "id").agg(
+    norms = _each_term(index.postings, "type", "id").join(weights, "term").groupBy("type", "id").agg(
         F.sum(F.pow(F.col("tf") * F.col("b"), 2)).alias("norm2"))
+    # documents lie by id with their norms, so a query's score of one is complete in one task
+    documents = index.postings.join(norms, ["type", "id"], "left")
     tf = F.col("tf")
-    hits = (
-        index.postings.join(changes, "term")
-        .groupBy("query_id", "type", "id")
-        .agg(F.sum(tf * F.col("dot")).alias("dot"), F.sum(tf * tf * F.col("shift")).alias("shift"))
-        .where(F.col("dot") > 0)
-    )
     # a document may hold nothing but words that entered, so it may have no norm yet
     norm = F.sqrt(F.coalesce("norm2", F.lit(0.0)) + F.col("shift"))
     scored = (
-        hits.join(norms, ["type", "id"], "left").join(query_norms, "query_id")
+        _each_term(documents, "type", "id", "norm2").join(asked_for, "term")
+        .groupBy("type", "id", "query_id")
+        .agg(F.sum(tf * F.col("dot")).alias("dot"), F.sum(tf * tf * F.col("shift")).alias("shift"),
+             F.max("norm2").alias("norm2"), F.max("q_norm").alias("q_norm"))
+        .where(F.col("dot") > 0)
         .select("query_id", "type", "id", (F.col("dot") / (norm * F.col("q_norm"))).alias("score"))
         .where(F.col("score") >= threshold)
     )

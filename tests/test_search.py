@@ -82,3 +82,16 @@ def test_corpus(spark):
     assert S.build_corpus(skills, messages, sessions, "skills").count() == 1
     with pytest.raises(ValueError):
         S.build_corpus(skills, messages, sessions, "other")
+
+
+def test_index_has_one_row_per_document(spark):
+    """Rows of one id are one document, and documents, not their words, are what is stored and moved."""
+    df = corpus_of(spark, [("message", "a", "alpha Beta alpha"), ("message", "a", "beta gamma"), ("message", "b", None), ("skill", "a", "alpha")])
+    index = S.build_index(df)
+    got = {(r.type, r.id): {t.term: t.tf for t in r.terms} for r in index.postings.collect()}
+    assert got == {("message", "a"): {"alpha": 2, "beta": 2, "gamma": 1}, ("skill", "a"): {"alpha": 1}}
+    assert {r.term: (r.total, r.df) for r in index.terms.collect()} == {"alpha": (3, 2), "beta": (2, 1), "gamma": (1, 1)}
+
+
+def corpus_of(spark, rows):
+    return spark.createDataFrame(rows, "type string, id string, text string")
