@@ -60,11 +60,16 @@ def read_session_logs(spark: SparkSession, root: str, modified_after: str | None
     return _with_project(_read(spark, f"{root}/{LOG_FILES}", modified_after), spark, root)
 
 
-def read_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """The rows of ``read_session_logs`` of the named files only."""
-    if not names:
-        return _with_project(spark.createDataFrame([], _RAW), spark, root)
-    return _with_project(_located(spark.read.option("wholetext", True).text(names)), spark, root)
+def read_files(spark: SparkSession, root: str, names: list[str], folders: list[str] = (), pattern: str = "*") -> DataFrame:
+    """The rows of ``read_session_logs`` of the named files only, and of the ``pattern`` files of ``folders``."""
+    reader = spark.read.option("wholetext", True)
+    parts = [_located(reader.text(names))] if names else []
+    if folders:
+        parts.append(_located(reader.option("pathGlobFilter", pattern).text(folders)))
+    raw = parts[0] if parts else spark.createDataFrame([], _RAW)
+    for part in parts[1:]:
+        raw = raw.unionByName(part)
+    return _with_project(raw, spark, root)
 
 
 def stream_session_logs(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:

@@ -228,8 +228,10 @@ def logs_polled(t):
     polled = []
     for wave in (0, 1, None):
         if wave is not None:
-            one_each = bodies.where(odd == wave).select(F.col("body").alias("value")).repartition(8)
-            one_each.write.option("maxRecordsPerFile", 1).text(f"{root}/w{wave}/chatSessions")
+            one_each = bodies.where(odd == wave).select(F.col("body").alias("value")).repartition(
+                max(8, t.spark.sparkContext.defaultParallelism))
+            # tasks put their files in place themselves, not the driver one by one
+            one_each.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(f"{root}/w{wave}/chatSessions")
         raw, seen = ledger.read_changed_logs(t.spark, root, ledger.read_ledger(t.spark, store), "*/chatSessions/*.txt")
         if wave is not None:
             ledger.write_ledger(seen, store, wave)
