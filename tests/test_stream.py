@@ -324,3 +324,35 @@ def test_tables_without_manifest_are_taken_over(spark, tmp_path):
     run.append("sessions", conform(spark.range(1).selectExpr("'b' session_id"), SESSIONS))
     run.publish()
     assert load_state(spark, store).sessions.count() == 2 and load_state(spark, store).skills.count() == 1
+
+
+def test_new_folders_are_read_as_folders(spark, tmp_path, monkeypatch):
+    """Files of a folder without a known file are not named one by one; in other folders new ones are."""
+    asked = []
+    read = ledger.read_files
+
+    def spy(spark, root, names, folders=(), pattern="*"):
+        asked.append((len(names), len(folders)))
+        return read(spark, root, names, folders, pattern)
+
+    monkeypatch.setattr(ledger, "read_files", spy)
+    store, source = str(tmp_path / "store"), tmp_path / "logs"
+
+    def put(folder, name):
+        (source / folder / "chatSessions").mkdir(parents=True, exist_ok=True)
+        (source / folder / "chatSessions" / name).write_text(f"{folder} {name}")
+
+    def poll(batch):
+        raw, seen = ledger.read_changed_logs(spark, str(source), ledger.read_ledger(spark, store))
+        ledger.write_ledger(seen, store, batch)
+        return sorted(r.body for r in raw.collect())
+
+    for n in range(5):
+        put("w 1%", f"a+{n}.json")
+    put("w 1%", "other.txt")
+    assert poll(0) == [f"w 1% a+{n}.json" for n in range(5)]
+    put("w 1%", "b[1].json")
+    put("w{2}", "c.json")
+    assert poll(1) == ["w 1% b[1].json", "w{2} c.json"]
+    assert poll(2) == []
+    assert asked == [(0, 1), (1, 1), (0, 0)]
