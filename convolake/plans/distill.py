@@ -14,7 +14,7 @@ from ..operators.merge import apply_items, resolve_items
 from ..operators.model import answer_status, ask_model, normalize_skills, parse_items
 from ..operators.progress import advance_watermark, incremental_messages
 from ..schemas import SKILLS, conform
-from ..session import pin, write_down
+from ..session import forget_folder, read_folders, write_down, write_folder
 from ..sources.tables import State
 
 ModelFn = Callable[[list[str]], list[str]]
@@ -72,10 +72,10 @@ def distill(state: State, model_fn: ModelFn, template: str, project: str | None
 
     def ask(batches: DataFrame, known: DataFrame) -> DataFrame:
         sections = B.prompt_sections(known, state.rules)
-        return write_down(ask_model(batches, sections, template, model_fn, parallelism, max_prompt_chars))
+        return ask_model(batches, sections, template, model_fn, parallelism, max_prompt_chars)
 
     if mode == "snapshot":
-        answers = ask(rows, skills)
+        answers = write_down(ask(rows, skills))
         merged, resolved = _merge(skills, answers, rows, as_of)
     elif mode == "sequential":
         answers, merged, resolved = _rounds(rows, skills, ask, as_of)
@@ -100,23 +100,35 @@ def _merge(skills: DataFrame, answers: DataFrame, rows: DataFrame,
 
 
 def _rounds(rows: DataFrame, skills: DataFrame, ask, as_of: Column | None):
+    """One round per batch number; each starts from tables that the round before wrote.
+
+    Tables have the size of their files.  A checkpoint would keep the size estimate of its plan,
+    a product over all joins of all rounds before, whose digits alone outgrow the driver.
+    """
     last = rows.agg(F.max("batch_no")).first()[0]
+    if last is None:
+        answers = write_down(ask(rows, skills))
+        return answers, *_merge(skills, answers, rows, as_of)
+    spark = rows.sparkSession
+
+    def written(df: DataFrame, folders: list[str]) -> DataFrame:
+        folders.append(write_folder(df))
+        return read_folders(df, folders[-1:])
+
     shown = skills  # what prompts see: an update that went by title does not show in them
-    answers = resolved = None
-    for number in range(0 if last is None else last + 1):
+    answered, resolved, tables = [], [], []
+    for number in range(last + 1):
         batch = rows.where(F.col("batch_no") == number)
-        got = ask(batch, shown)
-        items = write_down(normalize_skills(parse_items(got)))
-        found = pin(resolve_items(skills, items))
+        answers = written(ask(batch, shown), answered)
+        passing, before, tables = [], tables, []
+        items = written(normalize_skills(parse_items(answers)), passing)
+        found = written(resolve_items(skills, items), resolved)
         sources = batch.select("project_path", "batch_no", "session_ids")
-        shown = pin(apply_items(shown, items, found.where(F.col("how") != "title"), sources, as_of))
-        skills = pin(apply_items(skills, items, found, sources, as_of))
-        answers = got if answers is None else answers.unionByName(got)
-        resolved = found if resolved is None else resolved.unionByName(found)
-    if answers is None:
-        answers = ask(rows, skills)
-        _, resolved = _merge(skills, answers, rows, as_of)
-    return answers, skills, resolved
+        shown = written(apply_items(shown, items, found.where(F.col("how") != "title"), sources, as_of), tables)
+        skills = written(apply_items(skills, items, found, sources, as_of), tables)
+        for folder in (*passing, *before):
+            forget_folder(spark, folder)
+    return read_folders(answers, answered), skills, read_folders(found, resolved)
 
 
 def _stats(state: State, rows: DataFrame, status: DataFrame, resolved: DataFrame,

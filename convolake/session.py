@@ -57,17 +57,36 @@ def write_down(df: DataFrame) -> DataFrame:
 
     Model answers go through here, so that reading them twice asks no model twice.
     """
-    spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/convolake-{uuid.uuid4().hex}"
+    return read_folders(df, [write_folder(df)])
+
+
+def write_folder(df: DataFrame) -> str:
+    """The new folder to which ``df`` was written as a Parquet table."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/convolake-{uuid.uuid4().hex}"
     _written.append(folder)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return folder
+
+
+def read_folders(like: DataFrame, folders: list[str]) -> DataFrame:
+    """The rows of all ``folders``, which hold tables with the columns of ``like``, as one scan."""
+    return like.sparkSession.read.schema(like.schema).parquet(*folders)
+
+
+def forget_folder(spark: SparkSession, folder: str) -> None:
+    """Remove one table of ``write_folder`` that nobody reads any more."""
+    _written.remove(folder)
+    _remove(spark, folder)
 
 
 def forget_written(spark: SparkSession) -> int:
     """Remove all tables of ``write_down`` once their results are stored; returns how many."""
     n = len(_written)
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, _written.pop())
     return n
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

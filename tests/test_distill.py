@@ -154,6 +154,15 @@ def test_sequential_prompts_see_earlier_batches(spark):
     assert [r.title for r in snapshot] == ["fresh"]
 
 
+def test_rounds_start_from_tables_of_known_size(spark):
+    """Spark's size estimate of a table does not multiply from round to round."""
+    state = make_state(spark, [(f"s{i:02}", "/p", i) for i in range(16)], [(f"s{i:02}", 0, "x", None, i) for i in range(16)])
+    result = distill(state, lambda prompts: ['[{"title": "T", "steps": "x"}]' for _ in prompts], TEMPLATE, mode="sequential")
+    sizes = [len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in (result.skills, result.answers)]
+    assert max(sizes) < 12
+    assert [r.title for r in result.skills.collect()] == ["T"] and result.answers.count() == 4
+
+
 def test_model_runs_once_per_prompt(spark, tmp_path):
     state, folder = seven_sessions(spark), str(tmp_path)
 
