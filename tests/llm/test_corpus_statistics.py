@@ -145,6 +145,21 @@ def test_phrases_as_a_plain_count(spark, corpus, monkeypatch):
             assert {r["lang"]: r["n"] for r in words.collect()} == dict(n)
 
 
+def test_phrases_move_as_packed_buckets(spark, corpus, monkeypatch):
+    """What a task sends for a phrase: few bytes, as often as it holds it; small bounds change no count."""
+    docs = corpus.selectExpr("coalesce(text, '') as text", "coalesce(lang, 'und') as lang")
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << collocations.SHORT, 1 << 20, dtype=np.uint64))
+    packed = collocations._packed(np.concatenate([keys, keys[:9]]), False, 30)
+    assert packed.num_rows <= 1 << collocations.BUCKET_BITS and packed.nbytes < 4 * len(keys)
+    want, n = phrases([(r["text"], r["lang"]) for r in docs.collect()], 30)
+    for name in ("HELD", "PHRASES", "PORTION"):
+        monkeypatch.setattr(collocations, name, 50)
+    with Scratch(spark) as scratch:
+        counts, words = collocations.phrase_counts(docs.selectExpr("0L as doc_id", "*"), 30, scratch)
+        assert {(r["lang"], r["phrase"]): (r["words"], r["a"]) for r in counts.collect()} == {k: (k[1].count(" ") + 1, a) for k, a in want.items()}
+        assert {r["lang"]: r["n"] for r in words.collect()} == dict(n)
+
+
 def test_collocations_as_sql(spark, corpus):
     got = sorted_rows(collocations.collocations(corpus))
     assert got == as_sql(corpus, collocations.SQL) and len(got) > 20
