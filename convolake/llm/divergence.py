@@ -77,6 +77,24 @@ class _Terms:
         return first, W.mix(first ^ _OTHER ^ (ends - self.starts).astype(np.uint64) * W._LEFT)
 
 
+def _by_key(text: np.ndarray, n_texts: int, first: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """An order in which equal keys stand together, each key's rows by ``text``.
+
+    One sort of numbers whose lowest bits are the text; where two keys agree in all other
+    bits, they are sorted in full.
+    """
+    key = first if group is None else W.pair(group.astype(np.uint64), first)
+    bits = np.uint64(max(1, (n_texts - 1).bit_length()))
+    order = np.argsort((key >> bits << bits) | text.astype(np.uint64))
+    key, sorted_first = key[order], first[order]
+    differ = sorted_first[1:] != sorted_first[:-1]
+    if group is not None:
+        differ |= group[order[1:]] != group[order[:-1]]
+    if (differ & ((key[1:] ^ key[:-1]) >> bits == 0)).any():
+        return np.lexsort((text, first) if group is None else (text, first, group))
+    return order
+
+
 def _level(docs: DataFrame, before: tuple[int, KeyFilter] | None, length: int) -> DataFrame:
     """``first, second, docs, open`` of the prefixes of ``length`` bytes below those kept before."""
     def count(batches):
@@ -90,16 +108,17 @@ def _level(docs: DataFrame, before: tuple[int, KeyFilter] | None, length: int) -
                     terms.keep(before[1].has(*terms.keys(before[0])))
                 first, second = terms.keys(length)
                 # once for each document
-                order = np.lexsort((terms.text, first))
-                first, second, text, ends = first[order], second[order], terms.text[order], terms.complete(length)[order]
+                order = _by_key(terms.text, len(at) - 1, first)
+                first, text = first[order], terms.text[order]
                 new = np.ones(len(first), bool)
                 new[1:] = first[1:] != first[:-1]
                 once = new.copy()
                 once[1:] |= text[1:] != text[:-1]
                 at_ = np.flatnonzero(new)
                 n = np.add.reduceat(once.astype(np.int64), at_) if len(at_) else np.zeros(0, np.int64)
+                found = order[at_]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(first[at_].view(np.int64)), pa.array(second[at_].view(np.int64)), pa.array(n), pa.array(~ends[at_])],
+                    [pa.array(first[at_].view(np.int64)), pa.array(second[found].view(np.int64)), pa.array(n), pa.array(~terms.complete(length)[found])],
                     ["first", "second", "docs", "open"])
 
     return (
@@ -117,21 +136,19 @@ def _occurrences(docs: DataFrame, kept: list[tuple[int, KeyFilter]]) -> DataFram
             names = _name_hashes(langs)[lang]
             for row, end, data, at in W.chunks(batch.column(0), PORTION):
                 terms = _Terms(data, at, names[row:end])
+                first, second = terms.keys(None)  # a complete term has the same keys at every length
                 stays, open_ = np.zeros(len(terms.starts), bool), np.ones(len(terms.starts), bool)
                 for length, known in kept:
                     now = open_ & terms.complete(length)
                     rows = np.flatnonzero(now)
-                    some = _Terms.__new__(_Terms)
-                    some.data = terms.data
-                    some.starts, some.ends, some.text, some.lang = (x[rows] for x in (terms.starts, terms.ends, terms.text, terms.lang))
-                    stays[rows] = known.has(*some.keys(length))
+                    stays[rows] = known.has(first[rows], second[rows])
                     open_ &= ~now
                 terms.keep(stays)
+                first = first[stays]
                 if not len(terms.starts):
                     continue
                 group = lang[row + terms.text].astype(np.int64) * len(sources) + source[row + terms.text]
-                first, _ = terms.keys(None)
-                order = np.lexsort((terms.text, first, group))
+                order = _by_key(terms.text, len(at) - 1, first, group)
                 first, group, text = first[order], group[order], terms.text[order]
                 new = np.ones(len(first), bool)
                 new[1:] = (first[1:] != first[:-1]) | (group[1:] != group[:-1])

@@ -160,6 +160,19 @@ def test_phrases_move_as_packed_buckets(spark, corpus, monkeypatch):
         assert {r["lang"]: r["n"] for r in words.collect()} == dict(n)
 
 
+def test_order_by_key_when_keys_meet():
+    """Keys that agree in all bits but those lent to the text are kept apart."""
+    draw = np.random.default_rng(4)
+    text, group = np.sort(draw.integers(0, 300, 5000)), draw.integers(0, 3, 5000)
+    for first in (draw.integers(0, 700, 5000, dtype=np.uint64), draw.integers(0, 9, 5000, dtype=np.uint64) << np.uint64(50)):
+        for groups in (None, group):
+            order = divergence._by_key(text, 300, first, groups)
+            rows = list(zip(first[order].tolist(), group[order].tolist() if groups is not None else [0] * 5000, text[order].tolist()))
+            runs = [k for i, k in enumerate(rows) if not i or rows[i - 1] != k]
+            keys = [k[:2] for i, k in enumerate(runs) if not i or runs[i - 1][:2] != k[:2]]
+            assert len(runs) == len(set(rows)) and len(keys) == len(set(keys))
+
+
 def test_collocations_as_sql(spark, corpus):
     got = sorted_rows(collocations.collocations(corpus))
     assert got == as_sql(corpus, collocations.SQL) and len(got) > 20
