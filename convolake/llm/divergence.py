@@ -155,12 +155,15 @@ def _occurrences(docs: DataFrame, kept: list[tuple[int, KeyFilter]]) -> DataFram
                 once = new.copy()
                 once[1:] |= text[1:] != text[:-1]
                 at_ = np.flatnonzero(new)
+                n_docs, n = np.add.reduceat(once.astype(np.int64), at_), np.diff(np.append(at_, len(first)))
+                together = np.argsort(group[at_], kind="stable")  # equal names in a row take less when they move
+                at_, n_docs, n = at_[together], n_docs[together], n[together]
                 found = order[at_]
                 letters = [terms.data[a:b].tobytes() for a, b in zip(terms.starts[found].tolist(), terms.ends[found].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [langs.take(pa.array(group[at_] // len(sources))), sources.take(pa.array(group[at_] % len(sources))),
-                     pa.array(letters, pa.binary()).cast(pa.string()), pa.array(np.add.reduceat(once.astype(np.int64), at_)),
-                     pa.array(np.diff(np.append(at_, len(first))))],
+                     pa.array(letters, pa.binary()).cast(pa.string()), pa.array(n_docs),
+                     pa.array(n)],
                     ["lang", "source", "term", "docs", "n"])
 
     return (
