@@ -12,7 +12,10 @@ bounds keep the product small:
 - of two sets, the bits in which their parity bitmaps differ are no more than the n-grams
   in which they differ, so a pair with too many such bits is discarded as well;
 - the common order puts frequent columns last.  Frequencies come from a table of counters
-  of fixed size over all documents; being only an order, its errors cost time, not links.
+  of fixed size over all documents; being only an order, its errors cost time, not links;
+- a column of one row makes no product.  Which columns have several rows is counted by 40 bits
+  of each, as steps between sorted keys of about three bytes, and told to the tasks by a
+  filter, so only rows of such columns, and only texts of such rows, are moved at all.
 
 Only connections are wanted, so a column of m rows is not multiplied out: each column's
 rows are first compared with one leader of the column, linked rows fall into components,
@@ -28,18 +31,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
+from .groups import runs
+from .key_filter import KeyFilter, key_filter
 from .scratch import Scratch
 
 COUNTERS = 1 << 24  # of n-gram frequencies, for the order of the columns
 SLICES = 64
 PARITY = [f"s{i}" for i in range(8)]  # 512 bits for each set: how many of its n-grams fall on a bit, modulo 2
+SOME = PARITY[:2]  # of the bits, for the leaders, whose rows travel once more
 MEMBERS = 512  # rows compared with one leader in one block
 LEADERS = 4  # of a column in one turn
+SHORT = 40  # bits of an n-gram that decide whether its column may have several rows
+BUCKET_BITS = 11  # of these, those that say where its rows are counted
+HELD = 1 << 22  # n-grams that a task holds before it sends them
+FILTER_BITS = range(20, 29)  # powers of two: the filter of columns has about a bit for each, 32 MB at most
 
 
 @dataclass(frozen=True)
@@ -160,42 +171,183 @@ def signatures(docs: DataFrame, rule: Rule, counters: np.ndarray) -> DataFrame:
     )
 
 
-def _apart(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """``signed`` with a ``node`` of its own for every pair of ``node`` and ``check``.
+def _apart(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(``signed`` with a ``node`` of its own for every pair of ``node`` and ``check``, the nodes of several rows).
 
     Only hashes move to find nodes that stand for several sets; where there are none, as
     nearly always, the rows stay as they are.
     """
     while True:
-        shared = scratch.table(
-            signed.where("node is not null").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
-            .where("low <> high").select("node", F.lit(True).alias("shared")))
+        repeated = scratch.table(
+            signed.where("node is not null").groupBy("node")
+            .agg(F.min("check").alias("low"), F.max("check").alias("high"), F.count("*").alias("rows")).where("rows > 1"))
+        shared = repeated.where("low <> high").select("node", F.lit(True).alias("shared"))
         if shared.isEmpty():
-            return signed
+            return signed, repeated.select("node")
         other = F.when(F.col("shared"), F.xxhash64("node", "check")).otherwise(F.col("node"))
         signed = scratch.table(signed.join(shared, "node", "left").select(
             *(other.alias(c) if c == "node" else F.col(c) for c in signed.columns)))
 
 
-def _columns(classes: DataFrame) -> DataFrame:
-    """One row for each column of each row's prefix: ``gram, node, size, pos`` in the common order."""
+def _hash_keys(rows: DataFrame, column: Column | str) -> DataFrame:
+    """The two keys of a filter from a column of 64-bit hashes."""
+    return rows.select(F.col(column).alias("first") if isinstance(column, str) else column.alias("first")).withColumn(
+        "second", F.shiftrightunsigned("first", 32))
+
+
+def _has_hash(known: KeyFilter, hashes: np.ndarray) -> np.ndarray:
+    return known.has(hashes, hashes.view(np.uint64) >> np.uint64(32))
+
+
+def _short_keys(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands for an n-gram in a filter: ``SHORT`` bits of it, and a hash of them."""
+    short = grams >> np.uint64(64 - SHORT)
+    return short, W.mix(short * W._BASE ^ W._RIGHT)
+
+
+@dataclass(frozen=True)
+class _Classes:
+    """One row for each set: ``node, size, prefix, rep_id, rep_key, alone`` and ``PARITY``.
+
+    Rows that are ``alone`` are read where they were written; those of a node in ``repeated``
+    are passed over there, because ``rows`` has one row of each such node besides.
+    """
+
+    rows: DataFrame
+    repeated: Broadcast
+
+    def map(self, columns: list[str], function, kind: str) -> DataFrame:
+        """``function`` of the batches of ``columns`` of every class; ``node`` is the first of them."""
+        repeated = self.repeated
+
+        def only(batches):
+            for batch in batches:
+                node, alone = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, batch.num_columns - 1))
+                yield batch.filter(pa.array(~alone | ~_has_hash(repeated.value, node)))
+
+        return self.rows.select("node", *columns, "alone").mapInArrow(lambda batches: function(only(batches)), kind)
+
+
+def _classes(signed: DataFrame, repeated: DataFrame, scratch: Scratch) -> _Classes:
+    """The classes of the rows that take part; only rows of ``repeated`` nodes are moved."""
+    known = key_filter(_hash_keys(repeated, "node"))
+    shared = signed.sparkSession.sparkContext.broadcast(known)
+
+    def copied(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_has_hash(shared.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    rows = signed.where("node is not null and doc_id is not null").select(
+        "node", F.col("n_shingles").cast("int").alias("size"), "prefix", F.col("doc_id").alias("rep_id"), F.col("text_key").alias("rep_key"), *PARITY)
+    merged = rows.mapInArrow(copied, rows.schema).groupBy("node").agg(
+        F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min(F.struct("rep_id", "rep_key")).alias("rep"),
+        *(F.min(s).alias(s) for s in PARITY))
+    merged = scratch.table(merged.select("node", "size", "prefix", "rep.rep_id", "rep.rep_key", *PARITY))
+    return _Classes(rows.withColumn("alone", F.lit(True)).unionByName(merged.withColumn("alone", F.lit(False))), shared)
+
+
+def _grams(prefixes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all columns of a batch of prefixes, how many each row has)."""
+    raw = [x.as_buffer() for x in prefixes]
+    grams = np.concatenate([np.frombuffer(x, np.uint64) for x in raw]) if raw else np.zeros(0, np.uint64)
+    return grams, np.array([x.size // 8 for x in raw], np.int64)
+
+
+def _steps(short: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket: its short keys, each twice at most, as steps, byte by byte, compressed."""
+    keys = np.sort(short)
+    keys = keys[np.concatenate([np.ones(min(len(keys), 2), bool), keys[2:] != keys[:-2]])]
+    width = np.uint64(SHORT - BUCKET_BITS)
+    bucket = (keys >> width).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), bucket[1:] != bucket[:-1]]))
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[at] = keys[at] & ((np.uint64(1) << width) - np.uint64(1))
+    steps, ends = steps.astype("<u4").view(np.uint8).reshape(-1, 4), np.append(at[1:], len(keys)).tolist()
+    raw = [pa.compress(steps[a:b].T.tobytes(), codec="zstd", asbytes=True) for a, b in zip(at.tolist(), ends)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[at]), pa.array(np.diff(np.append(at, len(keys)))), pa.array(raw, pa.binary())], ["bucket", "n", "raw"])
+
+
+def _met_columns(classes: _Classes, n_bits: int) -> KeyFilter:
+    """A filter that has all columns of several rows, by ``_short_keys``."""
+    def send(batches):
+        held, n_held = [], 0
+        for batch in batches:
+            held.append(_grams(batch.column(1))[0] >> np.uint64(64 - SHORT))
+            n_held += len(held[-1])
+            if n_held > HELD:
+                yield _steps(np.concatenate(held))
+                held, n_held = [], 0
+        if n_held:
+            yield _steps(np.concatenate(held))
+
+    def count(batches):
+        for (bucket,), table in runs(batches, 1):
+            keys = []
+            for n, raw in zip(table["n"].to_pylist(), table["raw"]):
+                steps = np.frombuffer(pa.decompress(raw.as_buffer(), 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+                keys.append(np.cumsum(np.ascontiguousarray(steps.T).view("<u4").reshape(-1), dtype=np.uint64))
+            keys = np.sort(np.concatenate(keys))
+            rest = np.unique(keys[1:][keys[1:] == keys[:-1]])
+            first, second = _short_keys((np.uint64(bucket << (SHORT - BUCKET_BITS)) | rest) << np.uint64(64 - SHORT))
+            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["first", "second"])
+
+    sent = classes.map(["prefix"], send, "bucket long, n long, raw binary")
+    return key_filter(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "first long, second long"), n_bits)
+
+
+def _index(classes: _Classes, rule: Rule, met: KeyFilter) -> DataFrame:
+    """``gram, node, size, pos, columns`` and ``SOME`` of the columns in ``met``, ``pos`` in the common order.
+
+    ``columns`` is how many of them a row has.  A row that shares too few columns with all
+    others together links with none and has no rows here.
+    """
+    shared = classes.rows.sparkSession.sparkContext.broadcast(met)
+
     def split(batches):
         for batch in batches:
-            raw = [x.as_buffer() for x in batch.column(2)]
-            lengths = np.array([x.size // 8 for x in raw], np.int64)
-            grams = np.concatenate([np.frombuffer(x, np.int64) for x in raw]) if raw else np.zeros(0, np.int64)
-            node, size = (np.repeat(batch.column(i).to_numpy(), lengths) for i in (0, 1))
+            grams, lengths = _grams(batch.column(2))
+            size, row = batch.column(1).to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
             pos = (np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            for at in range(0, len(grams), 1 << 16):  # many rows come of one
-                part = slice(at, at + (1 << 16))
+            at = np.flatnonzero(shared.value.has(*_short_keys(grams)))
+            columns = np.bincount(row[at], minlength=len(lengths)).astype(np.int32)
+            at = at[(columns >= size.astype(np.int64) * rule.percent // 4000 + 1)[row[at]]]
+            fixed = [batch.column(0).to_numpy(), size, columns, *(batch.column(3 + i).to_numpy() for i in range(len(SOME)))]
+            for begin in range(0, len(at), 1 << 16):  # many rows come of one
+                part = at[begin : begin + (1 << 16)]
+                node, sizes, n, *bits = (x[row[part]] for x in fixed)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[part]), pa.array(node[part]), pa.array(size[part]), pa.array(pos[part])],
-                    ["gram", "node", "size", "pos"],
-                )
+                    [pa.array(grams[part].view(np.int64)), pa.array(node), pa.array(sizes), pa.array(pos[part]), pa.array(n), *map(pa.array, bits)],
+                    ["gram", "node", "size", "pos", "columns", *SOME])
 
-    return classes.select("node", F.col("size").cast("int").alias("size"), "prefix").mapInArrow(
-        split, "gram long, node long, size int, pos int"
-    )
+    return classes.map(["size", "prefix", *SOME], split, "gram long, node long, size int, pos int, columns int, " + ", ".join(f"{s} long" for s in SOME))
+
+
+def _able(classes: _Classes, index: DataFrame) -> DataFrame:
+    """``node, rep_id, rep_key`` and ``PARITY`` of the classes in ``index``, and of a few more by chance."""
+    shared = index.sparkSession.sparkContext.broadcast(key_filter(_hash_keys(index, "node")))
+    names = ["node", "rep_id", "rep_key", *PARITY]
+
+    def able(batches):
+        for batch in batches:
+            found = batch.filter(pa.array(_has_hash(shared.value, batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays(found.columns[:-1], names)
+
+    return classes.map(names[1:], able, ", ".join(f"{c} long" for c in names))
+
+
+def _texts(docs: DataFrame, able: DataFrame) -> DataFrame:
+    """``node, text`` of every class in ``able``; other texts are not moved, but for a few by chance."""
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(_hash_keys(able, F.xxhash64("rep_id", "rep_key"))))
+
+    def wanted(batches):
+        for batch in batches:
+            found = batch.filter(pa.array(_has_hash(shared.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays(found.columns[1:], ["rep_id", "rep_key", "text"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64("text").alias("rep_key"), "text")
+    moved = rows.select(F.xxhash64("rep_id", "rep_key"), *rows.columns).mapInArrow(wanted, rows.schema)
+    return moved.dropDuplicates(["rep_id", "rep_key"]).join(able.select("node", "rep_id", "rep_key"), ["rep_id", "rep_key"]).select("node", "text")
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -253,19 +405,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, rule: Rule, scratch: Scratch) ->
     )
 
 
-def _open_columns(index: DataFrame, labels: DataFrame | None, parity: DataFrame) -> DataFrame:
-    """Rows of the columns that hold more than one component, with each row's component and parity.
-
-    The wide parity is added last, to the rows that are left.
-    """
+def _open_columns(index: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the columns that hold more than one component, with each row's component."""
     rows = index if labels is None else index.join(labels, "node", "left")
     rows = rows.withColumn("component", F.col("node") if labels is None else F.coalesce("component", "node"))
     columns = rows.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return rows.join(columns.select("gram"), "gram").join(parity, "node")
+    return rows.join(columns.select("gram"), "gram")
 
 
 _ROW = ("node", "size", "pos", "component")
-SOME = PARITY[:2]  # of the bits, for the leaders, whose rows travel once more
 
 
 def _side(rows: DataFrame, side: str, parity: list[str]) -> DataFrame:
@@ -312,29 +460,20 @@ def link_components(docs: DataFrame, rule: Rule, scratch: Scratch, leader_turns:
 
     Rows without ``doc_id`` take no part in links.
     """
-    signed = _apart(scratch.table(signatures(docs, rule, gram_counters(docs, rule))), scratch)
-    taking_part = signed.where("node is not null and doc_id is not null")
-    classes = taking_part.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
-    columns = _columns(classes)
-    several = columns.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
-    met = scratch.table(columns.join(several, "gram"))
-    # a row that shares too few columns with all others together links with none
-    able = met.groupBy("node", "size").agg(F.count("*").cast("int").alias("columns")).where(
-        F.col("columns") >= F.floor(F.col("size") * rule.percent / 4000) + 1).select("node", "columns")
-    able = scratch.table(
-        taking_part.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), *(F.min(s).alias(s) for s in PARITY))
-        .join(able, "node"))
-    index = scratch.table(met.join(able.select("node", "columns"), "node"))
-    scratch.drop(met)
-    texts = scratch.table(
-        docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-        .join(able.select("node", "rep.doc_id", "rep.text_key"), ["doc_id", "text_key"])
-        .select("node", "text").dropDuplicates(["node"])
-    )
+    signed, repeated = _apart(scratch.table(signatures(docs, rule, gram_counters(docs, rule))), scratch)
+    classes = _classes(signed, repeated, scratch)
+    n_columns = signed.agg(F.sum(F.col("n_shingles") * (1025 - 10 * rule.percent) / 1000 + 1)).head()[0] or 0  # about
+    n_bits = 1 << min(max(int(n_columns).bit_length(), FILTER_BITS[0]), FILTER_BITS[-1])
+    index = scratch.table(_index(classes, rule, _met_columns(classes, n_bits)))
+    able = scratch.table(_able(classes, index))
+    texts = scratch.table(_texts(docs, able))
 
     labels = None
     for turn in [*range(leader_turns), None]:
-        rows = _open_columns(index, labels, able.select("node", *PARITY))
+        if turn is None:  # all bits of the rows that are left
+            rows = _open_columns(index.drop(*SOME), labels).join(able.select("node", *PARITY), "node")
+        else:
+            rows = _open_columns(index, labels)
         pairs = scratch.table(_product(rows, rule) if turn is None else _led(rows, rule, turn))
         found = scratch.table(_verify(pairs, texts, rule, scratch))
         if turn is None or turn == 0 or not found.isEmpty():

@@ -156,6 +156,51 @@ def test_many_leaders_and_the_product_agree(spark, copies):
     assert links[0] == links[1] == links[2] and links[0]
 
 
+def test_only_shared_columns_and_texts_of_their_rows_move(spark, copies):
+    texts, docs = copies
+    rule = ngram_join.Rule(3, 90)
+    lonely = [(1000 + i, " ".join(f"u{i}x{k}" for k in range(50)), 1) for i in range(200)] + [(None, texts[1], 1), (2000, texts[5], 1)]
+    docs = docs.unionByName(spark.createDataFrame(lonely, docs.schema))
+    with Scratch(spark) as scratch:
+        signed, repeated = ngram_join._apart(scratch.table(ngram_join.signatures(docs, rule, ngram_join.gram_counters(docs, rule))), scratch)
+        prefixes, size, reps = {}, {}, {}
+        for r in signed.where("node is not null and doc_id is not null").collect():
+            prefixes[r["node"]], size[r["node"]] = np.frombuffer(bytes(r["prefix"]), np.uint64).tolist(), r["n_shingles"]
+            reps[r["node"]] = min((r["doc_id"], r["text_key"]), reps.get(r["node"], (r["doc_id"], r["text_key"])))
+        rows_of = collections.Counter(g for grams in prefixes.values() for g in grams)
+        shared = {n: [(g, pos) for pos, g in enumerate(grams) if rows_of[g] > 1] for n, grams in prefixes.items()}
+        want = {(g, n, pos, len(grams)) for n, grams in shared.items() if len(grams) >= size[n] * rule.percent // 4000 + 1 for g, pos in grams}
+        classes = ngram_join._classes(signed, repeated, scratch)
+        met = ngram_join._met_columns(classes, 1 << 20)
+        assert met.has(*ngram_join._short_keys(np.array([g for g, n in rows_of.items() if n > 1], np.uint64))).all()
+        index = scratch.table(ngram_join._index(classes, rule, met))
+        got = [(r["gram"] % 2**64, r["node"], r["pos"], r["columns"]) for r in index.collect()]
+        assert want and len(got) == len(want) and set(got) == want
+        able = scratch.table(ngram_join._able(classes, index))
+        assert {(r["node"], r["rep_id"], r["rep_key"]) for r in able.collect()} == {(n, *reps[n]) for _, n, _, _ in want}
+        moved = ngram_join._texts(docs, able).collect()
+        text = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert {r["node"]: r["text"] for r in moved} == {n: text[reps[n][0]] for _, n, _, _ in want} and len(moved) == len({n for _, n, _, _ in want})
+        # the rows of a column meet once: leaders need no rows by node
+        led = ngram_join._led(ngram_join._open_columns(index, None), rule, 0)
+        assert "hashpartitioning(node" not in led._jdf.queryExecution().toString()
+
+
+def test_columns_as_steps():
+    draw = np.random.default_rng(3)
+    short = draw.integers(0, 1 << ngram_join.SHORT, 5000, dtype=np.uint64)
+    short = np.concatenate([short, short[:100], short[:50], np.array([0, 0, 0, (1 << ngram_join.SHORT) - 1], np.uint64)])
+    import pyarrow as pa
+
+    got = collections.Counter()
+    for row in ngram_join._steps(short).to_pylist():
+        steps = np.frombuffer(pa.decompress(row["raw"], 4 * row["n"], codec="zstd"), np.uint8).reshape(4, -1)
+        rest = np.cumsum(np.ascontiguousarray(steps.T).view("<u4").reshape(-1), dtype=np.uint64)
+        got.update((np.uint64(row["bucket"] << (ngram_join.SHORT - ngram_join.BUCKET_BITS)) | rest).tolist())
+    assert got == {k: min(n, 2) for k, n in collections.Counter(short.tolist()).items()}
+    assert ngram_join._steps(short[:0]).num_rows == 0
+
+
 # -- substring dedup ----------------------------------------------------------------
 
 def test_texts_of_one_id_and_one_short_hash(spark):
