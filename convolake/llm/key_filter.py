@@ -7,6 +7,7 @@ where such a chance costs work, never a result.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,36 +44,47 @@ class KeyFilter:
         return KeyFilter((np.frombuffer(self.bits, np.uint8) | np.frombuffer(other.bits, np.uint8)).tobytes())
 
 
-def key_filter(keys: DataFrame, n_bits: int = BITS) -> KeyFilter:
-    """The filter of all rows of ``keys`` (two long columns).
+SLICE = "slice int, bits binary"
 
-    Tasks fill filters of their own, which are united slice by slice; ``SLICES`` rows of
-    together ``n_bits`` bits come to the driver.
-    """
-    width = n_bits // 8 // SLICES
 
-    def rows(slices: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(slices), pa.int32()), pa.array([x.tobytes() for x in slices.values()], pa.binary())], ["slice", "bits"])
+def _rows(slices: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(slices), pa.int32()), pa.array([x.tobytes() for x in slices.values()], pa.binary())], ["slice", "bits"])
 
-    def fill(batches):
-        marked = np.zeros(n_bits // 8, np.uint8)
-        for batch in batches:
-            for column in (0, 1):
-                at = batch.column(column).to_numpy() & np.int64(n_bits - 1)
-                np.bitwise_or.at(marked, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        parts = marked.reshape(SLICES, width)
-        yield rows({i: parts[i] for i in range(SLICES) if parts[i].any()})
 
+def marked(keys: Iterable[tuple[np.ndarray, np.ndarray]], n_bits: int = BITS) -> Iterator[pa.RecordBatch]:
+    """The slices, as ``SLICE`` rows, of a task's filter of ``keys``."""
+    bits = np.zeros(n_bits // 8, np.uint8)
+    for pair in keys:
+        for part in pair:
+            at = part.view(np.int64) & np.int64(n_bits - 1)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    parts = bits.reshape(SLICES, -1)
+    yield _rows({i: parts[i] for i in range(SLICES) if parts[i].any()})
+
+
+def united(slices: DataFrame, n_bits: int = BITS) -> KeyFilter:
+    """The filter of all tasks' ``SLICE`` rows, which are united slice by slice."""
     def unite(batches):
         joined: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 joined[i] = joined.get(i, 0) | np.frombuffer(raw.as_buffer(), np.uint8)
-        yield rows(joined)
+        yield _rows(joined)
 
-    slices = keys.mapInArrow(fill, "slice int, bits binary").repartition("slice").mapInArrow(unite, "slice int, bits binary")
-    whole = bytearray(n_bits // 8)
-    for i, raw in slices.collect():
+    width, whole = n_bits // 8 // SLICES, bytearray(n_bits // 8)
+    for i, raw in slices.repartition("slice").mapInArrow(unite, SLICE).collect():
         whole[i * width : (i + 1) * width] = raw
     return KeyFilter(bytes(whole))
+
+
+def key_filter(keys: DataFrame, n_bits: int = BITS) -> KeyFilter:
+    """The filter of all rows of ``keys`` (two long columns).
+
+    Tasks fill filters of their own, which are united slice by slice; ``SLICES`` rows of
+    together ``n_bits`` bits come to the driver.
+    """
+    def fill(batches):
+        return marked(((batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches), n_bits)
+
+    return united(keys.mapInArrow(fill, SLICE), n_bits)

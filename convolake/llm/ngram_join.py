@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .groups import runs
-from .key_filter import KeyFilter, key_filter
+from .key_filter import SLICE, KeyFilter, key_filter, marked, united
 from .scratch import Scratch
 
 COUNTERS = 1 << 24  # of n-gram frequencies, for the order of the columns
@@ -289,11 +289,12 @@ def _met_columns(classes: _Classes, n_bits: int) -> KeyFilter:
                 keys.append(np.cumsum(np.ascontiguousarray(steps.T).view("<u4").reshape(-1), dtype=np.uint64))
             keys = np.sort(np.concatenate(keys))
             rest = np.unique(keys[1:][keys[1:] == keys[:-1]])
-            first, second = _short_keys((np.uint64(bucket << (SHORT - BUCKET_BITS)) | rest) << np.uint64(64 - SHORT))
-            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["first", "second"])
+            yield _short_keys((np.uint64(bucket << (SHORT - BUCKET_BITS)) | rest) << np.uint64(64 - SHORT))
 
     sent = classes.map(["prefix"], send, "bucket long, n long, raw binary")
-    return key_filter(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "first long, second long"), n_bits)
+    dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
+    # counted and marked by one function: two in a row would be two Python workers of each task, which stay
+    return united(dealt.mapInArrow(lambda batches: marked(count(batches), n_bits), SLICE), n_bits)
 
 
 def _index(classes: _Classes, rule: Rule, met: KeyFilter) -> DataFrame:
