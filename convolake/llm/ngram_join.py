@@ -41,6 +41,7 @@ from .groups import runs
 from .key_filter import SLICE, KeyFilter, key_filter, marked, united
 from .scratch import Scratch
 
+PORTION = 1 << 18  # bytes of text whose n-grams are made at a time: their arrays take about 40 times as many
 COUNTERS = 1 << 24  # of n-gram frequencies, for the order of the columns
 SLICES = 64
 PARITY = [f"s{i}" for i in range(8)]  # 512 bits for each set: how many of its n-grams fall on a bit, modulo 2
@@ -74,7 +75,7 @@ def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     Words are lower-cased A-Z.  A text with fewer than ``n`` words has its whole
     sequence as its only n-gram; one without words has none.
     """
-    for row, _, data, at in W.chunks(texts):
+    for row, _, data, at in W.chunks(texts, PORTION):
         starts, ends, first = W.spans(data, at)
         h = W.hashes(data, starts, ends, lower=True)
         grams = W.windows(h, n)

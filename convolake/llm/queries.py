@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, chunked_bpe, collocations, divergence, language_id, mixing, mtree, near_vectors, ngram_join, substring_dedup, token_counts, toxicity
-from .tables import read
+from .tables import SMALL_BATCH, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,7 @@ TOXIC_FROM = 0.3  # expected severity
 
 def severity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Grades: clean, toxic, and toxic text of low quality."""
-    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    documents, labels = (read(spark, sf_dir, name, SMALL_BATCH) for name in ("documents", "labels"))
     return toxicity.fit(documents, toxicity.grades(labels, F.col("toxic"), F.col("quality") == 0))
 
 

@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import Scratch
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
+PORTION = 1 << 18  # bytes of text worked on at a time: a task's arrays take about 50 times as many
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, row of each feature, bucket) of runs of lower-cased texts."""
     lowered = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    for row, end, data, at in W.chunks(lowered):
+    for row, end, data, at in W.chunks(lowered, PORTION):
         starts, ends, first = W.spans(data, at)
         if not len(starts):
             yield row, end, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -112,9 +114,16 @@ def fit(documents: DataFrame, graded: DataFrame, max_rows: int = 20_000, max_fea
         graded.where("grade is not null and doc_id is not null").select("doc_id", F.col("grade").cast("int").alias("grade"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_rows)
     )
-    # at most max_rows pairs of numbers, so texts of other documents never move; copies of one
-    # text would make its chance words look telling
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("grade").alias("grade"))
+    with Scratch(documents.sparkSession) as scratch:
+        # at most max_rows pairs of numbers, so texts of other documents never move; copies of one
+        # text would make its chance words look telling.  Written once: all documents are read for it
+        sample = scratch.table(
+            documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("grade").alias("grade")))
+        return _learned(sample, max_features, least, steps)
+
+
+def _learned(sample: DataFrame, max_features: int, least: int, steps: int) -> Model:
+    """A model from different texts and their grades."""
     bound = sample.agg(F.max("grade"), F.min("grade")).head()
     if bound[0] is None or bound[0] == bound[1]:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(1, np.inf))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from convolake.llm import bpe, mixing, ngram_join, substring_dedup, toxicity
 from convolake.llm.queries import TOXIC_FROM, severity_model
 from convolake.llm.scratch import Scratch
-from convolake.llm.tables import read
+from convolake.llm.tables import SMALL_BATCH, batches_of, read
 
 NEAR = ngram_join.Rule(n=5, percent=80)
 REPEATED_WORDS = 50
@@ -27,21 +27,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that of smallest id."""
+    batches_of(spark, SMALL_BATCH)
     return ngram_join.keep_one_of_each(docs, NEAR)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of fifty or more words that occur more than once, cut out of the texts."""
+    batches_of(spark, SMALL_BATCH)
     return substring_dedup.remove_repeats(docs, window=REPEATED_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A mix of one and a half times all words; a document comes as often as it is taken."""
+    batches_of(spark, SMALL_BATCH)
     return mixing.mix(docs, mixing.repeating_weights(5, 2, 1), share=1.5, most=2.0)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text of the mix."""
+    batches_of(spark, SMALL_BATCH)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(docs, path, public_tokenizers.PATTERN, known=50_000).select("doc_id", "n_tokens", "ids")
 

@@ -4,16 +4,18 @@ import base64
 import hashlib
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from conftest import SF
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from convolake.llm import bpe, chat, language_id, queries, token_counts, toxicity
+from convolake.llm import bpe, chat, language_id, ngram_join, queries, token_counts, toxicity
 from convolake.llm.scratch import forget_results
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -181,6 +183,37 @@ def test_toxicity_odd_texts_and_tables(spark, odd):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_all_documents_are_read_once_for_the_model(spark):
+    rows = [(i, f"calm words {i} " + "vile " * (i % 3), i % 3) for i in range(60)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = toxicity.fit(table.mapInArrow(counted, table.schema), table)
+    assert len(model.thresholds) == 2 and read.value == len(rows)
+
+
+def test_features_take_memory_by_the_portion_not_by_the_batch():
+    draw = random.Random(5)
+    texts = [" ".join(f"word{draw.randrange(10**6)}" for _ in range(200)) for _ in range(1000)]  # 2.2 MB
+    alone = [sorted(b.tolist()) for t in texts[:20] for *_, b in toxicity.features(pa.array([t]))]
+    together = [row for _, _, row, _ in toxicity.features(pa.array(texts))]
+    first = next(toxicity.features(pa.array(texts)))
+    assert [sorted(first[3][first[2] == i].tolist()) for i in range(20)] == alone
+    assert np.array_equal(np.unique(np.concatenate(together)), np.arange(len(texts)))
+    for made in (toxicity.features, lambda column: ngram_join.gram_sets(column, 5)):
+        tracemalloc.start()
+        for _ in made(pa.array(texts)):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20e6  # 48e6 and 29e6 by the megabyte
+
+
 def test_toxic_words_are_caught(spark):
     sf = SF.replace("sf0.001", "sf0.1")
     got = by_id(queries.QUERIES["op1_toxicity"](spark, sf))
