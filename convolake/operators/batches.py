@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plain_answers import to_json
 from ..functions.text import preview, truncate_salient
 from ..session import write_down
 from .ranking import first_n, group_index
@@ -157,8 +160,8 @@ def gather_text(lines: DataFrame, order: list[str], separator: str, limit: int |
     return sizes.join(texts, "project_path", "left")
 
 
-def skill_lines(skills: DataFrame) -> DataFrame:
-    """One block of prompt text per skill."""
+def skill_lines(skills: DataFrame, *also: str) -> DataFrame:
+    """One block of prompt text per skill, with the columns ``also``; ``skill_line`` is the same in plain Python."""
     def as_json(name: str, chars: int) -> Column:
         text = preview(F.to_json(name), chars)
         return F.when(F.size(name) > 0, text)
@@ -178,7 +181,17 @@ def skill_lines(skills: DataFrame) -> DataFrame:
         labelled("Commands", as_json("command_templates", 300)),
     )
     return skills.where(F.col("project_path").isNotNull()).select(
-        "project_path", "created_at", "skill_id", block.alias("line"))
+        "project_path", "created_at", "skill_id", block.alias("line"), *also)
+
+
+def skill_line(skill_id: str, fields: dict) -> str:
+    """``skill_lines`` of one skill with the fields of an item (``plain_answers.shown_fields``)."""
+    lists = (("Facts", "facts", 200), ("Concepts", "concepts", 150), ("FileMap", "file_map", 300),
+             ("Commands", "command_templates", 300))
+    return "\n".join([
+        f"[skill_id={skill_id}] {fields['title']} (type={fields['obs_type']}): {fields['description']}",
+        f"  Steps: {fields['steps'][:200]}", f"  Tags: {fields['tags']}",
+        *(f"  {label}: {to_json(fields[name])[:chars]}" for label, name, chars in lists if fields[name])])
 
 
 def format_skills(skills: DataFrame, limit: int | None = None) -> DataFrame:
@@ -257,6 +270,51 @@ def fill_parts(template: str, slots: dict[str, str], shared: dict[str, tuple[str
     return Prompt(tuple(t for t in (*texts, "".join(own)) if t))
 
 
+class ShownList:
+    """A project's skill list as prompts show it, of lines that change one by one.
+
+    The lines lie in chunks; a change makes the text of its chunk anew, and all other texts stay
+    the same objects from prompt to prompt.  ``keys`` order the lines; equal ones may come.
+    """
+
+    def __init__(self, keys: list[tuple], lines: list[str], per_chunk: int = PART_LINES):
+        self._size = max(per_chunk, isqrt(len(keys)))
+        self._chunks = [(keys[i:i + self._size], lines[i:i + self._size]) for i in range(0, len(keys), self._size)]
+        self._texts: list[str | None] = [None] * len(self._chunks)
+
+    def texts(self) -> tuple[str, ...]:
+        for i, text in enumerate(self._texts):
+            if text is None:
+                self._texts[i] = ("\n\n" if i else SKILLS_HEADER) + "\n\n".join(self._chunks[i][1])
+        return tuple(self._texts)
+
+    def _at(self, key: tuple, search) -> int:
+        return search(self._chunks, key, key=lambda chunk: chunk[0][0])
+
+    def replace(self, key: tuple, line: str) -> None:
+        """``line`` for all lines of this key."""
+        for i in range(max(self._at(key, bisect_left) - 1, 0), self._at(key, bisect_right)):
+            keys, lines = self._chunks[i]
+            low, high = bisect_left(keys, key), bisect_right(keys, key)
+            if low < high:
+                lines[low:high] = [line] * (high - low)
+                self._texts[i] = None
+
+    def add(self, key: tuple, line: str) -> None:
+        if not self._chunks:
+            self._chunks, self._texts = [([key], [line])], [None]
+            return
+        i = max(self._at(key, bisect_right) - 1, 0)
+        keys, lines = self._chunks[i]
+        place = bisect_right(keys, key)
+        keys.insert(place, key)
+        lines.insert(place, line)
+        self._texts[i] = None
+        if len(keys) > 2 * self._size:
+            self._chunks[i:i + 1] = [(keys[:self._size], lines[:self._size]), (keys[self._size:], lines[self._size:])]
+            self._texts[i:i + 1] = [None, None]
+
+
 def fill_template(template: str, slots: dict[str, Column]) -> Column:
     """``{name}`` slots of a template filled in one pass; filled text is not scanned again."""
     parts = []

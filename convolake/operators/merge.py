@@ -148,13 +148,15 @@ def _unmatched(looked_up: DataFrame) -> DataFrame:
     return looked_up.where(F.col("by_id").isNull() & F.col("by_title").isNull())
 
 
-def resolve_items(skills: DataFrame, items: DataFrame) -> DataFrame:
+def resolve_items(skills: DataFrame, items: DataFrame, made: DataFrame | None = None) -> DataFrame:
     """(project_path, batch_no, item_no, at, title, target, how) for every item.
 
     ``how`` is id, title or new.  One lookup decides everything unless an item
     names a skill made in this very run, or a new id is taken already; then
     lookups repeat with the skills found so far until nothing changes.  Each item
     depends on earlier items only, so the stable answer is the one-by-one answer.
+    They start from ``made`` (project_path, batch_no, item_no, skill_id, title: items that no
+    skill fits) where it is known; one lookup then proves it, or goes on from it.
     """
     narrow = items.where(F.col("title") != "").select(
         *_KEY, "skill_id", "title", _ordinal().alias("at"),
@@ -166,6 +168,8 @@ def resolve_items(skills: DataFrame, items: DataFrame) -> DataFrame:
     makers = _first_makers(_unmatched(looked_up))
     if _needs_repeat(looked_up, makers, base).isEmpty():
         return _settle(looked_up, makers)
+    if made is not None:
+        makers = made.select("project_path", "skill_id", "title", _ordinal().alias("born"))
     return _repeat(narrow, base, pin(makers))
 
 
@@ -229,7 +233,8 @@ def apply_items(skills: DataFrame, items: DataFrame, resolved: DataFrame,
 
     Content comes from the last item of a skill, the title from the last item that
     named it by id; creation time and source sessions from the item that made it.
-    Only the winning item of each skill moves with its content.
+    Only the winning item of each skill moves with its content.  ``as_of`` may be
+    ``made_at``, a column of ``batches`` beside (project_path, batch_no, session_ids).
     """
     as_of = F.current_timestamp() if as_of is None else as_of
     sets_title = F.col("how") != "title"
@@ -253,7 +258,8 @@ def apply_items(skills: DataFrame, items: DataFrame, resolved: DataFrame,
         "batch_no", F.shiftright("_made", _ITEM_BITS))
     if batches is not None:
         made = made.join(
-            batches.select("project_path", "batch_no", F.col("session_ids").alias("source_session_ids")),
+            batches.select("project_path", "batch_no", F.col("session_ids").alias("source_session_ids"),
+                           *[c for c in batches.columns if c == "made_at"]),
             ["project_path", "batch_no"], "left")
     made = made.select(
         F.col("target").alias("skill_id"), F.col("_title").alias("title"), "project_path",

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..operators import batches as B
 from ..operators.filters import project_filter
 from ..operators.merge import apply_items, resolve_items
-from ..operators.model import answer_status, ask_model, normalize_skills, parse_items
+from ..operators.model import answer_status, ask_in_turn, ask_model, normalize_skills, parse_items
 from ..operators.progress import advance_watermark, incremental_messages
 from ..schemas import SKILLS, conform
-from ..session import forget_folder, read_folders, write_down, write_folder
+from ..session import write_down
 from ..sources.tables import State
 
 ModelFn = Callable[[list[str]], list[str]]
@@ -63,22 +63,20 @@ def distill(state: State, model_fn: ModelFn, template: str, project: str | None
 
     ``snapshot`` shows every prompt the skills as they were at the start: one pass
     over all batches of all projects.  ``sequential`` lets batch k+1 of a project
-    see what batch k changed: one round per batch number, each round a job over
-    all projects, so a project with many batches makes many rounds.
+    see what batch k changed: the batches of a project are asked one after another by
+    one task, projects side by side, and their answers merged all at once.
     """
     planned = plan_batches(state, project, full, project_equals, carry_over=carry_over, caps=caps)
     rows = write_down(planned.rows)
     skills = conform(state.skills, SKILLS)
 
-    def ask(batches: DataFrame, known: DataFrame) -> DataFrame:
-        sections = B.prompt_sections(known, state.rules)
-        return ask_model(batches, sections, template, model_fn, parallelism, max_prompt_chars)
-
     if mode == "snapshot":
-        answers = write_down(ask(rows, skills))
+        sections = B.prompt_sections(skills, state.rules)
+        answers = write_down(ask_model(rows, sections, template, model_fn, parallelism, max_prompt_chars))
         merged, resolved = _merge(skills, answers, rows, as_of)
     elif mode == "sequential":
-        answers, merged, resolved = _rounds(rows, skills, ask, as_of)
+        answers, merged, resolved = _in_turn(
+            rows, skills, ask_in_turn(rows, skills, state.rules, template, model_fn, parallelism, max_prompt_chars, as_of))
     else:
         raise ValueError(f"mode must be snapshot or sequential, not {mode!r}")
 
@@ -99,36 +97,22 @@ def _merge(skills: DataFrame, answers: DataFrame, rows: DataFrame,
     return apply_items(skills, items, resolved, sources, as_of), resolved
 
 
-def _rounds(rows: DataFrame, skills: DataFrame, ask, as_of: Column | None):
-    """One round per batch number; each starts from tables that the round before wrote.
+def _in_turn(rows: DataFrame, skills: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answers, skills and resolved items of batches that were asked in turn.
 
-    Tables have the size of their files.  A checkpoint would keep the size estimate of its plan,
-    a product over all joins of all rounds before, whose digits alone outgrow the driver.
+    Items are merged in the order of batches, which gives what merging batch by batch gives; a new
+    skill has the time of its batch.  Results are tables of the size of their files.
     """
-    last = rows.agg(F.max("batch_no")).first()[0]
-    if last is None:
-        answers = write_down(ask(rows, skills))
-        return answers, *_merge(skills, answers, rows, as_of)
-    spark = rows.sparkSession
-
-    def written(df: DataFrame, folders: list[str]) -> DataFrame:
-        folders.append(write_folder(df))
-        return read_folders(df, folders[-1:])
-
-    shown = skills  # what prompts see: an update that went by title does not show in them
-    answered, resolved, tables = [], [], []
-    for number in range(last + 1):
-        batch = rows.where(F.col("batch_no") == number)
-        answers = written(ask(batch, shown), answered)
-        passing, before, tables = [], tables, []
-        items = written(normalize_skills(parse_items(answers)), passing)
-        found = written(resolve_items(skills, items), resolved)
-        sources = batch.select("project_path", "batch_no", "session_ids")
-        shown = written(apply_items(shown, items, found.where(F.col("how") != "title"), sources, as_of), tables)
-        skills = written(apply_items(skills, items, found, sources, as_of), tables)
-        for folder in (*passing, *before):
-            forget_folder(spark, folder)
-    return read_folders(answers, answered), skills, read_folders(found, resolved)
+    told = write_down(asked)
+    answers = told.select("project_path", "batch_no", "raw", "error")
+    items = write_down(normalize_skills(parse_items(answers)))
+    made = told.select("project_path", "batch_no", F.explode(F.arrays_zip("made_no", "made_id", "made_title")).alias("m")).select(
+        "project_path", "batch_no", F.col("m.made_no").alias("item_no"), F.col("m.made_id").alias("skill_id"),
+        F.col("m.made_title").alias("title"))
+    resolved = write_down(resolve_items(skills, items, made))
+    sources = rows.select("project_path", "batch_no", "session_ids").join(
+        told.select("project_path", "batch_no", "made_at"), ["project_path", "batch_no"])
+    return answers, write_down(apply_items(skills, items, resolved, sources, F.col("made_at"))), resolved
 
 
 def _stats(state: State, rows: DataFrame, status: DataFrame, resolved: DataFrame,

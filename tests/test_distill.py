@@ -260,3 +260,83 @@ def test_long_prompts_leave_the_writer_at_once(spark, tmp_path):
         "id", "t").write.parquet(str(tmp_path / "p"))
     file = next((tmp_path / "p").glob("*.parquet"))
     assert pq.ParquetFile(file).num_row_groups > 1
+
+
+def sessions_in_a_row(spark, n):
+    return make_state(spark, [(f"s{i:03}", "/p", i) for i in range(n)], [(f"s{i:03}", 0, "x", None, i) for i in range(n)])
+
+
+def test_sequential_jobs_do_not_grow_with_batches(spark):
+    def jobs(n):
+        spark.sparkContext.setJobGroup(f"turns {n}", "")
+        result = distill(sessions_in_a_row(spark, n), lambda ps: ['[{"title": "T", "steps": "x"}]' for _ in ps], TEMPLATE, mode="sequential")
+        assert result.answers.count() == -(-n // 5) and [r.title for r in result.skills.collect()] == ["T"]
+        spark.sparkContext.setJobGroup("other", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"turns {n}"))
+
+    assert jobs(60) <= jobs(10) + 5  # twelve batches and two
+
+
+def test_items_in_turn(spark):
+    """Renames by id, updates by title, taken ids and skills of the same run, as prompts show them and as they are stored."""
+    state = sessions_in_a_row(spark, 40)
+    state.skills = conform(spark.createDataFrame(
+        [("b", "/p", "B", "was b"), ("a", "/p", "A", "was a"), ("a", "/p", "A", "was a"), ("z", "/q", "A", "other")],
+        "skill_id string, project_path string, title string, steps string"), SKILLS)
+    answers = [
+        '[{"skill_id": "a", "title": "B", "steps": "a1"}]',
+        '[{"title": "B", "steps": "by title"}, {"title": "A", "steps": "new a"}, 5, {"steps": "no title"}]',
+        '[{"skill_id": "b", "title": "C", "facts": ["x"]}, {"title": "B", "steps": "a2"}]',
+        "no answer",
+        '```json\n[{"title": "A", "steps": "not shown"}, {"title": "D", "steps": "d"}, {"title": "D", "steps": "d2"}]\n```',
+        '[{"skill_id": "DID", "title": "E", "steps": "e"}, {"title": "D", "steps": "d"}]',
+        '[{"skill_id": "DID", "title": "F", "steps": "f"}, {"title": "D", "steps": "d"}]',
+        "[]"]
+
+    def model(prompts):
+        import re as r
+        out = []
+        for p in prompts:
+            turn = int(r.search(r"Session s(\d+)", p)[1]) // 5
+            seen = sorted(r.findall(r"\[skill_id=\w+\] (\w+) \(type=workflow\): \n  Steps: (.*)", p))
+            d = r.search(r"\[skill_id=(\w+)\] [DEF] ", p)
+            out.append(answers[turn].replace("DID", d[1] if d else "DID").replace("[{", '[{"narrative": "%s"}, {' % seen, 1))
+        return out
+
+    result = distill(state, model, TEMPLATE, mode="sequential")
+    told = {r.batch_no: r.raw for r in result.answers.collect()}
+    shown = {k: eval(v.split('"')[3]) if "narrative" in v else None for k, v in told.items()}
+    start = [("A", "was a"), ("A", "was a"), ("B", "was b")]
+    assert shown[0] == start
+    assert shown[1] == [("B", "a1"), ("B", "a1"), ("B", "was b")]
+    assert shown[2] == [("A", "new a"), ("B", "a1"), ("B", "a1"), ("B", "was b")]
+    assert shown[4] == [("A", "new a"), ("B", "a1"), ("B", "a1"), ("C", "")]
+    assert shown[5] == [("A", "new a"), ("B", "a1"), ("B", "a1"), ("C", ""), ("D", "d")]
+    # the skill named E has the id that D with these steps would get: it is D again
+    assert shown[6] == [("A", "new a"), ("B", "a1"), ("B", "a1"), ("C", ""), ("D", "d")]
+    skills = sorted((r.project_path, r.title, r.steps, tuple(r.source_session_ids)) for r in result.skills.collect())
+    sessions = [tuple(f"s{i:03}" for i in range(k * 5, k * 5 + 5)) for k in range(8)]
+    assert skills == [("/p", "A", "not shown", sessions[1]), ("/p", "B", "a2", ()), ("/p", "B", "a2", ()), ("/p", "C", "", ()),
+                      ("/p", "D", "d", sessions[4]), ("/q", "A", "other", ())]
+    made = {r.title: r.created_at for r in result.skills.where("created_at is not null").collect()}
+    assert made["A"] < made["D"]
+    stats = {r.stat: r.n for r in result.stats.collect()}
+    assert (stats["batches"], stats["batches_failed"], stats["skills_created"]) == (8, 2, 2)
+
+
+def test_shown_list_of_many_changes():
+    import random
+    rand, lines = random.Random(3), {}
+    keys = sorted((rand.randrange(9), True, f"k{i}") for i in range(50))
+    shown = B.ShownList(list(keys), [f"was {k}" for k in keys], per_chunk=4)
+    lines = {k: f"was {k}" for k in keys}
+    for i in range(400):
+        key = rand.choice(list(lines)) if i % 2 else (rand.randrange(-1, 11), True, f"n{i}")
+        (shown.replace if key in lines else shown.add)(key, f"line {i}")
+        lines[key] = f"line {i}"
+        if i % 20 == 0:
+            before = shown.texts()
+            assert "".join(before) == B.SKILLS_HEADER + "\n\n".join(lines[k] for k in sorted(lines))
+    shown.replace(key, "last")
+    assert sum(a is b for a, b in zip(before, shown.texts())) > 5  # most texts are the same objects
+    assert B.ShownList([], []).texts() == ()

@@ -114,3 +114,26 @@ def test_user_text(spark):
     df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i int, c string")
     got = df.select("i", R.user_text("try_parse_json(c)").alias("t")).orderBy("i").collect()
     assert [r.t for r in got] == ["hi", "plain", "7", None, None, None]
+
+
+def test_plain_answers_read_as_spark_reads(spark):
+    """An answer read in plain Python gives the items, fields and prompt lines that Spark makes of it."""
+    from convolake.functions import plain_answers as P
+    from convolake.operators import batches as B
+    from convolake.operators import model as M
+
+    values = ["null", "true", "false", "0", "-0", "1", "1.50", "10.0", "0.00", "1e3", "1.5E10", "1E-7", "1e999", "0.00001", "2e-3",
+              "12345678901234567890", "123456789012345678901234567890123456789012", '""', '"x"', '"a,b\\n\\u001b\\u007f\\u00e9\\ud83d\\ude00"',
+              '"\\ud800"', '"[1, \\"a\\", null]"', '"{\\"k\\": [true, 1.0]}"', '"bad ["', '"42 x"', '"42x"', '"true,"', '"truex"', '" 7 "', "[]", "{}",
+              '[""]', '[1, 2.0, null, "z", {"b": 1, "a": [1.10]}]', '{"b": "s", "a": ["x", 1, null], "\\uffff": 2, "\\ud83d\\ude00": {}}',
+              '[{"name": "n", "template": "", "description": 0}, {"template": {"a": []}, "name": null}, 5, {}]', '{"a": 1, "a": 2}', "01", "NaN"]
+    fields = ["skill_id", "title", "description", "steps", "tags", "type", "obs_type", "facts", "concepts", "file_map", "command_templates"]
+    raws = [f'[{{"title": "t", "{f}": {v}}}]' if f != "title" else f'{{"title": {v}}}' for f in fields for v in values]
+    raws += [None, "", "42", " 　[1] x", "\x1c[1]", "```json\n[{\"title\": 1}]\n ``` \nx", "see [{\"title\": 1}] ok", "see [1] {\"title\": 2} ok", "] [",
+             '[{"title": 1}, 2, [3]] and', '{"title": [1, "b"], "type": null, "obs_type": "bugfix"}', '{"title": "a", "type": "bugfix"}']
+    df = spark.createDataFrame([("p", i, raw, None) for i, raw in enumerate(raws)], "project_path string, batch_no long, raw string, error string")
+    items = M.normalize_skills(M.parse_items(df)).withColumn("created_at", F.lit(None).cast("timestamp"))
+    want = {(r.batch_no, r.item_no): (r.skill_id, r.title, r.steps, r.line) for r in B.skill_lines(items, "batch_no", "item_no", "title", "steps").collect()}
+    read = {(i, j): P.shown_fields(x) for i, raw in enumerate(raws) for j, x in enumerate(P.answer_items(raw)) if isinstance(x, dict)}
+    got = {k: (f["skill_id"], f["title"], f["steps"], B.skill_line(f["skill_id"], f)) for k, f in read.items() if f["title"] != ""}
+    assert len(want) > 300 and {k: (got.get(k), want.get(k)) for k in want.keys() | got.keys() if got.get(k) != want.get(k)} == {}

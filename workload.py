@@ -738,15 +738,13 @@ def normalize_skills(t):
 
 
 def _kept(read):
-    """``read`` of a text, kept for the few texts that were read last."""
+    """``read`` of all texts of a prompt, kept for the texts of the prompt that was read last."""
     kept = {}
 
-    def of(text):
-        if text not in kept:
-            if len(kept) == 3:  # two lists and what follows them
-                kept.clear()
-            kept[text] = read(text)
-        return kept[text]
+    def of(texts):
+        nonlocal kept
+        kept = {text: kept[text] if text in kept else read(text) for text in texts}
+        return [kept[text] for text in texts]
     return of
 
 
@@ -762,7 +760,7 @@ def _stub():
         out = []
         for prompt in prompts:
             own, *lists = prompt.texts  # no line reaches over an end of these texts
-            sessions = [*sessions_of(own), *(s for text in lists for s in in_list(text))]
+            sessions = [*sessions_of(own), *(s for found in in_list(lists) for s in found)]
             out.append(json.dumps([{"title": f"From {sessions[0]}", "steps": ["first", sessions[0]]},
                                    {"title": "Shared", "steps": sessions[-1], "tags": ["stub"], "type": "bugfix"}]))
         return out
@@ -822,7 +820,7 @@ def _counting_stub():
         for prompt in prompts:
             own, *lists = prompt.texts
             first = re.search(r"^--- Session (.+) ---$", own, re.M)[1]  # conversations come before the lists
-            out.append(json.dumps([{"title": f"From {first}", "steps": str(skills_of(own) + sum(map(in_list, lists)))}]))
+            out.append(json.dumps([{"title": f"From {first}", "steps": str(skills_of(own) + sum(in_list(lists)))}]))
         return out
     return model.takes_parts(answer)
 
