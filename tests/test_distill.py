@@ -340,3 +340,14 @@ def test_shown_list_of_many_changes():
     shown.replace(key, "last")
     assert sum(a is b for a, b in zip(before, shown.texts())) > 5  # most texts are the same objects
     assert B.ShownList([], []).texts() == ()
+
+
+def test_writers_keep_no_copies_of_prompts(spark, tmp_path):
+    """Least and greatest values and dictionaries are kept for all columns but the prompt."""
+    import pyarrow.parquet as pq
+
+    spark.range(100, numPartitions=1).selectExpr("concat('text ', id % 2) other", "concat('text ', id % 2) prompt").write.parquet(str(tmp_path / "p"))
+    group = pq.ParquetFile(next((tmp_path / "p").glob("part-*"))).metadata.row_group(0)
+    other, prompt = group.column(0), group.column(1)
+    assert other.statistics.has_min_max and other.has_dictionary_page
+    assert (prompt.statistics is None or not prompt.statistics.has_min_max) and not prompt.has_dictionary_page
